@@ -4,17 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import decontaminate, language_id, sentence_pieces
+from . import chat, decontaminate, language_id, sentence_pieces, sharding, token_files, warc
+
+_OP3 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY html) AS first FROM p)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha256(html) AS payload_digest,
+       CASE WHEN strlen(html) >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN strlen(html) >= 100 AND page_id > first THEN first END AS refers_to
+FROM f
+"""
 
 #: Words as operator 4 takes them: A-Z lower-cased, cut at ASCII characters that are neither digits nor letters.
 _OP4 = r"""
 WITH doc AS (
   SELECT row_number() OVER () AS r, doc_id,
-         list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS w
+         list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
   FROM documents),
 item AS (
   SELECT item_id,
-         list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS w
+         list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
   FROM benchmark),
 win AS (
   SELECT DISTINCT item_id, least(len(w), 13) AS n, array_to_string(w[i:i + least(len(w), 13) - 1], ' ') AS s
@@ -34,11 +43,15 @@ FROM doc LEFT JOIN words USING (r) LEFT JOIN items USING (r)
 
 def queries() -> dict[str, Callable]:
     return {
+        "op1_sharding": sharding.op1_sharding,
+        "op2_token_files": token_files.op2_token_files,
+        "op3_warc": warc.op3_warc,
         "op4_decontaminate": decontaminate.op4_decontaminate,
         "op5_language_id": language_id.op5_language_id,
         "op6_sentencepiece": sentence_pieces.op6_sentencepiece,
+        "op10_chat": chat.op10_chat,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontaminate": _OP4}
+    return {"op1_sharding": sharding.ORACLE, "op3_warc": _OP3, "op4_decontaminate": _OP4, "op10_chat": chat.ORACLE}
