@@ -34,7 +34,17 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet to the shared folder and read again: lineage ends there, and a lost executor loses nothing."""
     path = new_folder(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stashed_at = path
+    return out
+
+
+def drop(*stashed: DataFrame) -> None:
+    """Deletes what stash() wrote, once nothing reads it any more."""
+    for df in stashed:
+        jvm, spark = df.sparkSession._jvm, df.sparkSession
+        path = jvm.org.apache.hadoop.fs.Path(df._stashed_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def free_shuffles(spark: SparkSession) -> None:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import chat, decontaminate, language_id, sentence_pieces, sharding, token_files, warc
+from . import chat, decontaminate, jaccard_join, language_id, sentence_pieces, sharding, token_files, warc
 
 _OP3 = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
@@ -49,9 +49,10 @@ def queries() -> dict[str, Callable]:
         "op4_decontaminate": decontaminate.op4_decontaminate,
         "op5_language_id": language_id.op5_language_id,
         "op6_sentencepiece": sentence_pieces.op6_sentencepiece,
+        "op7_jaccard": jaccard_join.op7_jaccard,
         "op10_chat": chat.op10_chat,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": sharding.ORACLE, "op3_warc": _OP3, "op4_decontaminate": _OP4, "op10_chat": chat.ORACLE}
+    return {"op1_sharding": sharding.ORACLE, "op3_warc": _OP3, "op4_decontaminate": _OP4, "op7_jaccard": jaccard_join.ORACLE, "op10_chat": chat.ORACLE}
