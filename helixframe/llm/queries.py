@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import chat, decontaminate, jaccard_join, language_id, sentence_pieces, sharding, suffix_dedup, token_files, warc
+from . import chat, cover_tree, decontaminate, jaccard_join, language_id, sentence_pieces, sharding, suffix_dedup, token_files, warc
 
 _OP3 = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
@@ -50,10 +50,11 @@ def queries() -> dict[str, Callable]:
         "op5_language_id": language_id.op5_language_id,
         "op6_sentencepiece": sentence_pieces.op6_sentencepiece,
         "op7_jaccard": jaccard_join.op7_jaccard,
+        "op8_cover_tree": cover_tree.op8_cover_tree,
         "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
         "op10_chat": chat.op10_chat,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": sharding.ORACLE, "op3_warc": _OP3, "op4_decontaminate": _OP4, "op7_jaccard": jaccard_join.ORACLE, "op9_suffix_dedup": suffix_dedup.ORACLE, "op10_chat": chat.ORACLE}
+    return {"op1_sharding": sharding.ORACLE, "op3_warc": _OP3, "op4_decontaminate": _OP4, "op7_jaccard": jaccard_join.ORACLE, "op8_cover_tree": cover_tree.ORACLE, "op9_suffix_dedup": suffix_dedup.ORACLE, "op10_chat": chat.ORACLE}
