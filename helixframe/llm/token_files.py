@@ -197,7 +197,8 @@ def write_files(tokens: DataFrame, lengths: np.ndarray, dtype: str, folder: str)
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([sink.uri]), pa.array([total])], ["part", "uri", "n"])
 
     ordered = tokens.repartitionByRange(cores(spark), F.col("doc_id")).sortWithinPartitions("doc_id", "ids")
-    return [r.asDict() for r in ordered.mapInArrow(run, "part long, uri string, n long").orderBy("part").collect()]
+    # a row for each file; sorting it in Spark would run the job twice
+    return sorted((r.asDict() for r in ordered.mapInArrow(run, "part long, uri string, n long").collect()), key=lambda r: r["part"])
 
 
 def read_documents(spark: SparkSession, folder: str, manifest: list[dict]) -> DataFrame:
