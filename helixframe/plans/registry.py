@@ -4,10 +4,322 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def queries() -> dict[str, Callable]:
-    return {}
+from ..functions import sequences as S
+from ..operators import cluster, consensus, export, filter, hits, kmers
+from ..scratch import stash
+from . import encoding
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*cols)
+
+
+def _records(spark: SparkSession, sf_dir: str, organism: str = "lang") -> DataFrame:
+    rows = encoding.fasta(spark, sf_dir)
+    return filter.records_of(rows).drop("organism").join(rows.select("idx", F.col(organism).alias("organism")), "idx") if organism == "source" else filter.records_of(rows)
+
+
+def _passing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(idx, record_id, sequence, length, organism) of records that pass the quality rules."""
+    judged = filter.quality(filter.measured(_records(spark, sf_dir), "DNA"))
+    return judged.where("reason is null").select("idx", "record_id", "sequence", "length", "organism")
+
+
+def _sql(body: str, recursive: bool = False) -> str:
+    return f"WITH {'RECURSIVE ' * recursive}{encoding.SQL}{body}"
+
+
+# Filter -----------------------------------------------------------------------------------------------------------
+
+_METRICS = "idx, record_id, length::BIGINT AS length, n_count::BIGINT AS n_count, n_frac, gc_percent"
+
+
+@query(_sql(f" SELECT {_METRICS}, coalesce(reason, 'ok') AS reason FROM quality"))
+def quality_report(spark, sf_dir):
+    out = filter.annotate(_records(spark, sf_dir), alphabet="DNA")
+    return out.select("idx", "record_id", "length", "n_count", "n_frac", "gc_percent", "reason")
+
+
+@query(_sql(" SELECT coalesce(reason, 'ok') AS reason, count(*) AS n FROM quality GROUP BY 1"))
+def reason_counts(spark, sf_dir):
+    return filter.reason_counts(filter.annotate(_records(spark, sf_dir), alphabet="DNA"))
+
+
+@query(_sql(""", d AS (SELECT idx, record_id, first_value(idx) OVER w AS f, first_value(record_id) OVER w AS keeper FROM passing WINDOW w AS (PARTITION BY sequence ORDER BY idx))
+ SELECT q.idx, coalesce(q.reason, CASE WHEN d.f = q.idx THEN 'ok' ELSE 'duplicate' END) AS reason, CASE WHEN d.f < q.idx THEN regexp_extract(keeper, '([A-Z]{1,}[0-9]+(?:\\.[0-9]+)?)') ELSE '' END AS duplicate_of
+ FROM quality q LEFT JOIN d USING (idx)"""))
+def dedupe_first(spark, sf_dir):
+    return filter.annotate(_records(spark, sf_dir), alphabet="DNA", dedupe=True).select("idx", "reason", "duplicate_of")
+
+
+@query(_sql(""", d AS (SELECT idx, row_number() OVER (PARTITION BY lang ORDER BY idx) AS r FROM passing)
+ SELECT idx, coalesce(reason, CASE WHEN r <= 50 THEN 'ok' ELSE 'max_per_organism' END) AS reason FROM quality LEFT JOIN d USING (idx)"""))
+def cap_per_organism(spark, sf_dir):
+    return filter.annotate(_records(spark, sf_dir), alphabet="DNA", max_per_organism=50).select("idx", "reason")
+
+
+# A fold in SQL: the state is the kept sequences and how many each source has, one step for each record in order.
+@query(_sql(""", p AS (SELECT idx, source, sequence, row_number() OVER (ORDER BY idx) AS r FROM passing),
+ f AS (
+  SELECT 0::BIGINT AS r, NULL::BIGINT AS idx, NULL::VARCHAR AS reason, [NULL]::VARCHAR[] AS seen, [NULL]::VARCHAR[] AS kept
+  UNION ALL
+  SELECT p.r, p.idx,
+         CASE WHEN list_contains(f.seen, md5(p.sequence)) THEN 'duplicate' WHEN len(list_filter(f.kept, lambda x: x = p.source)) >= 20 THEN 'max_per_organism' ELSE 'ok' END,
+         CASE WHEN list_contains(f.seen, md5(p.sequence)) OR len(list_filter(f.kept, lambda x: x = p.source)) >= 20 THEN f.seen ELSE list_append(f.seen, md5(p.sequence)) END,
+         CASE WHEN list_contains(f.seen, md5(p.sequence)) OR len(list_filter(f.kept, lambda x: x = p.source)) >= 20 THEN f.kept ELSE list_append(f.kept, p.source) END
+  FROM f JOIN p ON p.r = f.r + 1)
+ SELECT q.idx, coalesce(q.reason, f.reason) AS reason FROM quality q LEFT JOIN f ON f.idx = q.idx""", recursive=True))
+def dedupe_and_cap(spark, sf_dir):
+    return filter.annotate(_records(spark, sf_dir, "source"), alphabet="DNA", dedupe=True, max_per_organism=20).select("idx", "reason")
+
+
+@query("SELECT lang AS organism, count(*) AS n FROM documents GROUP BY 1")
+def organism_counts(spark, sf_dir):
+    return filter.organism_counts(_records(spark, sf_dir))
+
+
+@query(_sql(" SELECT idx, record_id AS accession, record_id, record_id AS first_token, lang AS organism, lang AS description FROM enc"))
+def header_parse(spark, sf_dir):
+    h = F.col("header")
+    return encoding.fasta(spark, sf_dir).select("idx", S.accession(h).alias("accession"), S.record_id(h).alias("record_id"), S.first_token(h).alias("first_token"), S.header_organism(h).alias("organism"), S.split_header(h)[1].alias("description"))
+
+
+@query(_sql(" SELECT idx, sha256(sequence) AS digest, sha256('blastn|nt|JSON2|10|' || sequence) AS key, 'query_' || printf('%04d', idx + 1) AS query_id FROM enc"))
+def sha_keys(spark, sf_dir):
+    seq = F.col("sequence")
+    return encoding.fasta(spark, sf_dir).select("idx", S.digest(seq).alias("digest"), S.alignment_key(seq, "blastn", "nt", "JSON2", 10).alias("key"), S.query_id(F.lit(""), F.col("idx") + 1).alias("query_id"))
+
+
+@query("""SELECT item_id AS line FROM benchmark b
+ WHERE EXISTS (SELECT 1 FROM documents d WHERE d.doc_id % 3 = 0 AND 'DOC' || d.doc_id || '.1' = CASE WHEN b.item_id % 2 = 0 THEN 'DOC' || b.item_id || '.1' END)
+    OR EXISTS (SELECT 1 FROM documents d WHERE d.doc_id % 3 = 0 AND 'DOC' || d.doc_id || '.1' = CASE WHEN b.item_id % 5 = 0 THEN 'DOC' || (b.item_id + 1) || '.1' END)""")
+def metadata_semi_filter(spark, sf_dir):
+    # metadata: benchmark items with an accession, a uid, both or neither; kept: documents of every third id
+    item = F.col("item_id")
+    meta = _table(spark, sf_dir, "benchmark", "item_id").select(item.alias("line"), F.when(item % 2 == 0, F.concat(F.lit("DOC"), item, F.lit(".1"))).alias("accession"), F.lit(None).cast("string").alias("accessionversion"), F.when(item % 5 == 0, F.concat(F.lit("DOC"), item + 1, F.lit(".1"))).alias("uid"))
+    kept = _table(spark, sf_dir, "documents", "doc_id").where("doc_id % 3 = 0").select(F.concat(F.lit("DOC"), "doc_id", F.lit(".1")).alias("record_id"), F.concat(F.lit("DOC"), "doc_id", F.lit(".1")).alias("accession"))
+    return filter.filter_metadata(meta, kept).select("line")
+
+
+# K-mers -----------------------------------------------------------------------------------------------------------
+
+
+def _kmer_sql(body: str, k: int = 9, kmer: str = "m", from_: str = "passing") -> str:
+    comp = f"least({kmer}, reverse(translate({kmer}, 'ACGT', 'TGCA')))" if kmer != "m" else "m"
+    return _sql(f""", w AS (SELECT idx, record_id, sequence, unnest(range(1, length(sequence) - {k} + 2)) AS i FROM {from_} WHERE length(sequence) >= {k}),
+ raw AS (SELECT idx, record_id, i, substr(sequence, i, {k}) AS m FROM w),
+ kmers AS (SELECT idx, record_id, i, {comp.replace(kmer, 'm')} AS kmer FROM raw WHERE m NOT LIKE '%N%'),
+ per AS (SELECT idx, record_id, kmer, count(*) AS count, min(i) AS p FROM kmers GROUP BY ALL),
+ tot AS (SELECT kmer, sum(count)::BIGINT AS count, count(*) AS n_records, min(struct_pack(i := idx, p := p)) AS first FROM per GROUP BY kmer){body}""")
+
+
+_MOTIFS = """SELECT kmer, count, count::DOUBLE / (SELECT sum(count) FROM per) AS freq, n_records, round(ln((1.0 + (SELECT count(*) FROM passing)) / (1 + n_records)), 9) AS idf_like FROM tot"""
+
+
+def _motif_rows(found: DataFrame) -> DataFrame:
+    return found.select("kmer", "count", "freq", "n_records", F.round("idf_like", 9).alias("idf_like"))
+
+
+@query(_kmer_sql(f" {_MOTIFS} ORDER BY count DESC, first LIMIT 200"))
+def motifs_top(spark, sf_dir):
+    return _motif_rows(kmers.motifs(_passing(spark, sf_dir)))
+
+
+@query(_kmer_sql(f" {_MOTIFS} WHERE count >= 50"))
+def motifs_min_count(spark, sf_dir):
+    return _motif_rows(kmers.motifs(_passing(spark, sf_dir), top=0, min_count=50))
+
+
+@query(_kmer_sql(f" {_MOTIFS} ORDER BY count DESC, first LIMIT 200", kmer="x.m"))
+def motifs_canonical(spark, sf_dir):
+    return _motif_rows(kmers.motifs(_passing(spark, sf_dir), canonical=True))
+
+
+@query(_kmer_sql(f" {_MOTIFS} ORDER BY count DESC, first LIMIT 200").replace("WHERE m NOT LIKE '%N%'", ""))
+def motifs_allow_n(spark, sf_dir):
+    return _motif_rows(kmers.motifs(_passing(spark, sf_dir), ignore_n=False))
+
+
+@query(_kmer_sql(""", top AS (SELECT kmer FROM tot ORDER BY count DESC, first LIMIT 200)
+ SELECT idx, record_id, kmer, count, count::DOUBLE / (sum(count) OVER (PARTITION BY idx)) AS freq_in_record FROM per QUALIFY kmer IN (SELECT kmer FROM top)"""))
+def motifs_by_record(spark, sf_dir):
+    rows = _passing(spark, sf_dir)
+    return kmers.motifs_by_record(rows, kmers.motifs(rows)).select("idx", "record_id", "kmer", "count", "freq_in_record")
+
+
+@query(_kmer_sql(" SELECT (SELECT count(*) FROM passing) AS total_records, sum(count)::BIGINT AS total_kmers, count(*) AS unique_kmers, least(count(*) FILTER (count >= 2), 200) AS unique_after_filters FROM tot"))
+def motifs_summary(spark, sf_dir):
+    return kmers.summary(_passing(spark, sf_dir), 9, 200, 2)
+
+
+# Clusters ---------------------------------------------------------------------------------------------------------
+
+
+def _edge_sql(body: str, k: int, cap: str = "", recursive: bool = False) -> str:
+    sql = _kmer_sql(f""", sets AS (SELECT DISTINCT idx, kmer FROM kmers), n AS (SELECT idx, count(*) AS n FROM sets GROUP BY idx),
+ pairs AS (SELECT a.idx AS i, b.idx AS j, count(*) AS s FROM sets a JOIN sets b ON a.kmer = b.kmer AND a.idx < b.idx GROUP BY ALL {cap}),
+ edges AS (SELECT i, j, s::DOUBLE / (x.n + y.n - s) AS jaccard FROM pairs JOIN n x ON x.idx = i JOIN n y ON y.idx = j WHERE s::DOUBLE / (x.n + y.n - s) >= 0.35){body}""", k)
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1) if recursive else sql
+
+
+_COMPONENTS = """, reach AS (SELECT idx AS x, idx AS y FROM passing UNION SELECT r.x, CASE WHEN e.i = r.y THEN e.j ELSE e.i END FROM reach r JOIN edges e ON e.i = r.y OR e.j = r.y),
+ lab AS (SELECT x AS idx, min(y) AS component FROM reach GROUP BY x)"""
+
+
+@query(_edge_sql(" SELECT i, j, jaccard FROM edges", 15))
+def similarity_pairs(spark, sf_dir):
+    return cluster.edges(_passing(spark, sf_dir), 15, max_pairs=None)[0]
+
+
+@query(_edge_sql(" SELECT i, j, jaccard FROM edges", 9, "ORDER BY i, j LIMIT 200000"))
+def similarity_capped(spark, sf_dir):
+    return cluster.edges(_passing(spark, sf_dir), 9)[0]
+
+
+@query(_edge_sql(_COMPONENTS + " SELECT idx, component FROM lab", 15, recursive=True))
+def clusters(spark, sf_dir):
+    rows = _passing(spark, sf_dir)
+    return cluster.labels(rows, cluster.edges(rows, 15, max_pairs=None)[0])
+
+
+def _clusters(spark, sf_dir):
+    rows = stash(_passing(spark, sf_dir), "records")
+    links = stash(cluster.edges(rows, 15, max_pairs=None)[0], "edges")
+    lookup = rows.select(F.col("record_id").alias("key"), "organism", F.lit(1).cast("long").alias("taxid"))
+    return rows, stash(cluster.clusters(rows, links, lookup), "clusters")
+
+
+@query(_edge_sql(_COMPONENTS + """, m AS (SELECT l.component, p.lang, p.idx, p.length FROM lab l JOIN passing p USING (idx)),
+ o AS (SELECT component, lang, count(*) AS c, min(idx) AS f FROM m GROUP BY ALL),
+ s AS (SELECT component, max(jaccard) AS mx, avg(jaccard) AS mean FROM edges JOIN lab ON lab.idx = i GROUP BY component),
+ b AS (SELECT component, count(*) AS size, avg(length) AS mean_len FROM m GROUP BY component)
+ SELECT 'C' || printf('%04d', row_number() OVER (ORDER BY size DESC, component)) AS cluster_id, b.component, size, round(mean_len, 6) AS mean_len,
+        (SELECT arg_max(lang, struct_pack(c := c, f := -f)) FROM o WHERE o.component = b.component) AS dominant_organism,
+        (SELECT count(*) FROM o WHERE o.component = b.component) AS n_unique_organisms, coalesce(mx, 0.0) AS max_pairwise_sim, round(coalesce(mean, 0.0), 9) AS mean_pairwise_sim
+ FROM b LEFT JOIN s USING (component)""", 15, recursive=True))
+def cluster_stats(spark, sf_dir):
+    out = _clusters(spark, sf_dir)[1]
+    return out.select("cluster_id", "component", "size", F.round("mean_len", 6).alias("mean_len"), "dominant_organism", "n_unique_organisms", "max_pairwise_sim", F.round("mean_pairwise_sim", 9).alias("mean_pairwise_sim"))
+
+
+@query("SELECT o_custkey, arg_max(o_orderpriority, struct_pack(c := c, f := -f)) AS mode FROM (SELECT o_custkey, o_orderpriority, count(*) AS c, min(o_orderkey) AS f FROM orders GROUP BY ALL) GROUP BY o_custkey")
+def organism_mode(spark, sf_dir):
+    by = _table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderpriority").groupBy("o_custkey", "o_orderpriority").agg(F.count("*").alias("c"), F.min("o_orderkey").alias("f"))
+    return by.groupBy("o_custkey").agg(F.max_by("o_orderpriority", F.struct("c", -F.col("f"))).alias("mode"))
+
+
+# Consensus --------------------------------------------------------------------------------------------------------
+
+
+@query(_edge_sql(_COMPONENTS + """, b AS (SELECT component, count(*) AS size, arg_max(p.sequence, struct_pack(l := p.length, i := -p.idx)) AS sequence FROM lab JOIN passing p USING (idx) GROUP BY component),
+ c AS (SELECT 'C' || printf('%04d', row_number() OVER (ORDER BY size DESC, component)) AS cluster_id, * FROM b)
+ SELECT cluster_id, size, sha256(sequence) AS digest, length(sequence)::BIGINT AS length, 'ok' AS status, 'representative_longest' AS note FROM c WHERE size >= 2""", 15, recursive=True))
+def longest_representative(spark, sf_dir):
+    rows, found = _clusters(spark, sf_dir)
+    out = consensus.build(found, rows, method="simple")
+    return out.select("cluster_id", "size", S.digest(F.col("sequence")).alias("digest"), "length", "status", "note")
+
+
+@query()
+def consensus_merge(spark, sf_dir):
+    rows, found = _clusters(spark, sf_dir)
+    return consensus.build(found, rows).select("cluster_id", "size", "organism", "length", "n_count", "n_frac", "gc_percent", "status", "note", S.digest(F.col("sequence")).alias("digest"))
+
+
+@query()
+def consensus_counters(spark, sf_dir):
+    rows, found = _clusters(spark, sf_dir)
+    return consensus.counters(found, stash(consensus.build(found, rows), "consensus"))
+
+
+# Reports ----------------------------------------------------------------------------------------------------------
+
+#: An order as a query, its lines as hits of a report, in both dialects.
+_ALIGN, _SAME = "l_partkey % 400 + 101", "(l_partkey % 400 + 101) - l_suppkey % 90"
+
+
+def _reports(spark, sf_dir):
+    lines = _table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    hit = F.struct(
+        F.concat(F.lit("ACC"), "l_partkey").alias("accession"),
+        F.array(F.struct(F.concat(F.lit("ACC"), "l_partkey").alias("accession"), F.concat(F.lit("part "), "l_partkey", F.lit(" [Organism "), F.col("l_suppkey") % 7, F.lit("]")).alias("title"), (F.col("l_suppkey") % 7).alias("taxid"))).alias("description"),
+        F.array(F.struct(F.expr(_ALIGN).alias("align_len"), F.expr(_SAME).alias("identity"), (F.col("l_quantity") / 1000).alias("evalue"), F.col("l_extendedprice").alias("bit_score"), F.lit(1).alias("query_from"), F.expr(_ALIGN).alias("query_to"))).alias("hsps"),
+    )
+    per = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", hit.alias("hit")))).alias("all"))
+    search = F.struct(F.lit(1000).alias("query_len"), F.transform("all", lambda x: x["hit"]).alias("hits"))
+    raw = F.to_json(F.struct(F.array(F.struct(F.struct(F.struct(search.alias("search")).alias("results")).alias("report"))).alias("BlastOutput2")))
+    return per.select(F.col("l_orderkey").cast("string").alias("query_id"), F.lit(1000).cast("long").alias("query_len"), raw.alias("raw"))
+
+
+_LINES = f"""WITH x AS (SELECT l_orderkey::VARCHAR AS query_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS rank, 'ACC' || l_partkey AS accession, 'part ' || l_partkey || ' [Organism ' || l_suppkey % 7 || ']' AS title,
+  'Organism ' || l_suppkey % 7 AS organism, l_suppkey % 7 AS taxid, ({_ALIGN})::BIGINT AS a, ({_SAME})::BIGINT AS s, l_quantity / 1000 AS evalue, l_extendedprice AS bitscore FROM lineitem)"""
+
+
+@query(f"{_LINES} SELECT query_id, rank, accession, title, organism, round(100.0 * s::DOUBLE / a, 3) AS pident, a AS length, evalue, bitscore, round(a / 1000.0, 3) AS coverage FROM x WHERE rank <= 3")
+def json_hits(spark, sf_dir):
+    return hits.report_hits(_reports(spark, sf_dir), 3)
+
+
+@query(f"{_LINES} SELECT query_id, rank, accession, title, taxid::BIGINT AS taxid, NULL::VARCHAR AS organism, round(100.0 * s::DOUBLE / a, 2) AS pident, a AS align_len, evalue, bitscore, round(a / 10.0, 2) AS qcov FROM x WHERE rank <= 3")
+def json_search_hits(spark, sf_dir):
+    return hits.search_hits(_reports(spark, sf_dir), 3)
+
+
+@query(f"{_LINES} SELECT query_id, accession, round(100.0 * s::DOUBLE / a, 3) AS pident, round(a / 1000.0, 3) AS coverage, evalue, bitscore FROM x WHERE rank = 1")
+def best_hit_summary(spark, sf_dir):
+    reports = _reports(spark, sf_dir)
+    return hits.best_hits(reports, hits.report_hits(reports, 3)).select("query_id", "accession", "pident", "coverage", "evalue", "bitscore")
+
+
+@query("SELECT count(*) AS total, count(*) FILTER (o_orderstatus <> 'F') AS succeeded, count(*) FILTER (o_orderstatus = 'F') AS failed FROM orders")
+def alignment_counts(spark, sf_dir):
+    return hits.outcome_counts(_table(spark, sf_dir, "orders", "o_orderkey", "o_orderstatus").select(F.col("o_orderkey").alias("query_id"), F.when(F.col("o_orderstatus") == "F", "timed out").alias("error")))
+
+
+@query(_sql(" SELECT idx, sha256('blastn|nt|JSON2|10|' || sequence) AS key FROM enc WHERE sequence NOT IN (SELECT sequence FROM enc WHERE idx % 4 = 0)"))
+def uncached_queries(spark, sf_dir):
+    keyed = encoding.fasta(spark, sf_dir).select("idx", S.alignment_key(F.col("sequence"), "blastn", "nt", "JSON2", 10).alias("key"))
+    return hits.uncached(keyed, keyed.where("idx % 4 = 0"))
+
+
+# Export -----------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT d.doc_id AS record_id, d.n_chars, d.lang, l.quality, l.toxic, l.doc_id % 5 AS n_chars_meta FROM documents d LEFT JOIN labels l USING (doc_id)")
+def metadata_left_join(spark, sf_dir):
+    features = _table(spark, sf_dir, "documents", "doc_id", "n_chars", "lang").withColumnRenamed("doc_id", "record_id")
+    metadata = _table(spark, sf_dir, "labels", "doc_id", "quality", "toxic").select(F.col("doc_id").alias("record_id"), (F.col("doc_id") % 5).alias("n_chars"), "quality", "toxic")
+    return export.with_metadata(features, metadata)[0]
+
+
+@query("SELECT (SELECT count(*) FROM documents) AS features_rows, (SELECT count(*) FROM labels) AS metadata_rows, (SELECT count(*) FROM documents LEFT JOIN labels USING (doc_id)) AS joined_rows")
+def export_counts(spark, sf_dir):
+    features = _table(spark, sf_dir, "documents", "doc_id").withColumnRenamed("doc_id", "record_id")
+    metadata = _table(spark, sf_dir, "labels", "doc_id").withColumnRenamed("doc_id", "accession")
+    joined = export.with_metadata(features, metadata)[0]
+    one = lambda df, name: df.agg(F.count("*").alias(name))
+    return one(features, "features_rows").crossJoin(one(metadata, "metadata_rows")).crossJoin(one(joined, "joined_rows"))
