@@ -1,60 +1,17 @@
-"""What the operators of this subpackage share: tables, the shared scratch folder, files."""
+"""What the operators of this subpackage share: tables and files."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from ..scratch import drop, free_shuffles, new_folder, small_batches, stash
+
 
 def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     """The named columns of a table; Parquet then reads no others."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*cols)
 
 
-def scratch(spark: SparkSession) -> str:
-    """A folder that all executors share: spark.checkpoint.dir, or, only where that is unset, a temporary one."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        have = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if have.isDefined():
-            base = have.get()
-        else:
-            base = "file://" + tempfile.mkdtemp(prefix="helixframe-")
-            spark.sparkContext.setCheckpointDir(base)
-    return base if ":/" in base else "file://" + base
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{scratch(spark).rstrip('/')}/helixframe/{name}-{uuid.uuid4().hex}"
-
-
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read again: lineage ends there, and a lost executor loses nothing."""
-    path = new_folder(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._stashed_at = path
-    return out
-
-
-def drop(*stashed: DataFrame) -> None:
-    """Deletes what stash() wrote, once nothing reads it any more."""
-    for df in stashed:
-        jvm, spark = df.sparkSession._jvm, df.sparkSession
-        path = jvm.org.apache.hadoop.fs.Path(df._stashed_at)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def free_shuffles(spark: SparkSession) -> None:
-    """Lets Spark's cleaner delete the shuffle files of plans that nothing refers to any more."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def cores(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
@@ -95,3 +52,6 @@ def read_files(spark: SparkSession, folder: str, uris: list[str]) -> DataFrame:
     names = spark.createDataFrame([(u.rsplit("/", 1)[1],) for u in uris], "name string")
     found = spark.read.format("binaryFile").load(folder).select("path", "content")
     return found.join(F.broadcast(names), F.substring_index("path", "/", -1) == F.col("name"), "left_semi")
+
+
+__all__ = ["FileSink", "cores", "drop", "free_shuffles", "new_folder", "read_files", "small_batches", "stash", "table"]

@@ -30,8 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
 from .common import drop, stash, table
-from .components import components
 
 BLOCK = 1024
 LEAF = 64

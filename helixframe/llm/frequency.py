@@ -59,7 +59,7 @@ def unpack(data: bytes) -> np.ndarray:
 class Packer:
     """Gathers a task's values and gives (range, packed) rows, every ``most`` values and at the end."""
 
-    def __init__(self, ranges: int, most: int = 4_000_000) -> None:
+    def __init__(self, ranges: int, most: int = 2_000_000) -> None:
         self.ranges, self.most, self.parts, self.size = ranges, most, [], 0
 
     def add(self, values: np.ndarray) -> Iterator[tuple[list[int], list[bytes]]]:
@@ -69,13 +69,13 @@ class Packer:
             yield self.flush()
 
     def flush(self) -> tuple[list[int], list[bytes]]:
-        v = np.sort(np.concatenate(self.parts)) if self.parts else np.zeros(0, np.uint64)
+        v = np.concatenate(self.parts) if self.parts else np.zeros(0, np.uint64)
         self.parts, self.size = [], 0
         if not len(v):
             return [], []
-        first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
-        nth = np.arange(len(v)) - np.repeat(first, np.diff(np.append(first, len(v))))
-        v = v[nth < REPEATS]
+        v.sort()
+        if (v[REPEATS:] == v[:-REPEATS]).any():
+            v = v[np.concatenate([np.ones(min(REPEATS, len(v)), bool), v[REPEATS:] != v[:-REPEATS]])]
         edges = np.searchsorted(v, np.array([-(-(r << VALUE_BITS) // self.ranges) for r in range(self.ranges + 1)], np.uint64))
         used = np.flatnonzero(np.diff(edges))
         return used.tolist(), [pack(v[edges[r] : edges[r + 1]]) for r in used]

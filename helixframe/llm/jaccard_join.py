@@ -34,8 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import Forest, components
 from .common import cores, drop, free_shuffles, stash, table
-from .components import Forest, components
 from .frequency import Packer, bit_table, mix, narrowed, repeated
 
 #: A-Z to a-z; words are then what bytes.split() gives, cut at 0x20 and 0x09 to 0x0D.
