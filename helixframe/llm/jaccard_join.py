@@ -7,8 +7,9 @@ in one document can't be shared, so most documents drop out there.
 
 The others are partitioned into groups of similar documents, and the matrix says which tokens each group's union holds.
 
-1. Documents are dealt by a rare token they share into groups of about ``GROUP`` and each group is opened on itself, twice
-   with different tokens. The links found make first components.
+1. Documents are dealt by a rare token they share into groups, and each group is opened on itself, twice with different
+   tokens. The links found make first components. Groups have about four times the root of the number that are dealt
+   together, within ``GROUPS``, so that the pairs of a document and a group grow less than its square.
 2. Groups are made anew: a component's documents together, single ones by a shared token. The matrix row of a token lists
    the groups whose union holds it. A query document meets, through its tokens, the groups that could hold a partner
    and that are not wholly of its own component; sizes out of range are left away.
@@ -42,7 +43,7 @@ from .frequency import Packer, bit_table, mix, narrowed, repeated
 LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 #: Frequencies that tell rare tokens from common ones; the first also tells single ones.
 LEVELS = (2, 8, 64, 1024)
-GROUP = 48
+GROUPS = (64, 4096)
 QUERIES = 512
 
 
@@ -245,7 +246,8 @@ def join(df: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5), id_col
     sets = stash(sets_of(docs, n, bit_table(at.select("doc").distinct(), "doc")).join(at.select("doc").distinct(), "doc", "left_semi").dropDuplicates(["doc"]), "jaccard-sets")
 
     # 1. groups by a shared token, opened on themselves
-    lot = lambda size: F.pmod(F.xxhash64("doc"), F.ceil(size / GROUP))
+    share = lambda size: F.greatest(F.lit(GROUPS[0]), F.least(F.lit(GROUPS[1]), 4 * F.sqrt(size)))
+    lot = lambda size: F.pmod(F.xxhash64("doc"), F.ceil(size / share(size)))
     by_token = at.groupBy("doc").agg(F.min(F.struct("token", "holders")).alias("k0"), F.max(F.struct("token", "holders")).alias("k1"))
     by_token = stash(by_token, "jaccard-keys")
     dealt = by_token.select("doc", F.posexplode(F.array("k0", "k1")).alias("turn", "k")).select("doc", "turn", F.col("k.token").alias("key"), lot(F.col("k.holders")).alias("lot"))
