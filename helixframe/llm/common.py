@@ -16,6 +16,21 @@ def cores(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+class Shared:
+    """A broadcast value whose classes travel with it, so that workers need no installed copy of them."""
+
+    def __init__(self, spark: SparkSession, value) -> None:
+        from pyspark import cloudpickle
+
+        self.sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    @property
+    def value(self):
+        import pickle
+
+        return pickle.loads(self.sent.value)
+
+
 class FileSink:
     """A file of a task attempt. Its name is unique, so that a retried or speculative attempt never overwrites or
     doubles another's; readers open only the files that the manifest of the finished job lists."""
@@ -54,4 +69,4 @@ def read_files(spark: SparkSession, folder: str, uris: list[str]) -> DataFrame:
     return found.join(F.broadcast(names), F.substring_index("path", "/", -1) == F.col("name"), "left_semi")
 
 
-__all__ = ["FileSink", "cores", "drop", "free_shuffles", "new_folder", "read_files", "small_batches", "stash", "table"]
+__all__ = ["FileSink", "Shared", "cores", "drop", "free_shuffles", "new_folder", "read_files", "small_batches", "stash", "table"]

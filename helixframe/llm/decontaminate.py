@@ -75,16 +75,20 @@ def scan(text: str | None, found):
     return len(words), [(a, b, int(edge[2 * a]), int(edge[2 * b + 1])) for a, b in spans], items
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = 13, max_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_words, spans, items): spans hold the first and last hit word and the bytes of the original they take."""
+def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = 13, max_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_words, spans, items) and the columns in carry: spans hold the first and last hit word and the bytes of the
+    original they take."""
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     # a window is held about `window` times over, so the bound is on what the automaton holds
     size = (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) * window
     blocks = -(-size // max_bytes) or 1
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    extra = [(c, k) for c, k in docs.dtypes if c in carry]
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("__text"), *[F.col(f"`{c}`") for c, _ in extra])
     if blocks > 1:
-        docs = docs.withColumn("row", F.monotonically_increasing_id())
+        # each block scans the same stashed rows; what is carried meets the united hits by row
+        docs = whole = stash(docs.withColumn("__row", F.monotonically_increasing_id()), "decontaminate")
+        docs, extra = docs.select("doc_id", "__text", "__row"), [("__row", "long")]
 
     def block(k: int) -> DataFrame:
         own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
@@ -97,29 +101,29 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = 13, max_bytes
                 spans = [[dict(zip(("first", "last", "first_byte", "last_byte"), s)) for s in r[1]] for r in rows]
                 kind = pa.list_(pa.struct([(n, pa.int32()) for n in ("first", "last", "first_byte", "last_byte")]))
                 cols = [b.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array(spans, kind), pa.array([sorted(i for i in r[2] if i is not None) for r in rows], pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([*cols, *b.columns[2:]], ["doc_id", "n_words", "spans", "items", *["row"] * (blocks > 1)])
+                yield pa.RecordBatch.from_arrays([*cols, *b.columns[2:]], ["doc_id", "n_words", "spans", "items", *[c for c, _ in extra]])
 
-        return docs.mapInArrow(run, SCHEMA + ", row long" * (blocks > 1))
+        return docs.mapInArrow(run, SCHEMA + "".join(f", `{c}` {k}" for c, k in extra))
 
     if blocks == 1:
         return block(0)
-    parts = stash(docs, "decontaminate")
-    docs, out = parts, None
-    for k in range(blocks):
-        out = block(k) if out is None else out.unionByName(block(k))
-    merged = out.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("s"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    out = block(0)
+    for k in range(1, blocks):
+        out = out.unionByName(block(k))
+    merged = out.groupBy("__row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("s"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
     united = """aggregate(s, cast(array() as array<struct<first:int,last:int,first_byte:int,last_byte:int>>), (done, x) ->
         if(size(done) > 0 and element_at(done, -1).last >= x.first - 1,
            concat(slice(done, 1, size(done) - 1), array(named_struct('first', element_at(done, -1).first, 'last', greatest(element_at(done, -1).last, x.last),
                   'first_byte', element_at(done, -1).first_byte, 'last_byte', greatest(element_at(done, -1).last_byte, x.last_byte)))),
            concat(done, array(x))))"""
-    return merged.select("doc_id", "n_words", F.expr(united).alias("spans"), "items")
+    done = merged.select("doc_id", "n_words", F.expr(united).alias("spans"), "items", "__row")
+    return done.join(whole.select("__row", *carry), "__row").drop("__row") if carry else done.drop("__row")
 
 
-def judged(hits: DataFrame) -> DataFrame:
-    """The contract's columns: a document is contaminated if at least a twentieth of its words are hit."""
+def judged(hits: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """The contract's columns, and those in carry: a document is contaminated if at least a twentieth of its words are hit."""
     n_hit = F.expr("cast(aggregate(spans, 0, (n, s) -> n + s.last - s.first + 1) as long)")
-    out = hits.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",").cast("binary"), 256).alias("items_sha256"))
+    out = hits.select(*carry, "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",").cast("binary"), 256).alias("items_sha256"))
     return out.withColumn("contaminated", F.expr("n_hit > 0 and 20 * n_hit >= n_words"))
 
 

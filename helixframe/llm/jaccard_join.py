@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import Forest, components
-from .common import cores, drop, free_shuffles, stash, table
+from .common import Shared, cores, drop, free_shuffles, stash, table
 from .frequency import Packer, bit_table, mix, narrowed, repeated
 
 #: A-Z to a-z; words are then what bytes.split() gives, cut at 0x20 and 0x09 to 0x0D.
@@ -176,7 +176,7 @@ def scan(docs: DataFrame, n: int) -> DataFrame:
 
 def prefixes(docs: DataFrame, n: int, t: Fraction, tables: list) -> DataFrame:
     """(doc, token): the tokens of each document's prefix that may be in another document too."""
-    sent = docs.sparkSession.sparkContext.broadcast(tables)
+    sent = Shared(docs.sparkSession, tables)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, tables = Words(), sent.value
@@ -204,14 +204,14 @@ def prefixes(docs: DataFrame, n: int, t: Fraction, tables: list) -> DataFrame:
 
 def sets_of(docs: DataFrame, n: int, wanted) -> DataFrame:
     """(doc, n, tokens) of the documents that a bit table may hold."""
-    sent = docs.sparkSession.sparkContext.broadcast(wanted)
+    sent = Shared(docs.sparkSession, wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
+        words, table_ = Words(), sent.value
         for b in batches:
             keys = b.column(0)
             known = np.asarray(keys.is_valid())
-            own = b.filter(pa.array(known & sent.value.has(mix(np.asarray(keys.fill_null(0)).astype(np.int64)))))
+            own = b.filter(pa.array(known & table_.has(mix(np.asarray(keys.fill_null(0)).astype(np.int64)))))
             for ids, texts in slices([own]):
                 sets = [shingles(x, n, words) for x in texts]
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc", "n", "tokens"])

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import Shared, table
 
 WORD = r"[^\W\d_]+"
 UNKNOWN = "und"
@@ -102,9 +102,9 @@ def train(df: DataFrame, max_docs_per_lang: int = 800, n_max: int = 4, id_col: s
     return Model(langs, by.get("w", {}), by.get("g", {}), n_max)
 
 
-def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", table_limit: int = 400_000) -> DataFrame:
-    """(doc_id, lang_pred, score) of every row."""
-    sent = df.sparkSession.sparkContext.broadcast(model)
+def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", table_limit: int = 400_000, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, lang_pred, score) of every row, and the columns in carry, which pass by unread."""
+    sent = Shared(df.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -147,9 +147,12 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 best = int(np.argmax(s))
                 pred.append(m.langs[best])
                 score.append(round(float(1 / np.exp(s - s[best]).sum()), 6))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), *b.columns[2:]], ["doc_id", "lang_pred", "score", *carry])
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    own = "".join(f", `{c}` {k}" for c, k in df.dtypes if c in carry)
+    order = [c for c in df.columns if c in carry]
+    carry = tuple(order)
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("__text"), *[F.col(f"`{c}`") for c in order]).mapInArrow(run, "doc_id long, lang_pred string, score double" + own)
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cores, drop, free_shuffles, stash, table
+from .common import Shared, cores, drop, free_shuffles, stash, table
 from .frequency import Packer, bit_table, mix, narrowed, repeated
 
 PIECE = 8
@@ -209,12 +209,12 @@ RUNS = "doc long, start long, size long, major long, minor long"
 
 def runs(docs: DataFrame, length: int, quarters) -> DataFrame:
     """Round 2: (doc, start, size, rank of the quarter, rank of the whole run) of anchors that may not be unique."""
-    sent = docs.sparkSession.sparkContext.broadcast(quarters)
+    sent = Shared(docs.sparkSession, quarters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = Out(["doc", "start", "size", "major", "minor"])
+        out, table_ = Out(["doc", "start", "size", "major", "minor"]), sent.value
         for key, seg in segments(rows_of(batches), length):
-            pick = np.flatnonzero(sent.value.has(narrowed(seg.quarter)))
+            pick = np.flatnonzero(table_.has(narrowed(seg.quarter)))
             yield from out.add(key, seg.offset + seg.start[pick], seg.size[pick], seg.quarter[pick], seg.whole(pick))
         yield from out.end()
 
@@ -230,12 +230,12 @@ def texts_with(batches: Iterator[pa.RecordBatch], docs) -> Iterator[tuple]:
 
 def pieces(docs: DataFrame, length: int, wanted_docs, wanted_runs) -> DataFrame:
     """Round 3: (doc, start, size, rank of the common bytes, rank of the whole piece)."""
-    sent = docs.sparkSession.sparkContext.broadcast((wanted_docs, wanted_runs))
+    sent = Shared(docs.sparkSession, (wanted_docs, wanted_runs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = Out(["doc", "start", "size", "major", "minor"])
-        for key, seg in segments(texts_with(batches, sent.value[0]), length):
-            pick = np.flatnonzero(sent.value[1].has(place(key, seg.offset + seg.start)))
+        out, tables = Out(["doc", "start", "size", "major", "minor"]), sent.value
+        for key, seg in segments(texts_with(batches, tables[0]), length):
+            pick = np.flatnonzero(tables[1].has(place(key, seg.offset + seg.start)))
             if len(pick):
                 start, size, core, whole = seg.pieces(pick)
                 yield from out.add(key, seg.offset + start, size, core, whole)
@@ -246,15 +246,15 @@ def pieces(docs: DataFrame, length: int, wanted_docs, wanted_runs) -> DataFrame:
 
 def singles(docs: DataFrame, length: int, wanted_docs, wanted_runs, wanted_pieces) -> DataFrame:
     """Round 4: (doc, start, 1, rank of the first half, rank of the second) of single positions."""
-    sent = docs.sparkSession.sparkContext.broadcast((wanted_docs, wanted_runs, wanted_pieces))
+    sent = Shared(docs.sparkSession, (wanted_docs, wanted_runs, wanted_pieces))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = Out(["doc", "start", "size", "major", "minor"])
-        for key, seg in segments(texts_with(batches, sent.value[0]), length):
-            pick = np.flatnonzero(sent.value[1].has(place(key, seg.offset + seg.start)))
+        out, tables = Out(["doc", "start", "size", "major", "minor"]), sent.value
+        for key, seg in segments(texts_with(batches, tables[0]), length):
+            pick = np.flatnonzero(tables[1].has(place(key, seg.offset + seg.start)))
             if len(pick):
                 start, size, _, _ = seg.pieces(pick)
-                keep = sent.value[2].has(place(key, seg.offset + start))
+                keep = tables[2].has(place(key, seg.offset + start))
                 if keep.any():
                     at, one, two = seg.singles(start[keep], size[keep])
                     yield from out.add(key, seg.offset + at, np.ones(len(at), np.int64), one, two)
@@ -303,7 +303,8 @@ def covered(docs: DataFrame, length: int = 100) -> tuple[DataFrame, list[DataFra
 
 
 def dedup(df: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text, n_bytes, spans, kept): spans hold (start, end) of the maximal removed runs of bytes, kept the rest."""
+    """(doc_id, n_bytes, spans, kept, kept_text): spans hold (start, end) of the maximal removed runs of bytes, kept the bytes
+    outside; kept_text is their text, without characters that a run cuts in two."""
     if length < 16 or length > 900:
         raise ValueError("length must be from 16 to 900 bytes")
     docs = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
@@ -317,7 +318,7 @@ def dedup(df: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: st
             for i in range(0, b.num_rows, 256):
                 part = b.slice(i, 256)
                 texts, lists = part.column(1).to_pylist(), part.column(2)
-                spans, kept = [], []
+                spans, kept, clean = [], [], []
                 for k, text in enumerate(texts):
                     data, own = (text or "").encode(), lists[k]
                     merged: list[list[int]] = []
@@ -334,10 +335,16 @@ def dedup(df: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: st
                         rest.append(data[at:x])
                         at = y
                     spans.append([{"start": x, "end": y} for x, y in merged])
-                    kept.append(b"".join([*rest, data[at:]]))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len((t or "").encode()) for t in texts], pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())], ["doc_id", "text", "n_bytes", "spans", "kept"])
-
-    return met.mapInArrow(run, "doc_id long, text string, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+                    rest.append(data[at:])
+                    kept.append(b"".join(rest))
+                    # piece by piece, as halves of different characters could make another one
+                    clean.append("".join(x.decode("utf-8", "ignore") for x in rest) if merged else text)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array([len((t or "").encode()) for t in texts], pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary()), pa.array(clean, pa.string())],
+                    ["doc_id", "n_bytes", "spans", "kept", "kept_text"],
+                )
+
+    return met.mapInArrow(run, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary, kept_text string")
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
