@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import FileSink, cores, new_folder, read_files, stash, table
@@ -34,6 +34,8 @@ from .huffman import STEP, Coder, code_lengths
 
 MAGIC, BLOCK_MAGIC = b"HXT1", b"HXB1"
 BLOCK_IDS = 1 << 20
+#: Texts of so many bytes are tokenised together.
+BATCH_BYTES = 8 << 20
 
 
 class ChunkEncoder:
@@ -59,63 +61,128 @@ class ChunkEncoder:
         self.chunked = kind.get("type") == "ByteLevel" and not kind.get("add_prefix_space") and kind.get("use_regex", True)
         self.special = re.compile("|".join(map(re.escape, added))) if added else None
         self.cut = re.compile(r"(?= [^\s])")
-        self.odd = re.compile(r" \s|^\s| $|\s ")
-        self.known: dict[str, bytes] = {}
+        # the library's pattern takes these as white space
+        space = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+        self.odd = f" {space}|^{space}| $|{space} |\\x00"
+        if added:
+            self.odd += "|" + "|".join(re.sub(r"([^\w<>])", r"\\\1", x) for x in added)
+        self.special = re.compile("|".join(map(re.escape, added))) if added else None
         self.limit = table_limit
-
-    def chunks(self, text: str) -> list[str]:
-        """Keys: the first chunk with a mark before it, later ones without their space, or with a mark if odd."""
-        if self.odd.search(text):
-            return ["\0" + c for c in self.cut.split(text) if c]
-        parts = text.split(" ")
-        parts[0] = "\0" + parts[0]
-        return parts
+        self.clear()
+
+    def clear(self) -> None:
+        """An empty table: numbers of the chunks, and their ids end to end."""
+        self.known: dict[str, int] = {}
+        self.flat, self.start, self.count, self.used = np.zeros(1 << 16, self.dtype), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
+
+    def put(self, keys: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
+        n, k = len(self.known), len(keys)
+        while n + k > len(self.start):
+            self.start, self.count = np.append(self.start, np.zeros_like(self.start)), np.append(self.count, np.zeros_like(self.count))
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.append(self.flat, np.zeros_like(self.flat))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.start[n : n + k] = self.used + np.cumsum(counts) - counts
+        self.count[n : n + k] = counts
+        self.known.update(zip(keys, range(n, n + k)))
+        self.used += len(ids)
 
     def learn(self, keys: list[str]) -> None:
+        """Keys that begin with NUL stand for the text after it, others for a space and themselves."""
         spaced, alone = [k for k in keys if k[:1] != "\0"], [k for k in keys if k[:1] == "\0"]
         for i in range(0, len(spaced), 512):
             part = spaced[i : i + 512]
             ids = np.array(self.fast([" " + " ".join(part)])[0].ids, self.dtype)
             cut = np.flatnonzero(self.opens[ids])  # a chunk's first id, and no other, begins with a space
-            if len(cut) != len(part):
+            if len(cut) == len(part):
+                self.put(part, ids, np.diff(np.append(cut, len(ids))))
+            else:
                 alone += part
-                continue
-            raw, at = ids.tobytes(), (cut * ids.itemsize).tolist()
-            self.known.update(zip(part, [raw[x:y] for x, y in zip(at, [*at[1:], len(raw)])]))
-        for k, e in zip(alone, self.fast([k[1:] if k[:1] == "\0" else " " + k for k in alone])):
-            self.known[k] = np.array(e.ids, self.dtype).tobytes()
+        for i in range(0, len(alone), 512):
+            part = alone[i : i + 512]
+            got = [e.ids for e in self.fast([k[1:] if k[:1] == "\0" else " " + k for k in part])]
+            self.put(part, np.array([x for e in got for x in e], self.dtype), np.array([len(e) for e in got], np.int64))
 
     def fast(self, texts: list[str]):
         return self.tok.encode_batch_fast(texts, add_special_tokens=False)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids, 16 or 32 bits each."""
-        if len(self.known) > self.limit:
-            self.known.clear()
-        whole = [i for i, t in enumerate(texts) if t and (not self.chunked or self.special and self.special.search(t) or "\0" in t)]
-        odd = dict(zip(whole, self.fast([texts[i] for i in whole]))) if whole else {}
-        cuts = [self.chunks(t) if t and i not in odd else [] for i, t in enumerate(texts)]
+    def numbers(self, keys: list[str]) -> np.ndarray:
         known = self.known
-        self.learn([k for k in set().union(*cuts) if k not in known])
-        return [np.array(odd[i].ids, self.dtype).tobytes() if i in odd else b"".join(map(known.__getitem__, c)) for i, c in enumerate(cuts)]
+        self.learn(list(dict.fromkeys(k for k in keys if k not in known)))
+        return np.fromiter(map(known.__getitem__, keys), np.int64, len(keys))
+
+    def gathered(self, at: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the numbered chunks end to end, number of ids of each text); ends: where each text's chunks end."""
+        n = self.count[at]
+        total = np.cumsum(n)
+        ids = self.flat[np.repeat(self.start[at] - (total - n), n) + np.arange(total[-1] if len(n) else 0)]
+        upto = np.concatenate([[0], total])
+        return ids, np.diff(upto[ends], prepend=0)
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Each text's ids, 16 or 32 bits each, in bytes. Texts aren't null."""
+        import pyarrow.compute as pc
+
+        if len(self.known) > self.limit:
+            self.clear()
+        odd = np.asarray(pc.match_substring_regex(texts, self.odd)) if self.chunked else np.ones(len(texts), bool)
+        out: list[bytes] = [b""] * len(texts)
+        plain = np.flatnonzero(~odd)
+        if len(plain):
+            cuts = pc.split_pattern(texts.take(pa.array(plain)), " ")
+            ends = np.asarray(cuts.offsets)[1:].astype(np.int64)
+            coded = cuts.values.dictionary_encode()
+            number = self.numbers(coded.dictionary.to_pylist())[np.asarray(coded.indices)]
+            first = np.concatenate([[0], ends[:-1]])
+            number[first] = self.numbers(["\0" + x for x in cuts.values.take(pa.array(first)).to_pylist()])
+            self.fill(out, plain, number, ends)
+        rest = np.flatnonzero(odd)
+        if len(rest):
+            raw = texts.take(pa.array(rest)).to_pylist()
+            whole = [i for i, t in enumerate(raw) if not self.chunked or self.special and self.special.search(t)]
+            for i, e in zip(whole, self.fast([raw[i] for i in whole]) if whole else []):
+                out[rest[i]] = np.array(e.ids, self.dtype).tobytes()
+            own = [i for i in range(len(raw)) if i not in set(whole)] if whole else list(range(len(raw)))
+            chunks = [["\0" + c for c in self.cut.split(raw[i]) if c] for i in own]
+            keys = list(dict.fromkeys(k for c in chunks for k in c))
+            if keys:
+                index = dict(zip(keys, self.numbers(keys).tolist()))
+                self.fill(out, rest[own], np.array([index[k] for c in chunks for k in c], np.int64), np.cumsum([len(c) for c in chunks]))
+        return out
+
+    def fill(self, out: list[bytes], which: np.ndarray, number: np.ndarray, ends: np.ndarray) -> None:
+        ids, counts = self.gathered(number, ends)
+        raw, at = ids.tobytes(), np.concatenate([[0], np.cumsum(counts) * ids.itemsize]).tolist()
+        for k, x, y in zip(which.tolist(), at, at[1:]):
+            out[k] = raw[x:y]
 
 
 def tokenise(df: DataFrame, tokenizer: str, end_id: int | None, id_col: str = "doc_id", text_col: str = "text", table_limit: int = 400_000) -> DataFrame:
     """(doc_id, ids): ids as little-endian 16-bit integers, or 32-bit ones for a vocabulary of more than 65,536."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = None
-        for b in batches:
-            coder = coder or ChunkEncoder(tokenizer, table_limit)
+        import pyarrow.compute as pc
+
+        coder, waiting, size = None, [], 0
+
+        def done() -> pa.RecordBatch:
+            b = pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
             last = b"" if end_id is None else np.array([end_id], coder.dtype).tobytes()
-            texts, at = [x or "" for x in b.column(1).to_pylist()], 0
-            while at < len(texts):
-                to, size = at, 0
-                while to < len(texts) and size < 2_000_000:
-                    size += len(texts[to])
-                    to += 1
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, to - at), pa.array([x + last for x in coder.encode(texts[at:to])], pa.binary())], ["doc_id", "ids"])
+            return pa.RecordBatch.from_arrays([b.column(0), pa.array([x + last for x in coder.encode(b.column(1).fill_null(""))], pa.binary())], ["doc_id", "ids"])
+
+        for batch in batches:
+            coder = coder or ChunkEncoder(tokenizer, table_limit)
+            length, at = np.asarray(pc.binary_length(batch.column(1).fill_null(""))).cumsum(), 0
+            while at < batch.num_rows:
+                to = max(at + 1, int(np.searchsorted(length, (length[at - 1] if at else 0) + BATCH_BYTES - size, "right")))
+                waiting.append(batch.slice(at, to - at))
+                size += int(length[to - 1] - (length[at - 1] if at else 0))
                 at = to
+                if size >= BATCH_BYTES - (1 << 16):
+                    yield done()
+                    waiting, size = [], 0
+        if waiting:
+            yield done()
 
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary")
 
