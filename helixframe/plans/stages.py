@@ -1,4 +1,5 @@
-"""The stages as users run them: files in, files and a manifest out. Each is a thin shell around lazy operators."""
+"""The stages as users run them: files in, files and a manifest out. Each is a thin shell around lazy operators. Inputs and
+outputs may be URIs; what remote services answer (fetch, blast) is written by the driver to local folders."""
 
 from __future__ import annotations
 
@@ -20,17 +21,13 @@ from ..operators import filter as Q
 from ..operators import hits as H
 from ..operators import kmers as K
 from ..scratch import stash
+from ..sinks import uri
 from ..sources import fasta, metadata, remote
 from ..sources.env import Remote
 
 log = logging.getLogger("helixframe")
 
 
-def uri(path: str | Path) -> str:
-    """A local path for Spark; other URIs stay."""
-    return str(path) if "://" in str(path) else f"file://{Path(path).resolve()}"
-
-
 def _lookup(spark: SparkSession, path, how) -> DataFrame | None:
     return how(metadata.read_metadata(spark, uri(path))) if path else None
 
@@ -56,18 +53,18 @@ def fetch(service: remote.Entrez, spark: SparkSession, query: str, limit: int, o
 
 
 def filter_records(spark: SparkSession, in_fasta: str | Path, out_dir: str | Path, min_len: int, max_n_frac: float, alphabet: str, dedupe: bool, max_per_organism: int, in_metadata=None, write_report: bool = True) -> dict:
-    out = Path(out_dir)
+    out = str(out_dir).rstrip("/")
     rows = Q.records_of(fasta.read_fasta(spark, uri(in_fasta)), _lookup(spark, in_metadata, metadata.organism_lookup))
     cap = max(max_per_organism, 0)
     done = stash(Q.annotate(rows, min_len, max_n_frac, alphabet, dedupe, cap), "annotated")
     kept = done.where("kept")
-    paths = {"sequences": sinks.write_fasta(kept, out / "filtered_sequences.fasta", Q.fasta_header()), "report": None, "metadata": None}
+    paths = {"sequences": sinks.write_fasta(kept, f"{out}/filtered_sequences.fasta", Q.fasta_header()), "report": None, "metadata": None}
     if write_report:
         report = done.select("idx", "record_id", F.coalesce("accession", F.lit("")).alias("accession"), "length", "n_count", "n_frac", "gc_percent", F.col("kept").cast("string").alias("kept"), "reason", "duplicate_of", F.col("header").alias("original_header"))
-        paths["report"] = sinks.write_csv(report, out / "filter_report.csv", [c for c in report.columns if c != "idx"], {"n_frac": 5, "gc_percent": 2}, ["idx"])
+        paths["report"] = sinks.write_csv(report, f"{out}/filter_report.csv", [c for c in report.columns if c != "idx"], {"n_frac": 5, "gc_percent": 2}, ["idx"])
     if in_metadata:
         left = Q.filter_metadata(metadata.read_metadata(spark, uri(in_metadata)), kept.select("accession", "record_id"))
-        paths["metadata"] = sinks.write_lines(left, out / "filtered_metadata.jsonl", "raw", "line")
+        paths["metadata"] = sinks.write_lines(left, f"{out}/filtered_metadata.jsonl", "raw", "line")
     counts = {r["reason"]: r["n"] for r in Q.reason_counts(done).collect()}  # a row for each reason
     total = sum(counts.values())
     log.info("kept %s of %s; top organisms: %s", counts.get("ok", 0), total, [tuple(r) for r in Q.organism_counts(rows, 3).collect()])
@@ -76,25 +73,25 @@ def filter_records(spark: SparkSession, in_fasta: str | Path, out_dir: str | Pat
         "params": {"min_len": min_len, "max_n_frac": max_n_frac, "alphabet": alphabet.upper(), "dedupe": dedupe, "write_report": write_report, "max_per_organism": cap},
         "total_records": total, "kept_records": counts.get("ok", 0), "dropped_records": total - counts.get("ok", 0), "reason_counts": counts, "duplicates": counts.get("duplicate", 0), "dropped_max_per_organism": counts.get("max_per_organism", 0),
     }
-    sinks.write_manifest(out / "filter_manifest.json", manifest)
+    sinks.write_manifest(f"{out}/filter_manifest.json", manifest)
     return manifest
 
 
 def motifs(spark: SparkSession, in_fasta: str | Path, out_dir: str | Path, k: int, top: int, min_count: int, ignore_n: bool, canonical: bool, per_record: bool, alphabet: str) -> dict:
-    out, how = Path(out_dir), {"ignore_n": ignore_n, "canonical": canonical, "alphabet": alphabet}
+    out, how = str(out_dir).rstrip("/"), {"ignore_n": ignore_n, "canonical": canonical, "alphabet": alphabet}
     rows = stash(K.sequences_of(fasta.read_fasta(spark, uri(in_fasta))), "records")
     found = stash(K.motifs(rows, k, top, min_count, **how), "motifs")
-    sinks.write_csv(found, out / "motifs.csv", ["kmer", "count", "freq", "n_records", "idf_like"], {"freq": 6, "idf_like": 6}, [-F.col("count"), F.col("first")])
+    sinks.write_csv(found, f"{out}/motifs.csv", ["kmer", "count", "freq", "n_records", "idf_like"], {"freq": 6, "idf_like": 6}, [-F.col("count"), F.col("first")])
     n = K.summary(rows, k, top, min_count, **how).first()
     # without any k-mer the table is written empty; with k-mers of which none is wanted it isn't written
     if per_record and (n["unique_after_filters"] or not n["total_kmers"]):
-        sinks.write_csv(K.motifs_by_record(rows, found, k, **how), out / "motifs_by_record.csv", ["record_id", "kmer", "count", "freq_in_record"], {"freq_in_record": 6}, ["idx", "first_pos"])
+        sinks.write_csv(K.motifs_by_record(rows, found, k, **how), f"{out}/motifs_by_record.csv", ["record_id", "kmer", "count", "freq_in_record"], {"freq_in_record": 6}, ["idx", "first_pos"])
     effective = config.canonical_applies(canonical, alphabet) if n["total_kmers"] else canonical
     manifest = {
         "timestamp": sinks.now(), "input_fasta": str(in_fasta), "params": {"k": k, "top": top, "min_count": min_count, "ignore_n": ignore_n, "canonical": effective, "per_record": per_record, "alphabet": alphabet.upper()},
         "total_records": n["total_records"], "total_kmers_considered": n["total_kmers"], "unique_kmers": n["unique_kmers"], "unique_kmers_after_filters": n["unique_after_filters"], "notes": [] if n["total_kmers"] else ["No k-mers extracted"],
     }
-    sinks.write_manifest(out / "motifs_summary.json", manifest)
+    sinks.write_manifest(f"{out}/motifs_summary.json", manifest)
     return manifest
 
 
@@ -102,10 +99,10 @@ STATS = ["cluster_id", "size", "mean_len", "dominant_organism", "n_unique_organi
 
 
 def cluster(spark: SparkSession, in_fasta: str | Path, out_dir: str | Path, k: int, min_similarity: float, ignore_n: bool, canonical: bool, alphabet: str, max_pairs: int, in_metadata=None) -> dict:
-    out, how = Path(out_dir), {"ignore_n": ignore_n, "canonical": canonical, "alphabet": alphabet}
+    out, how = str(out_dir).rstrip("/"), {"ignore_n": ignore_n, "canonical": canonical, "alphabet": alphabet}
     rows = stash(K.sequences_of(fasta.read_fasta(spark, uri(in_fasta))), "records")
     total = rows.count()
-    paths = {"edges": out / "cluster_edges.csv", "clusters": out / "clusters.jsonl", "stats": out / "cluster_stats.csv"}
+    paths = {"edges": f"{out}/cluster_edges.csv", "clusters": f"{out}/clusters.jsonl", "stats": f"{out}/cluster_stats.csv"}
     evaluated = kept = 0
     number = total
     if total > 1:
@@ -124,34 +121,34 @@ def cluster(spark: SparkSession, in_fasta: str | Path, out_dir: str | Path, k: i
         sinks.write_csv(found, paths["stats"], STATS, {"mean_len": 2, "max_pairwise_sim": 4, "mean_pairwise_sim": 4}, ["number"])
     else:
         sinks.write_small_csv(paths["edges"], ["record_id_1", "record_id_2", "jaccard"], [])
-        paths["clusters"].write_text("", "utf-8")
+        sinks.write_text(paths["clusters"], "")
         sinks.write_small_csv(paths["stats"], STATS, [])
     manifest = {
         "timestamp": sinks.now(), "params": {"k": k, "min_similarity": min_similarity, "ignore_n": ignore_n, "canonical": canonical, "alphabet": alphabet, "max_pairs": max_pairs}, "inputs": {"fasta": str(in_fasta), "metadata": str(in_metadata) if in_metadata else None},
         "total_records": total, "pairs_evaluated": evaluated, "edges_kept": kept, "cluster_count": number, "outputs": {k: str(v) for k, v in paths.items()},
     }
-    sinks.write_manifest(out / "cluster_manifest.json", manifest)
+    sinks.write_manifest(f"{out}/cluster_manifest.json", manifest)
     return manifest
 
 
 def consensus(spark: SparkSession, clusters: str | Path, in_fasta: str | Path, out_dir: str | Path, method: str, k: int, min_cluster_size: int, min_overlap: int, min_identity: float, max_n_frac: float, canonical: bool = True, in_metadata=None) -> dict:
-    out = Path(out_dir)
+    out = str(out_dir).rstrip("/")
     found = metadata.read_clusters(spark, uri(clusters))
     rows = K.sequences_of(fasta.read_fasta(spark, uri(in_fasta)))
     built = stash(N.build(found, rows, method, min_cluster_size, min_overlap, min_identity, max_n_frac, _lookup(spark, in_metadata, metadata.consensus_lookup)), "consensus")
     # in the order of the clusters file, which their ids follow
     built = built.withColumn("number", F.regexp_extract("cluster_id", r"(\d+)", 1).try_cast("long"))
     header = F.concat(F.lit("CONS_"), "cluster_id", F.lit(" size="), F.col("size").cast("string"), F.lit(' dominant_organism="'), "organism", F.lit(f'" method={method} k={k}'))
-    paths = {"consensus_fasta": sinks.write_fasta(built.where("sequence is not null"), out / "consensus.fasta", header, "number")}
+    paths = {"consensus_fasta": sinks.write_fasta(built.where("sequence is not null"), f"{out}/consensus.fasta", header, "number")}
     stats = built.select("number", "cluster_id", F.col("size").alias("cluster_size"), F.col("length").alias("consensus_len"), "n_count", "n_frac", "gc_percent", F.lit(method).alias("method"), F.lit(k).alias("k"), F.lit(min_overlap).alias("min_overlap"), F.lit(min_identity).alias("min_identity"), "status", "note")
-    paths["consensus_stats"] = sinks.write_csv(stats, out / "consensus_stats.csv", [c for c in stats.columns if c != "number"], {"n_frac": 4, "gc_percent": 2, "min_identity": 2}, ["number"])
+    paths["consensus_stats"] = sinks.write_csv(stats, f"{out}/consensus_stats.csv", [c for c in stats.columns if c != "number"], {"n_frac": 4, "gc_percent": 2, "min_identity": 2}, ["number"])
     n = N.counters(found, built).first()
     manifest = {
         "timestamp": sinks.now(), "params": {"method": method, "k": k, "min_overlap": min_overlap, "min_identity": min_identity, "min_cluster_size": min_cluster_size, "max_n_frac": max_n_frac, "canonical": canonical},
         "inputs": {"clusters": str(clusters), "fasta": str(in_fasta), "metadata": str(in_metadata) if in_metadata else None},
         "nb_clusters_total": n["total"], "nb_clusters_attempted": n["attempted"], "nb_consensus_ok": n["ok"], "nb_consensus_failed": n["failed"], "outputs": {k: str(v) for k, v in paths.items()},
     }
-    sinks.write_manifest(out / "consensus_manifest.json", manifest)
+    sinks.write_manifest(f"{out}/consensus_manifest.json", manifest)
     return manifest
 
 
@@ -272,21 +269,21 @@ def blast_throttled(spark: SparkSession, jobs: remote.ThrottledJobs, in_fasta: s
 
 def export(spark: SparkSession, features_csv: str | Path, metadata_jsonl: str | Path, out_dir: str | Path, motifs_csv=None) -> dict:
     for p in (features_csv, metadata_jsonl, motifs_csv):
-        if p and not Path(p).exists():
+        if p and "://" not in str(p) and not Path(p).exists():
             raise FileNotFoundError(f"no such file: {p}")
-    out = Path(out_dir)
+    out = str(out_dir).rstrip("/")
     features, meta = metadata.read_features(spark, uri(features_csv)), metadata.read_metadata_table(spark, uri(metadata_jsonl))
     joined, keys = X.with_metadata(features, meta)
-    sinks.write_parquet(features, out / "features.parquet")
-    sinks.write_parquet(joined, out / "joined_dataset.parquet")
-    counts = {"features_rows": features.count(), "metadata_rows": meta.count(), "joined_rows": spark.read.parquet(uri(out / "joined_dataset.parquet")).count(), "motifs_rows": None}
+    sinks.write_parquet(features, f"{out}/features.parquet")
+    sinks.write_parquet(joined, f"{out}/joined_dataset.parquet")
+    counts = {"features_rows": features.count(), "metadata_rows": meta.count(), "joined_rows": spark.read.parquet(uri(f"{out}/joined_dataset.parquet")).count(), "motifs_rows": None}
     if motifs_csv:
         rows = metadata.read_features(spark, uri(motifs_csv))
-        sinks.write_parquet(rows, out / "motifs_by_record.parquet")
+        sinks.write_parquet(rows, f"{out}/motifs_by_record.parquet")
         counts["motifs_rows"] = rows.count()
     manifest = {
         "params": {"features_csv": str(features_csv), "metadata_jsonl": str(metadata_jsonl), "motifs_by_record_csv": str(motifs_csv) if motifs_csv else None, "out_dir": str(out)}, "join_keys": list(keys) if keys else None, "counts": counts,
         "generated_at": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime()), "version": __version__,
     }
-    sinks.write_manifest(out / "export_manifest.json", manifest)
+    sinks.write_manifest(f"{out}/export_manifest.json", manifest)
     return manifest

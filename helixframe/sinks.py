@@ -1,13 +1,12 @@
-"""Writers. A stage's table becomes one file where users expect one: Spark writes it as a single sorted part, which is then
-moved into place. Use the DataFrames themselves, or their Parquet, for tables too large for that."""
+"""Writers. A stage's table becomes one file where users expect one: Spark writes it to the shared folder as a single sorted
+part, which the driver then copies into place through Hadoop's file systems. Use the DataFrames themselves, or their
+Parquet, for tables too large for that. Paths without a scheme are local; on a cluster, give URIs that all machines reach."""
 
 from __future__ import annotations
 
 import csv
+import io
 import json
-import os
-import shutil
-import tempfile
 from collections.abc import Iterable, Sequence
 from datetime import datetime, timezone
 from pathlib import Path
@@ -16,6 +15,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .functions.exact import fixed
+from .scratch import new_folder
+
+
+def uri(path: str | Path) -> str:
+    """A local path as a URI; URIs stay."""
+    return str(path) if "://" in str(path) else f"file://{Path(path).resolve()}"
 
 
 def now() -> str:
@@ -28,34 +33,38 @@ def fasta_text(header: Column, sequence: Column, width: int = 80) -> Column:
     return F.when(F.length(sequence) > 0, F.concat(F.lit(">"), header, F.lit("\n"), body)).otherwise(F.concat(F.lit(">"), header))
 
 
-def _one_file(lines: DataFrame, path: str | Path, *order: str) -> Path:
-    """lines.value, sorted, as one text file. Rows go from Spark's part file, not through the driver's memory."""
-    path = Path(path)
-    path.parent.mkdir(parents=True, exist_ok=True)
-    parts = Path(tempfile.mkdtemp(dir=path.parent, prefix=".parts-"))
-    try:
-        sorted_ = lines.repartition(1).sortWithinPartitions(*order) if order else lines.coalesce(1)
-        sorted_.select("value").write.mode("overwrite").text(f"file://{parts.resolve()}")
-        with path.open("wb") as out:
-            for part in sorted(parts.glob("part-*")):
-                with part.open("rb") as f:
-                    shutil.copyfileobj(f, out)
-    finally:
-        shutil.rmtree(parts, ignore_errors=True)
+def _one_file(lines: DataFrame, path: str | Path, *order: str) -> str | Path:
+    """lines.value, sorted, as one text file. Its rows don't pass through the driver's memory."""
+    spark = lines.sparkSession
+    parts = new_folder(spark, "sink")
+    sorted_ = lines.repartition(1).sortWithinPartitions(*order) if order else lines.coalesce(1)
+    sorted_.select("value").write.text(parts)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    source, target = at(parts).getFileSystem(conf), at(uri(path)).getFileSystem(conf)
+    target.mkdirs(at(uri(path)).getParent())
+    found = source.globStatus(at(f"{parts}/part-*"))
+    if len(found):
+        jvm.org.apache.hadoop.fs.FileUtil.copy(source, found[0].getPath(), target, at(uri(path)), False, True, conf)
+    else:
+        target.create(at(uri(path)), True).close()
+    source.delete(at(parts), True)
+    name = at(uri(path))
+    target.delete(jvm.org.apache.hadoop.fs.Path(name.getParent(), f".{name.getName()}.crc"), False)  # local copies leave one
     return path
 
 
-def write_fasta(records: DataFrame, path: str | Path, header: Column, order: str = "idx", width: int = 80) -> Path:
+def write_fasta(records: DataFrame, path: str | Path, header: Column, order: str = "idx", width: int = 80) -> str | Path:
     return _one_file(records.select(F.col(order), fasta_text(header, F.coalesce("sequence", F.lit("")), width).alias("value")), path, order)
 
 
-def write_jsonl(rows: DataFrame, path: str | Path, *order: str) -> Path:
+def write_jsonl(rows: DataFrame, path: str | Path, *order: str) -> str | Path:
     """A JSON object for each row; nulls are written."""
     own = [c for c in rows.columns if not c.startswith("__")]
     return _one_file(rows.select(*order, F.to_json(F.struct(*own), {"ignoreNullFields": "false"}).alias("value")), path, *order)
 
 
-def write_lines(rows: DataFrame, path: str | Path, value: str, *order: str) -> Path:
+def write_lines(rows: DataFrame, path: str | Path, value: str, *order: str) -> str | Path:
     return _one_file(rows.select(*order, F.col(value).alias("value")), path, *order)
 
 
@@ -65,39 +74,44 @@ def _cell(c: Column) -> Column:
     return F.when(text.rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
 
 
-def write_csv(rows: DataFrame, path: str | Path, columns: Sequence[str], digits: dict[str, int] | None = None, order: Sequence[Column | str] = ()) -> Path:
+def write_csv(rows: DataFrame, path: str | Path, columns: Sequence[str], digits: dict[str, int] | None = None, order: Sequence[Column | str] = ()) -> str | Path:
     """A header and the rows, lines ending in CRLF; digits: columns written with so many digits after the point."""
     digits = digits or {}
     by = [F.col(o) if isinstance(o, str) else o for o in order]
     keys = [f"__o{i}" for i in range(len(by))]
     ready = rows.select(*[fixed(F.col(c), digits[c]).alias(c) if c in digits else F.col(c) for c in columns], *[o.alias(k) for o, k in zip(by, keys)])
-    path = _one_file(ready.select(*keys, F.concat(F.concat_ws(",", *[_cell(F.col(c)) for c in columns]), F.lit("\r")).alias("value")), path, *keys)
-    head = ",".join(columns) + "\r\n"
-    with tempfile.NamedTemporaryFile("wb", dir=path.parent, delete=False) as out:
-        out.write(head.encode())
-        with path.open("rb") as f:
-            shutil.copyfileobj(f, out)
-    os.chmod(out.name, 0o644)
-    os.replace(out.name, path)
+    body = ready.select(F.lit(1).alias("__body"), *keys, F.concat(F.concat_ws(",", *[_cell(F.col(c)) for c in columns]), F.lit("\r")).alias("value"))
+    head = rows.sparkSession.range(1).select(F.lit(0).alias("__body"), F.lit(",".join(columns) + "\r").alias("value"))
+    return _one_file(body.unionByName(head, allowMissingColumns=True), path, "__body", *keys)
+
+
+def write_text(path: str | Path, text: str) -> str | Path:
+    """A small file that the driver made itself."""
+    if "://" in str(path):
+        from pyarrow import fs
+
+        store, name = fs.FileSystem.from_uri(str(path))
+        store.create_dir(name.rsplit("/", 1)[0], recursive=True)
+        with store.open_output_stream(name) as out:
+            out.write(text.encode())
+    else:
+        Path(path).parent.mkdir(parents=True, exist_ok=True)
+        Path(path).write_bytes(text.encode())
     return path
 
 
-def write_small_csv(path: str | Path, columns: Sequence[str], rows: Iterable[Sequence]) -> Path:
-    """Rows that the driver made itself."""
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    with Path(path).open("w", newline="", encoding="utf-8") as f:
-        out = csv.writer(f)
-        out.writerow(columns)
-        out.writerows(rows)
-    return Path(path)
+def write_small_csv(path: str | Path, columns: Sequence[str], rows: Iterable[Sequence]) -> str | Path:
+    out = io.StringIO()
+    writer = csv.writer(out)
+    writer.writerow(columns)
+    writer.writerows(rows)
+    return write_text(path, out.getvalue())
 
 
-def write_manifest(path: str | Path, values: dict) -> Path:
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(values, indent=2, ensure_ascii=False), "utf-8")
-    return Path(path)
+def write_manifest(path: str | Path, values: dict) -> str | Path:
+    return write_text(path, json.dumps(values, indent=2, ensure_ascii=False))
 
 
-def write_parquet(rows: DataFrame, path: str | Path) -> Path:
-    rows.write.mode("overwrite").parquet(f"file://{Path(path).resolve()}")
-    return Path(path)
+def write_parquet(rows: DataFrame, path: str | Path) -> str | Path:
+    rows.write.mode("overwrite").parquet(uri(path))
+    return path
