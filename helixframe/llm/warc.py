@@ -143,7 +143,6 @@ def salvage(data: bytes) -> Iterator[Found]:
     """All records of an archive that pass the checks, and the gaps between them."""
     at = 0
     while at < len(data):
-        why = "neither a member nor a version line"
         try:
             if data.startswith(GZIP, at):
                 head, block, end = member(data, at)

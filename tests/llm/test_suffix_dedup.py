@@ -80,6 +80,11 @@ def test_crowded_bit_tables_change_nothing(docs, monkeypatch):
     assert found(docs(rows), 24) == brute(rows, 24)
 
 
+def test_ids_too_far_apart_for_one_number(docs):
+    rows = [(i * (1 << 55) if i % 2 else -i, t) for i, (_, t) in enumerate(corpus(6, 24))][:60]
+    assert len({i for i, _ in rows}) == 60 and found(docs(rows), 24) == brute(rows, 24)
+
+
 def test_nulls_ties_and_clashing_columns(docs):
     long = "abc def ghi " * 20
     rows = [(None, long + "1"), (5, "pre " + long), (9, long), (9, long)]

@@ -70,7 +70,7 @@ def test_a_version_line_inside_a_payload_is_not_a_record():
 
 
 def test_nothing_to_read():
-    assert list(W.salvage(b"")) == [] and [x.gap for x in W.salvage(b"abc")] == ["neither a member nor a version line"]
+    assert list(W.salvage(b"")) == [] and [x.gap for x in W.salvage(b"abc")] == ["no version line"]
 
 
 def brute(pages):
