@@ -7,7 +7,8 @@ file of independent blocks. A block holds its documents' ids and lengths and its
 the decoder steps through all lanes of a block at once with one 65,536-entry table.
 
 Tokenising cuts a text before each single space that a visible character follows; the byte-level pattern always cuts
-there, so the tokenizers library encodes each distinct chunk once a task and the chunks' ids are joined by position.
+there, so the tokenizers library encodes each distinct chunk once a worker, as long as its table has room, and the chunks'
+ids are joined by position.
 
 File: magic, then the length of the code table and the zlib-packed code lengths, then blocks. All numbers are
 little-endian. Block: magic, number of documents, ids, checkpoints and bit bytes, then doc ids (int64, with a
@@ -35,7 +36,7 @@ from .huffman import STEP, Coder, code_lengths
 MAGIC, BLOCK_MAGIC = b"HXT1", b"HXB1"
 BLOCK_IDS = 1 << 20
 #: Texts of so many bytes are tokenised together.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 16 << 20
 
 
 class ChunkEncoder:
@@ -70,6 +71,16 @@ class ChunkEncoder:
         self.limit = table_limit
         self.clear()
 
+    @classmethod
+    def of_worker(cls, path: str, table_limit: int) -> ChunkEncoder:
+        """The encoder of this Python worker, which serves its later tasks too. What it knows depends on the tokenizer alone."""
+        import pyspark
+
+        kept = pyspark.__dict__.setdefault("_kept_by_worker", {})
+        if (path, table_limit) not in kept:
+            kept[path, table_limit] = cls(path, table_limit)
+        return kept[path, table_limit]
+
     def clear(self) -> None:
         """An empty table: numbers of the chunks, and their ids end to end."""
         self.known: dict[str, int] = {}
@@ -106,9 +117,10 @@ class ChunkEncoder:
     def fast(self, texts: list[str]):
         return self.tok.encode_batch_fast(texts, add_special_tokens=False)
 
-    def numbers(self, keys: list[str]) -> np.ndarray:
+    def numbers(self, keys: list[str], distinct: bool = True) -> np.ndarray:
         known = self.known
-        self.learn(list(dict.fromkeys(k for k in keys if k not in known)))
+        new = [k for k in keys if k not in known]
+        self.learn(new if distinct else list(dict.fromkeys(new)))
         return np.fromiter(map(known.__getitem__, keys), np.int64, len(keys))
 
     def gathered(self, at: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -134,7 +146,7 @@ class ChunkEncoder:
             coded = cuts.values.dictionary_encode()
             number = self.numbers(coded.dictionary.to_pylist())[np.asarray(coded.indices)]
             first = np.concatenate([[0], ends[:-1]])
-            number[first] = self.numbers(["\0" + x for x in cuts.values.take(pa.array(first)).to_pylist()])
+            number[first] = self.numbers(["\0" + x for x in cuts.values.take(pa.array(first)).to_pylist()], distinct=False)
             self.fill(out, plain, number, ends)
         rest = np.flatnonzero(odd)
         if len(rest):
@@ -157,7 +169,7 @@ class ChunkEncoder:
             out[k] = raw[x:y]
 
 
-def tokenise(df: DataFrame, tokenizer: str, end_id: int | None, id_col: str = "doc_id", text_col: str = "text", table_limit: int = 400_000) -> DataFrame:
+def tokenise(df: DataFrame, tokenizer: str, end_id: int | None, id_col: str = "doc_id", text_col: str = "text", table_limit: int = 700_000) -> DataFrame:
     """(doc_id, ids): ids as little-endian 16-bit integers, or 32-bit ones for a vocabulary of more than 65,536."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,7 +183,7 @@ def tokenise(df: DataFrame, tokenizer: str, end_id: int | None, id_col: str = "d
             return pa.RecordBatch.from_arrays([b.column(0), pa.array([x + last for x in coder.encode(b.column(1).fill_null(""))], pa.binary())], ["doc_id", "ids"])
 
         for batch in batches:
-            coder = coder or ChunkEncoder(tokenizer, table_limit)
+            coder = coder or ChunkEncoder.of_worker(tokenizer, table_limit)
             length, at = np.asarray(pc.binary_length(batch.column(1).fill_null(""))).cumsum(), 0
             while at < batch.num_rows:
                 to = max(at + 1, int(np.searchsorted(length, (length[at - 1] if at else 0) + BATCH_BYTES - size, "right")))
