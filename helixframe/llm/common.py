@@ -30,6 +30,10 @@ class Shared:
 
         return pickle.loads(self.sent.value)
 
+    def drop(self) -> None:
+        """Frees it everywhere, once no plan needs it any more."""
+        self.sent.destroy()
+
 
 class FileSink:
     """A file of a task attempt. Its name is unique, so that a retried or speculative attempt never overwrites or

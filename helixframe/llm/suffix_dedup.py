@@ -183,20 +183,59 @@ class Out:
 
 
 def scan(docs: DataFrame, length: int) -> DataFrame:
-    """Packed ranks of all anchors' quarters."""
+    """Packed ranks of all anchors' quarters, and for each task the least and largest id and the longest text."""
     ranges = 4 * cores(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = Packer(ranges)
-        out = lambda x: pa.RecordBatch.from_arrays([pa.array(x[0], pa.int32()), pa.array(x[1], pa.binary())], ["range", "packed"])
-        for _, seg in segments(rows_of(batches), length):
+        packer, ids, longest = Packer(ranges), [], 0
+        names = ["range", "packed", "least", "most", "longest"]
+
+        def out(used, data):
+            none = pa.nulls(len(used), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(data, pa.binary()), none, none, none], names)
+
+        def seen():
+            nonlocal ids, longest
+            for b in batches:
+                found = pc.min_max(b.column(0))
+                ids += [x for x in (found["min"].as_py(), found["max"].as_py()) if x is not None]
+                ids = [min(ids), max(ids)] if ids else []
+                longest = max(longest, pc.max(pc.binary_length(b.column(1))).as_py() or 0)
+                yield b
+
+        import pyarrow.compute as pc
+
+        for _, seg in segments(rows_of(seen()), length):
             for x in packer.add(seg.quarter):
-                yield out(x)
-        last = packer.flush()
-        if last[0]:
-            yield out(last)
+                yield out(*x)
+        yield out(*packer.flush())
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), pa.array([min(ids, default=None)], pa.int64()), pa.array([max(ids, default=None)], pa.int64()), pa.array([longest], pa.int64())], names)
+
+    return docs.mapInArrow(run, "range int, packed binary, least long, most long, longest long")
+
 
-    return docs.mapInArrow(run, "range int, packed binary")
+class Places:
+    """(doc, start) as one number in their order, which aggregations handle best; as a struct where numbers don't reach."""
+
+    def __init__(self, scanned: DataFrame) -> None:
+        r = scanned.where("range is null").agg(F.min("least"), F.max("most"), F.max("longest")).first()
+        self.least, self.bits = r[0] or 0, max(1, (r[2] or 0).bit_length())
+        self.fits = ((r[1] or 0) - self.least + 2).bit_length() + self.bits < 63
+
+    def of(self, rows: DataFrame) -> DataFrame:
+        """rows with ``at`` instead of doc and start; null ids come first."""
+        at = F.struct("doc", "start")
+        if self.fits:
+            at = F.shiftleft(F.coalesce(F.col("doc") - self.least + 1, F.lit(0).cast("long")), self.bits).bitwiseOR(F.col("start"))
+        return rows.select(at.alias("at"), *[c for c in rows.columns if c not in ("doc", "start")])
+
+    def split(self, rows: DataFrame) -> DataFrame:
+        """The way back."""
+        doc, start = F.col("at.doc"), F.col("at.start")
+        if self.fits:
+            rank = F.shiftright("at", self.bits)
+            doc, start = F.when(rank > 0, rank - 1 + self.least), F.col("at").bitwiseAND((1 << self.bits) - 1)
+        return rows.select(doc.alias("doc"), start.alias("start"), *[c for c in rows.columns if c != "at"])
 
 
 def place(key: int | None, at: np.ndarray) -> np.ndarray:
@@ -207,9 +246,9 @@ def place(key: int | None, at: np.ndarray) -> np.ndarray:
 RUNS = "doc long, start long, size long, major long, minor long"
 
 
-def runs(docs: DataFrame, length: int, quarters) -> DataFrame:
-    """Round 2: (doc, start, size, rank of the quarter, rank of the whole run) of anchors that may not be unique."""
-    sent = Shared(docs.sparkSession, quarters)
+def runs(docs: DataFrame, length: int, sent: Shared) -> DataFrame:
+    """Round 2: (doc, start, size, rank of the quarter, rank of the whole run) of anchors that may not be unique, as the bit
+    table sent says."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, table_ = Out(["doc", "start", "size", "major", "minor"]), sent.value
@@ -228,9 +267,8 @@ def texts_with(batches: Iterator[pa.RecordBatch], docs) -> Iterator[tuple]:
         yield from rows_of([b.filter(pa.array(docs.has(mix(keys))))])
 
 
-def pieces(docs: DataFrame, length: int, wanted_docs, wanted_runs) -> DataFrame:
-    """Round 3: (doc, start, size, rank of the common bytes, rank of the whole piece)."""
-    sent = Shared(docs.sparkSession, (wanted_docs, wanted_runs))
+def pieces(docs: DataFrame, length: int, sent: Shared) -> DataFrame:
+    """Round 3: (doc, start, size, rank of the common bytes, rank of the whole piece). sent: bit tables of documents and runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, tables = Out(["doc", "start", "size", "major", "minor"]), sent.value
@@ -244,9 +282,9 @@ def pieces(docs: DataFrame, length: int, wanted_docs, wanted_runs) -> DataFrame:
     return docs.mapInArrow(run, RUNS)
 
 
-def singles(docs: DataFrame, length: int, wanted_docs, wanted_runs, wanted_pieces) -> DataFrame:
-    """Round 4: (doc, start, 1, rank of the first half, rank of the second) of single positions."""
-    sent = Shared(docs.sparkSession, (wanted_docs, wanted_runs, wanted_pieces))
+def singles(docs: DataFrame, length: int, sent: Shared) -> DataFrame:
+    """Round 4: (doc, start, 1, rank of the first half, rank of the second) of single positions. sent: bit tables of documents,
+    runs and pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, tables = Out(["doc", "start", "size", "major", "minor"]), sent.value
@@ -265,41 +303,51 @@ def singles(docs: DataFrame, length: int, wanted_docs, wanted_runs, wanted_piece
 
 def rerank(ranked: DataFrame, name: str, more: bool = True) -> tuple[DataFrame, DataFrame | None]:
     """(settled, left): rows that aren't the first of their class, and the firsts of classes that share their major rank
-    with another class. ranked is stashed; so are both results."""
-    classes = stash(ranked.groupBy("major", "minor").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("n")), f"{name}-classes")
+    with another class. ranked (at, size, major, minor) is stashed; so are both results."""
+    classes = stash(ranked.groupBy("major", "minor").agg(F.min("at").alias("first"), F.count("*").alias("n")), f"{name}-classes")
     later = ranked.join(classes.where("n > 1").select("major", "minor", "first"), ["major", "minor"])
-    settled = stash(later.where(~F.struct("doc", "start").eqNullSafe(F.col("first"))).select("doc", "start", "size"), f"{name}-settled")
+    settled = stash(later.where(~F.col("at").eqNullSafe(F.col("first"))).select("at", "size"), f"{name}-settled")
     left = None
     if more:
         several = stash(classes.groupBy("major").agg(F.count("*").alias("n")).where("n > 1").select("major"), f"{name}-several")
-        left = stash(classes.select("major", "first").join(several, "major", "left_semi").select("first.doc", "first.start"), f"{name}-left")
+        left = stash(classes.select("major", F.col("first").alias("at")).join(several, "major", "left_semi").select("at"), f"{name}-left")
         drop(several)
     drop(classes)
     free_shuffles(ranked.sparkSession)
     return settled, left
 
 
-def covered(docs: DataFrame, length: int = 100) -> tuple[DataFrame, list[DataFrame]]:
-    """(doc, start, size): runs of windows that occur earlier as well, and the stashes they are read from."""
+def covered(docs: DataFrame, length: int = 100) -> DataFrame:
+    """(doc, start, size): runs of windows that occur earlier as well."""
     packed = stash(scan(docs, length), "suffix-scan")
-    quarters = stash(repeated(packed), "suffix-quarters")
+    places = Places(packed)
+    quarters = stash(repeated(packed.where("range is not null")), "suffix-quarters")
     table_ = bit_table(quarters, "value", hashed=False)
     drop(packed, quarters)
-    ranked = stash(runs(docs, length, table_), "suffix-runs")
-    one, left = rerank(ranked, "suffix-runs")
-    drop(ranked)
-    own = left.select(F.coalesce("doc", F.lit(-1)).alias("doc"), "start")
-    in_docs, in_runs = bit_table(own.select("doc").distinct(), "doc"), bit_table(own, "doc", "start")
+
+    def keys(left: DataFrame) -> DataFrame:
+        return places.split(left).select(F.coalesce("doc", F.lit(-1)).alias("doc"), "start")
+
+    def ranked(rows, tables, name: str) -> DataFrame:
+        sent = Shared(docs.sparkSession, tables)
+        out = stash(places.of(rows(docs, length, sent)), name)
+        sent.drop()
+        return out
+
+    rows = ranked(runs, table_, "suffix-runs")
+    one, left = rerank(rows, "suffix-runs")
+    drop(rows)
+    in_docs, in_runs = bit_table(keys(left).select("doc").distinct(), "doc"), bit_table(keys(left), "doc", "start")
     drop(left)
-    ranked = stash(pieces(docs, length, in_docs, in_runs), "suffix-pieces")
-    two, left = rerank(ranked, "suffix-pieces")
-    drop(ranked)
-    in_pieces = bit_table(left.select(F.coalesce("doc", F.lit(-1)).alias("doc"), "start"), "doc", "start")
+    rows = ranked(pieces, (in_docs, in_runs), "suffix-pieces")
+    two, left = rerank(rows, "suffix-pieces")
+    drop(rows)
+    in_pieces = bit_table(keys(left), "doc", "start")
     drop(left)
-    ranked = stash(singles(docs, length, in_docs, in_runs, in_pieces), "suffix-singles")
-    three, _ = rerank(ranked, "suffix-singles", more=False)
-    drop(ranked)
-    return one.union(two).union(three), [one, two, three]
+    rows = ranked(singles, (in_docs, in_runs, in_pieces), "suffix-singles")
+    three, _ = rerank(rows, "suffix-singles", more=False)
+    drop(rows)
+    return places.split(one.union(two).union(three))
 
 
 def dedup(df: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -308,8 +356,7 @@ def dedup(df: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: st
     if length < 16 or length > 900:
         raise ValueError("length must be from 16 to 900 bytes")
     docs = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    found, _ = covered(docs, length)
-    by_doc = stash(found.groupBy("doc").agg(F.collect_list(F.struct("start", (F.col("start") + F.col("size") + length - 1).alias("end"))).alias("runs")), "suffix-by-doc")
+    by_doc = stash(covered(docs, length).groupBy("doc").agg(F.collect_list(F.struct("start", (F.col("start") + F.col("size") + length - 1).alias("end"))).alias("runs")), "suffix-by-doc")
     met = docs.join(by_doc.select(F.col("doc").alias("d"), "runs"), F.col("doc").eqNullSafe(F.col("d")), "left").select("doc", "text", "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
