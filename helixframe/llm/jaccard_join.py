@@ -159,7 +159,7 @@ def scan(docs: DataFrame, n: int) -> DataFrame:
         for keys, texts in slices(batches):
             sets = [shingles(x, n, words) for x in texts]
             f1 = [int(mix(s).sum()) if len(s) else 0 for s in sets]
-            f2 = [int((mix(s) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(1)).sum()) if len(s) else 0 for s in sets]
+            f2 = [int(mix(s ^ np.uint64(0x9E3779B97F4A7C15)).sum()) if len(s) else 0 for s in sets]  # of other hashes
             as_long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(keys, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), as_long(f1), as_long(f2), pa.nulls(len(keys), pa.int32()), pa.nulls(len(keys), pa.binary())], names
@@ -174,9 +174,8 @@ def scan(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(run, "doc long, n long, f1 long, f2 long, range int, packed binary")
 
 
-def prefixes(docs: DataFrame, n: int, t: Fraction, tables: list) -> DataFrame:
-    """(doc, token): the tokens of each document's prefix that may be in another document too."""
-    sent = Shared(docs.sparkSession, tables)
+def prefixes(docs: DataFrame, n: int, t: Fraction, sent: Shared) -> DataFrame:
+    """(doc, token): the tokens of each document's prefix that may be in another document too. sent: bit tables by frequency."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, tables = Words(), sent.value
@@ -202,9 +201,8 @@ def prefixes(docs: DataFrame, n: int, t: Fraction, tables: list) -> DataFrame:
     return docs.mapInArrow(run, "doc long, token long")
 
 
-def sets_of(docs: DataFrame, n: int, wanted) -> DataFrame:
-    """(doc, n, tokens) of the documents that a bit table may hold."""
-    sent = Shared(docs.sparkSession, wanted)
+def sets_of(docs: DataFrame, n: int, sent: Shared) -> DataFrame:
+    """(doc, n, tokens) of the documents that the bit table sent may hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, table_ = Words(), sent.value
@@ -228,14 +226,14 @@ def join(df: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5), id_col
 
     # classes of equal sets
     classes = stash(rows.where("n > 0 and doc is not null").groupBy("f1", "f2", "n").agg(F.min("doc").alias("rep"), F.count("*").alias("copies")).where("copies > 1").drop("copies"), "jaccard-classes")
-    member = stash(rows.join(classes, ["f1", "f2", "n"], "left").select("doc", "n", F.coalesce("rep", "doc").alias("rep")), "jaccard-members")
+    member = stash(rows.join(classes, ["f1", "f2", "n"], "left").select("doc", "n", F.when(F.col("doc").isNotNull(), F.coalesce("rep", "doc")).alias("rep")), "jaccard-members")
 
     # tokens in more than one document, by frequency
     shared = stash(repeated(scanned.where("range is not null")), "jaccard-tokens")
-    tables = [bit_table(shared.where(F.col("n") >= x), "value", hashed=False) for x in LEVELS]
+    tables = Shared(spark, [bit_table(shared.where(F.col("n") >= x), "value", hashed=False) for x in LEVELS])
     drop(scanned, shared)
     found = stash(prefixes(docs, n, t, tables), "jaccard-prefixes")
-    del tables
+    tables.drop()
     own = found.join(member.where("doc = rep").select("doc").distinct(), "doc", "left_semi").distinct()
     own = stash(own, "jaccard-own")
     drop(found, classes)
@@ -243,7 +241,9 @@ def join(df: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5), id_col
     at = stash(own.join(often, "token"), "jaccard-open")
     drop(own, often)
     free_shuffles(spark)
-    sets = stash(sets_of(docs, n, bit_table(at.select("doc").distinct(), "doc")).join(at.select("doc").distinct(), "doc", "left_semi").dropDuplicates(["doc"]), "jaccard-sets")
+    wanted = Shared(spark, bit_table(at.select("doc").distinct(), "doc"))
+    sets = stash(sets_of(docs, n, wanted).join(at.select("doc").distinct(), "doc", "left_semi").dropDuplicates(["doc"]), "jaccard-sets")
+    wanted.drop()
 
     # 1. groups by a shared token, opened on themselves
     share = lambda size: F.greatest(F.lit(GROUPS[0]), F.least(F.lit(GROUPS[1]), 4 * F.sqrt(size)))
@@ -267,12 +267,17 @@ def join(df: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5), id_col
     major = held.groupBy("token", "label").agg(F.count("*").alias("c")).groupBy("token").agg(F.max(F.struct("c", "label"))["label"].alias("major"), F.count("*").alias("labels")).where("labels > 1").select("token", "major")
     major = stash(major, "jaccard-major")
     held = stash(held.join(major, "token"), "jaccard-held")
-    matrix = stash(held.groupBy("token", "grp").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("label") == F.col("major")).alias("of_major")), "jaccard-matrix")
+    cell = F.struct("grp", "least", "most", "of_major")
+    cells = held.groupBy("token", "grp").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("label") == F.col("major")).alias("of_major"))
+    # a row of the matrix lists a token's groups, of which there are about the root of its holders; a query document takes the
+    # rows of its tokens and makes the groups in them distinct before any becomes a row of its own
+    matrix = stash(cells.groupBy("token").agg(F.collect_list(cell).alias("row")), "jaccard-matrix")
     query = held.where("label != major").select("token", "doc", "n", "label", F.col("grp").alias("own"))
     # overlap >= t * max(sizes), so sizes of partners are within t of each other
-    near = (F.col("n") * t.denominator >= F.col("least") * t.numerator) & (F.col("most") * t.denominator >= F.col("n") * t.numerator)
-    cand = query.join(matrix, "token").where(near & (F.col("of_major") | (F.col("own") <= F.col("grp"))) & ~((F.col("grp.whole") == 1) & (F.col("grp.key") == F.col("label"))))
-    cand = stash(cand.select("doc", "grp").distinct(), "jaccard-candidates")
+    num, den = t.numerator, t.denominator
+    meets = f"n * {den} >= c.least * {num} and c.most * {den} >= n * {num} and (c.of_major or own <= c.grp) and not (c.grp.whole = 1 and c.grp.key = label)"
+    met = query.join(matrix, "token").select("doc", F.expr(f"transform(filter(row, c -> {meets}), c -> c.grp)").alias("met")).where(F.size("met") > 0)
+    cand = stash(met.groupBy("doc").agg(F.array_distinct(F.flatten(F.collect_list("met"))).alias("met")).select("doc", F.explode("met").alias("grp")), "jaccard-candidates")
     drop(major, held, matrix, at, by_token, size)
     free_shuffles(spark)
 
