@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stash, table
+from .common import bounded_batches, stash, table
 
 #: Bytes to what they count as: digits, a-z and all bytes of non-ASCII characters stay, A-Z are lower-cased, the rest parts words.
 FOLD = bytes(i + 32 if 65 <= i <= 90 else i if 48 <= i <= 57 or 97 <= i <= 122 or i > 127 else 32 for i in range(256))
@@ -84,7 +84,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = 13, max_bytes
     size = (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) * window
     blocks = -(-size // max_bytes) or 1
     extra = [(c, k) for c, k in docs.dtypes if c in carry]
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("__text"), *[F.col(f"`{c}`") for c, _ in extra])
+    docs = bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("__text"), *[F.col(f"`{c}`") for c, _ in extra])
     if blocks > 1:
         # each block scans the same stashed rows; what is carried meets the united hits by row
         docs = whole = stash(docs.withColumn("__row", F.monotonically_increasing_id()), "decontaminate")
@@ -96,7 +96,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = 13, max_bytes
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = automaton(sent.value, window)
-            for b in batches:
+            for b in (x.slice(at, 500) for x in batches for at in range(0, x.num_rows, 500)):
                 rows = [scan(t, found) for t in b.column(1).to_pylist()]
                 spans = [[dict(zip(("first", "last", "first_byte", "last_byte"), s)) for s in r[1]] for r in rows]
                 kind = pa.list_(pa.struct([(n, pa.int32()) for n in ("first", "last", "first_byte", "last_byte")]))

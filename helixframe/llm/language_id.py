@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Shared, table
+from .common import Shared, bounded_batches, table
 
 WORD = r"[^\W\d_]+"
 UNKNOWN = "und"
@@ -102,7 +102,7 @@ def train(df: DataFrame, max_docs_per_lang: int = 800, n_max: int = 4, id_col: s
     return Model(langs, by.get("w", {}), by.get("g", {}), n_max)
 
 
-def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", table_limit: int = 400_000, carry: tuple[str, ...] = ()) -> DataFrame:
+def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", table_limit: int = 150_000, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, lang_pred, score) of every row, and the columns in carry, which pass by unread."""
     sent = Shared(df.sparkSession, model)
 
@@ -113,37 +113,33 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         k = len(m.langs)
 
         class Rows(dict):
-            """word -> row of its score vector, filled as words come"""
+            """word -> row of its score vector in ``matrix``, filled as words come"""
+
+            matrix = np.zeros((1024, max(k, 1)))
 
             def __missing__(self, word):
                 v = m.words.get(word)
                 if v is None:
                     v = m.backoff(word)
-                vecs.append(np.zeros(k) if v is None else v)
-                self[word] = i = len(vecs) - 1
+                i = self[word] = len(self)
+                if i >= len(self.matrix):
+                    self.matrix = np.concatenate([self.matrix, np.zeros_like(self.matrix)])
+                self.matrix[i] = 0 if v is None else v
                 return i
 
-        known, vecs, matrix = Rows(), [], np.zeros((0, k))
-        for b in batches:
+        known = Rows()
+        for b in (x.slice(at, 500) for x in batches for at in range(0, x.num_rows, 500)):
             pred, score = [], []
-            if len(vecs) > table_limit:
-                known, vecs, matrix = Rows(), [], np.zeros((0, k))
-            texts = b.column(1).to_pylist()
-            for text in texts:
+            if len(known) > table_limit:
+                known = Rows()
+            for text in b.column(1).to_pylist():
                 words = find(text.lower()) if text else []
                 if not words or not k:
                     pred.append(UNKNOWN)
                     score.append(0.0)
                     continue
                 idx = [known[w] for w in words]
-                if len(vecs) > len(matrix):
-                    grown = np.zeros((max(1024, 2 * len(vecs)), k))
-                    grown[: len(vecs)] = vecs
-                    matrix, full = grown, len(vecs)
-                elif full < len(vecs):
-                    matrix[full : len(vecs)] = vecs[full:]
-                    full = len(vecs)
-                s = matrix[idx].sum(0)
+                s = known.matrix[idx].sum(0)
                 best = int(np.argmax(s))
                 pred.append(m.langs[best])
                 score.append(round(float(1 / np.exp(s - s[best]).sum()), 6))
@@ -152,7 +148,7 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     own = "".join(f", `{c}` {k}" for c, k in df.dtypes if c in carry)
     order = [c for c in df.columns if c in carry]
     carry = tuple(order)
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("__text"), *[F.col(f"`{c}`") for c in order]).mapInArrow(run, "doc_id long, lang_pred string, score double" + own)
+    return bounded_batches(df).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("__text"), *[F.col(f"`{c}`") for c in order]).mapInArrow(run, "doc_id long, lang_pred string, score double" + own)
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

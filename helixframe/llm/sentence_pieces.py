@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import bounded_batches, table
 
 MARK = "▁"
 SCHEMA = "doc_id long, n_tokens long, ids binary, decoded string"
@@ -104,7 +104,7 @@ def groups_of(texts: list[str], most: int = 2_000_000) -> Iterator[list[str]]:
         yield part
 
 
-def transcode(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", table_limit: int = 400_000) -> DataFrame:
+def transcode(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", table_limit: int = 250_000) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded): ids are little-endian unsigned 32-bit integers with begin and end, decoded is
     what the library's decode(ids) returns. The model is a file that every executor can read."""
 
@@ -123,7 +123,7 @@ def transcode(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
                 )
                 at += len(part)
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return bounded_batches(df).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
 
 def digests(done: DataFrame) -> DataFrame:

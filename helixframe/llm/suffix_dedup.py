@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Shared, cores, drop, free_shuffles, stash, table
+from .common import Shared, bounded_batches, cores, drop, free_shuffles, stash, table
 from .frequency import Packer, bit_table, mix, narrowed, repeated
 
 PIECE = 8
@@ -355,7 +355,7 @@ def dedup(df: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: st
     outside; kept_text is their text, without characters that a run cuts in two."""
     if length < 16 or length > 900:
         raise ValueError("length must be from 16 to 900 bytes")
-    docs = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
+    docs = bounded_batches(df).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     by_doc = stash(covered(docs, length).groupBy("doc").agg(F.collect_list(F.struct("start", (F.col("start") + F.col("size") + length - 1).alias("end"))).alias("runs")), "suffix-by-doc")
     met = docs.join(by_doc.select(F.col("doc").alias("d"), "runs"), F.col("doc").eqNullSafe(F.col("d")), "left").select("doc", "text", "runs")
 
