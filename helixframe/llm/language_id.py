@@ -50,13 +50,17 @@ class Model:
         self.langs, self.n_max = langs, n_max
 
         def logs(counts):
-            if not counts:
-                return {}
-            m = np.array(list(counts.values()), float) + 0.1
-            m = np.log(m / m.sum(0))
-            return dict(zip(counts, m))
+            """The strings' numbers, and a row of log frequencies for each."""
+            m = np.array(list(counts.values()), float).reshape(len(counts), len(langs)) + 0.1
+            return {x: i for i, x in enumerate(counts)}, np.log(m / m.sum(0)) if len(m) else m
 
-        self.words, self.grams = logs(words), logs(grams)
+        self.words, self.word_logs = logs(words)
+        self.grams, self.gram_logs = logs(grams)
+
+    def word(self, word: str):
+        """A known word's log frequencies, or those of its pieces; None if nothing is known."""
+        i = self.words.get(word)
+        return self.backoff(word) if i is None else self.word_logs[i]
 
     def backoff(self, word: str):
         """The mean over a word's positions of the longest known n-gram's log frequencies, or None."""
@@ -66,7 +70,7 @@ class Model:
                 if (hit := self.grams.get(w[i : i + n])) is not None:
                     hits.append(hit)
                     break
-        return sum(hits) / len(hits) if hits else None
+        return self.gram_logs[hits].sum(0) / len(hits) if hits else None
 
 
 def train(df: DataFrame, max_docs_per_lang: int = 800, n_max: int = 4, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
@@ -118,9 +122,7 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             matrix = np.zeros((1024, max(k, 1)))
 
             def __missing__(self, word):
-                v = m.words.get(word)
-                if v is None:
-                    v = m.backoff(word)
+                v = m.word(word)
                 i = self[word] = len(self)
                 if i >= len(self.matrix):
                     self.matrix = np.concatenate([self.matrix, np.zeros_like(self.matrix)])

@@ -11,9 +11,10 @@ DATA = "/root/testdata/sf0.01/documents.parquet"
 def test_unseen_words_fall_back_to_shorter_pieces():
     m = L.Model(["a", "b"], {"known": [9, 1]}, {"<": [5, 5], ">": [5, 5], "xy": [9, 1], "x": [1, 9], "y": [1, 9]}, 4)
     # xy is found at its place before x; the second place has y alone
-    want = (m.grams["<"] + m.grams["xy"] + m.grams["y"] + m.grams[">"]) / 4
-    assert m.backoff("xy") == pytest.approx(want)
-    assert m.backoff("q") == pytest.approx((m.grams["<"] + m.grams[">"]) / 2)
+    of = lambda x: m.gram_logs[m.grams[x]]
+    assert m.word("xy") == pytest.approx((of("<") + of("xy") + of("y") + of(">")) / 4)
+    assert m.word("q") == pytest.approx((of("<") + of(">")) / 2)
+    assert m.word("known") == pytest.approx(m.word_logs[0]) and L.Model(["a"], {}, {}, 4).word("x") is None
 
 
 def test_spelling():
