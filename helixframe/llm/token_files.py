@@ -170,17 +170,24 @@ class ChunkEncoder:
 
 
 def tokenise(df: DataFrame, tokenizer: str, end_id: int | None, id_col: str = "doc_id", text_col: str = "text", table_limit: int = 700_000) -> DataFrame:
-    """(doc_id, ids): ids as little-endian 16-bit integers, or 32-bit ones for a vocabulary of more than 65,536."""
+    """Rows (doc_id, ids), ids as little-endian 16-bit integers, or 32-bit ones for a vocabulary of more than 65,536; and rows
+    (id, n), how often each id occurs in a task's documents, which the other two columns are null in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute as pc
 
-        coder, waiting, size = None, [], 0
+        coder, waiting, size, total = None, [], 0, np.zeros(0, np.int64)
+        names = ["doc_id", "ids", "id", "n"]
 
-        def done() -> pa.RecordBatch:
+        def done() -> tuple[np.ndarray, pa.RecordBatch]:
             b = pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
             last = b"" if end_id is None else np.array([end_id], coder.dtype).tobytes()
-            return pa.RecordBatch.from_arrays([b.column(0), pa.array([x + last for x in coder.encode(b.column(1).fill_null(""))], pa.binary())], ["doc_id", "ids"])
+            ids = pa.array([x + last for x in coder.encode(b.column(1).fill_null(""))], pa.binary())
+            size = pc.sum(pc.binary_length(ids)).as_py() or 0
+            # an array's bytes stand one after another
+            n = np.bincount(np.frombuffer(ids.buffers()[2], coder.dtype, size // np.dtype(coder.dtype).itemsize) if size else [], minlength=len(total)).astype(np.int64)
+            n[: len(total)] += total
+            return n, pa.RecordBatch.from_arrays([b.column(0), ids, pa.nulls(len(ids), pa.int64()), pa.nulls(len(ids), pa.int64())], names)
 
         for batch in batches:
             coder = coder or ChunkEncoder.of_worker(tokenizer, table_limit)
@@ -191,27 +198,22 @@ def tokenise(df: DataFrame, tokenizer: str, end_id: int | None, id_col: str = "d
                 size += int(length[to - 1] - (length[at - 1] if at else 0))
                 at = to
                 if size >= BATCH_BYTES - (1 << 16):
-                    yield done()
+                    total, out = done()
                     waiting, size = [], 0
+                    yield out
         if waiting:
-            yield done()
+            total, out = done()
+            yield out
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(used), pa.int64()), pa.nulls(len(used), pa.binary()), pa.array(used), pa.array(total[used])], names)
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary")
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary, id long, n long")
 
 
-def id_counts(tokens: DataFrame, dtype: str, vocab: int) -> np.ndarray:
-    """How often each id occurs. A task adds up its own first; the driver gets a row for each id that occurs."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(vocab, np.int64)
-        for b in batches:
-            for part in range(0, b.num_rows, 512):
-                n += np.bincount(np.frombuffer(b"".join(b.column(0).slice(part, 512).to_pylist()), dtype), minlength=vocab)
-        used = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(n[used])], ["id", "n"])
-
+def id_counts(tokens: DataFrame, vocab: int) -> np.ndarray:
+    """How often each id occurs, from the tasks' own counts; the driver gets a row for each id that occurs."""
     out = np.zeros(vocab, np.int64)
-    for r in tokens.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    for r in tokens.where("id is not null").groupBy("id").agg(F.sum("n").alias("n")).collect():
         out[r["id"]] = r["n"]
     return out
 
@@ -313,7 +315,7 @@ def export(df: DataFrame, tokenizer: str, end_id: int | None = 2, folder: str |
     vocab = max(probe.size, (end_id or 0) + 1)
     tokens = stash(tokenise(df, tokenizer, end_id, id_col, text_col), "tokens")
     folder = folder or new_folder(spark, "token-files")
-    return folder, write_files(tokens, code_lengths(id_counts(tokens, probe.dtype, vocab)), probe.dtype, folder)
+    return folder, write_files(tokens.where("id is null").select("doc_id", "ids"), code_lengths(id_counts(tokens, vocab)), probe.dtype, folder)
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
