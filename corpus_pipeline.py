@@ -13,16 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.llm import decontaminate, jaccard_join, language_id, sentence_pieces, suffix_dedup
-from helixframe.llm.common import new_folder, table
+from helixframe.llm.common import keyed, new_folder, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents whose doc_id is among ids."""
-    return docs.join(ids.select("doc_id"), "doc_id", "left_semi").select(*COLUMNS)
-
-
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leaves away documents without a language: no text, or no letter in it. The model is learned from the labelled rows."""
     docs = docs.select(*COLUMNS)
@@ -31,19 +26,25 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, that of the smallest id, of each group linked by five-word shingles of similarity 0.8 or more."""
-    docs = docs.select(*COLUMNS)
-    found = jaccard_join.join(docs, 5, Fraction(4, 5))
-    # rows that share an id are one document
-    return only(docs, found.where(F.col("doc_id") == F.col("component_id"))).dropDuplicates(["doc_id"])
+    """Keeps one document, that of the smallest id, of each group linked by five-word shingles of similarity 0.8 or more.
+
+    Rows are one document if they share id and text. Other rows of a null or repeated id are documents of their own, linked by
+    their texts alone; a null id counts as larger than all others."""
+    docs, new = keyed(docs.select(*COLUMNS), nulls=True)
+    found = jaccard_join.join(docs, 5, Fraction(4, 5), id_col="key").select(F.col("doc_id").alias("key"), "component_id")
+    found = found.join(new.select("key", F.col("doc_id").alias("id"), F.lit(True).alias("is_new")), "key", "left")
+    found = found.withColumn("id", F.when(F.col("is_new"), F.col("id")).otherwise(F.col("key")))
+    first = found.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first"))
+    return docs.join(first.select(F.col("first.key").alias("key")), "key", "left_semi").dropDuplicates(["key"]).select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes bytes of strings of 100 bytes that occur earlier; a character cut in two goes whole. Documents of which
-    nothing is left go."""
-    done = suffix_dedup.dedup(docs.select(*COLUMNS), 100).select("doc_id", F.col("kept_text").alias("text"), (F.size("spans") > 0).alias("cut"))
-    rest = done.where("not cut or text != ''").join(docs.select("doc_id", "lang", "source"), "doc_id")
-    return rest.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+    nothing is left go. Rows of a null or repeated id come after all others, and each of their texts is cut by itself."""
+    docs, _ = keyed(docs.select(*COLUMNS), nulls=True)
+    done = suffix_dedup.dedup(docs.withColumnRenamed("doc_id", "id"), 100, id_col="key", carry=("id", "lang", "source"))
+    rest = done.where("size(spans) = 0 or kept_text != ''").select(F.col("id").alias("doc_id"), F.col("kept_text").alias("text"), "lang", "source")
+    return rest.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,6 +25,30 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def keyed(df: DataFrame, nulls: bool) -> tuple[DataFrame, DataFrame]:
+    """df (doc_id, text and more) with a ``key``, and (key, doc_id) of the keys that aren't ids.
+
+    The key is the id where one row has it. Rows of an id that several rows have, and with ``nulls`` those of none, get a new
+    key for each text, outside the range of ids; equal rows share it. Without ``nulls`` a null id has a null key.
+    Texts are told apart by 128 bits of hash within their id."""
+    from pyspark.sql import functions as F
+
+    several = df.groupBy("doc_id").agg(F.count("*").alias("n")).where("doc_id is null or n > 1" if nulls else "doc_id is not null and n > 1")
+    several = stash(several.select(F.col("doc_id").alias("id")), "keys-ids")
+    if several.isEmpty():
+        return df.withColumn("key", F.col("doc_id")), several.select(F.col("id").alias("key"), F.col("id").alias("doc_id"))
+    least, most = df.agg(F.min("doc_id"), F.max("doc_id")).first()
+    marks = {"__m1": F.xxhash64("text"), "__m2": F.xxhash64(F.lit(1), "text")}
+    texts = df.select("doc_id", *[c.alias(x) for x, c in marks.items()])
+    texts = texts.join(several, texts["doc_id"].eqNullSafe(several["id"]), "left_semi").distinct()
+    number = F.monotonically_increasing_id()
+    new = stash(texts.select(F.col("doc_id").alias("id"), F.col("__m1").alias("m1"), F.col("__m2").alias("m2"), (number + ((most or 0) + 1) if (most or 0) < 1 << 62 else (least - 1) - number).alias("new")), "keys-new")
+    drop(several)
+    marked = df.withColumns(marks)
+    met = marked.join(new, marked["doc_id"].eqNullSafe(new["id"]) & (F.col("__m1") == F.col("m1")) & (F.col("__m2") == F.col("m2")), "left")
+    return met.select(*df.columns, F.coalesce("new", "doc_id").alias("key")), new.select(F.col("new").alias("key"), F.col("id").alias("doc_id"))
+
+
 class Shared:
     """A broadcast value whose classes travel with it, so that workers need no installed copy of them."""
 
@@ -82,4 +106,4 @@ def read_files(spark: SparkSession, folder: str, uris: list[str]) -> DataFrame:
     return found.join(F.broadcast(names), F.substring_index("path", "/", -1) == F.col("name"), "left_semi")
 
 
-__all__ = ["FileSink", "Shared", "bounded_batches", "cores", "drop", "free_shuffles", "new_folder", "read_files", "small_batches", "stash", "table"]
+__all__ = ["FileSink", "Shared", "bounded_batches", "cores", "drop", "free_shuffles", "keyed", "new_folder", "read_files", "small_batches", "stash", "table"]

@@ -350,14 +350,16 @@ def covered(docs: DataFrame, length: int = 100) -> DataFrame:
     return places.split(one.union(two).union(three))
 
 
-def dedup(df: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, spans, kept, kept_text): spans hold (start, end) of the maximal removed runs of bytes, kept the bytes
+def dedup(df: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_bytes, spans, kept, kept_text) and the columns in carry, which pass by unread: spans hold (start, end) of the maximal removed runs of bytes, kept the bytes
     outside; kept_text is their text, without characters that a run cuts in two."""
     if length < 16 or length > 900:
         raise ValueError("length must be from 16 to 900 bytes")
-    docs = bounded_batches(df).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    by_doc = stash(covered(docs, length).groupBy("doc").agg(F.collect_list(F.struct("start", (F.col("start") + F.col("size") + length - 1).alias("end"))).alias("runs")), "suffix-by-doc")
-    met = docs.join(by_doc.select(F.col("doc").alias("d"), "runs"), F.col("doc").eqNullSafe(F.col("d")), "left").select("doc", "text", "runs")
+    extra = [(c, k) for c, k in df.dtypes if c in carry]
+    carried = [F.col(f"`{c}`").alias(f"carried{i}") for i, (c, _) in enumerate(extra)]
+    docs = bounded_batches(df).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"), *carried)
+    by_doc = stash(covered(docs.select("doc", "text"), length).groupBy("doc").agg(F.collect_list(F.struct("start", (F.col("start") + F.col("size") + length - 1).alias("end"))).alias("runs")), "suffix-by-doc")
+    met = docs.join(by_doc.select(F.col("doc").alias("d"), "runs"), F.col("doc").eqNullSafe(F.col("d")), "left").select("doc", "text", "runs", *[f"carried{i}" for i in range(len(extra))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -387,11 +389,11 @@ def dedup(df: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: st
                     # piece by piece, as halves of different characters could make another one
                     clean.append("".join(x.decode("utf-8", "ignore") for x in rest) if merged else text)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len((t or "").encode()) for t in texts], pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary()), pa.array(clean, pa.string())],
-                    ["doc_id", "n_bytes", "spans", "kept", "kept_text"],
+                    [part.column(0), pa.array([len((t or "").encode()) for t in texts], pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary()), pa.array(clean, pa.string()), *part.columns[3:]],
+                    ["doc_id", "n_bytes", "spans", "kept", "kept_text", *[c for c, _ in extra]],
                 )
 
-    return met.mapInArrow(run, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary, kept_text string")
+    return met.mapInArrow(run, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary, kept_text string" + "".join(f", `{c}` {k}" for c, k in extra))
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

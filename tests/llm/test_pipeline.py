@@ -66,3 +66,25 @@ def test_stages_keep_the_columns_of_documents(spark, words, tmp_path):
 def test_no_import_error_is_swallowed():
     for path in [Path(P.__file__), *Path(P.__file__).parent.glob("helixframe/llm/*.py")]:
         assert "ImportError" not in path.read_text() and "ModuleNotFound" not in path.read_text()
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, t, lang, "s", len(t)) for i, t, lang in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+
+
+def test_rows_without_an_id_stay(spark, words):
+    texts = [" ".join(words(60)) for _ in range(12)]
+    rows = [(None if i % 3 == 0 else i, x, "en") for i, x in enumerate(texts)] + [(None, texts[1], "en"), (None, texts[3], "en")]
+    want = sorted(texts)
+    kept = P.near_duplicates(spark, frame(spark, rows), "")
+    got = kept.collect()
+    # copies go whether they have an id or not, an id before none
+    assert sorted(r["text"] for r in got) == want and {r["doc_id"] for r in got if r["text"] == texts[1]} == {1}
+
+
+def test_no_text_is_cut_by_the_runs_of_another_without_an_id(spark, words):
+    passage, own = " ".join(words(80)), [" ".join(words(120)) for _ in range(4)]
+    rows = [(1, passage, "a"), (None, passage + " " + own[0], "b"), (None, own[1], "c"), (None, own[2], "d"), (None, own[3], "e")]
+    got = {r["lang"]: r["text"] for r in P.repeated_passages(spark, frame(spark, rows), "").collect()}
+    assert got["a"] == passage and own[0] in got["b"] and len(got["b"]) < len(own[0]) + 10
+    assert [got[x] for x in "cde"] == own[1:]
