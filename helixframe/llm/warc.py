@@ -78,10 +78,14 @@ class Found:
 
 
 def parse(raw: bytes, at: int = 0) -> tuple[dict, bytes, int]:
-    """(headers, block, end) of the record at a version line; ValueError if a check fails."""
+    """(headers, block, end) of the record at a version line; ValueError if a check fails.
+
+    Headers may be of any length. They end before the next line that begins with a version, so that a search in damaged
+    data stops there."""
     if not raw.startswith(VERSION, at):
         raise ValueError("no version line")
-    end = raw.find(b"\r\n\r\n", at, at + 65536)
+    line = raw.find(b"\n" + VERSION, at)
+    end = raw.find(b"\r\n\r\n", at, line if line >= 0 else len(raw))
     if end < 0:
         raise ValueError("headers don't end")
     head = {}

@@ -122,3 +122,21 @@ def test_empty_table_and_extra_columns(spark):
     assert W.write_archives(empty, folder) == [] and W.read_archives(spark, folder, []).count() == 0
     odd = spark.createDataFrame([(1, "u", "h", "x", "y")], "page_id long, url string, html string, digest string, first string")
     assert W.with_revisits(odd, 100).first()["page_id"] == 1
+
+
+def test_urls_of_any_length(spark):
+    body = "<p>said twice</p>" * 20
+    pages = [(1, "http://h/" + "a" * 400_000, body), (2, "http://h/" + "\x01" * 40_000, "other"), (3, "http://h/3", body), (4, "http://h/" + "b" * 65_600, "")]
+    folder = new_folder(spark, "warc-long-urls")
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)
+    got = {W.from_urn(r["record_id"]): r for r in W.read_archives(spark, folder, W.write_archives(df, folder)).collect()}
+    assert sorted(got) == [1, 2, 3, 4] and all(r["gap"] is None for r in got.values())
+    assert got[1]["target"] == pages[0][1] and got[2]["target"] == "http://h/" + "%01" * 40_000
+    assert W.from_urn(got[3]["refers_to"]) == 1
+
+
+def test_plain_headers_end_before_the_next_record():
+    plain = [zlib.decompress(m, 31) for m in make(3)]
+    cut = plain[1][: plain[1].index(b"\r\n\r\n")] + b"\r\n"  # its headers never end
+    found = list(W.salvage(plain[0] + cut + plain[2]))
+    assert ids(found) == [0, 2] and gaps(found) == [(len(plain[0]), len(cut))]
