@@ -22,7 +22,7 @@ Queries that meet one group are dealt out over tasks, with the group's sets besi
 
 Defined results: a text without words, or null, has an empty set and links with nothing; fewer words than n are one
 n-gram; a null id links with nothing and has a null component; equal rows are of one class; rows that share an id but not the text
-are linked through it; an empty table gives an empty result; other columns are ignored.
+are documents of their own keys that are linked through it; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import Forest, components
-from .common import Shared, cores, drop, free_shuffles, stash, table
+from .common import Shared, cores, drop, free_shuffles, keyed, stash, table
 from .frequency import Packer, bit_table, mix, narrowed, repeated
 
 #: A-Z to a-z; words are then what bytes.split() gives, cut at 0x20 and 0x09 to 0x0D.
@@ -220,13 +220,16 @@ def sets_of(docs: DataFrame, n: int, sent: Shared) -> DataFrame:
 def join(df: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
     spark, t = df.sparkSession, Fraction(threshold)
-    docs = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
+    # up to the links a document is known by a key that stands for one text, which is its id where one row has that
+    docs, new = keyed(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), nulls=False)
+    docs = docs.select(F.col("key").alias("doc"), "text")
+    ids = lambda rows, c: rows.join(new.select(F.col("key").alias(c), F.col("doc_id").alias(f"{c}_id")), c, "left").withColumn(f"{c}_id", F.coalesce(f"{c}_id", c))
     scanned = stash(scan(docs, n), "jaccard-scan")
-    rows = scanned.where("range is null").select("doc", "n", "f1", "f2")
+    rows = ids(scanned.where("range is null").select("doc", "n", "f1", "f2"), "doc")
 
     # classes of equal sets
-    classes = stash(rows.where("n > 0 and doc is not null").groupBy("f1", "f2", "n").agg(F.min("doc").alias("rep"), F.count("*").alias("copies")).where("copies > 1").drop("copies"), "jaccard-classes")
-    member = stash(rows.join(classes, ["f1", "f2", "n"], "left").select("doc", "n", F.when(F.col("doc").isNotNull(), F.coalesce("rep", "doc")).alias("rep")), "jaccard-members")
+    classes = stash(rows.where("n > 0 and doc is not null").groupBy("f1", "f2", "n").agg(F.min_by("doc", "doc_id").alias("rep"), F.min("doc_id").alias("least"), F.count("*").alias("copies")).where("copies > 1").drop("copies"), "jaccard-classes")
+    member = stash(rows.join(classes, ["f1", "f2", "n"], "left").select("doc", "doc_id", "n", *[F.when(F.col("doc").isNotNull(), F.coalesce(a, b)).alias(a) for a, b in (("rep", "doc"), ("least", "doc_id"))]), "jaccard-members")
 
     # tokens in more than one document, by frequency
     shared = stash(repeated(scanned.where("range is not null")), "jaccard-tokens")
@@ -286,13 +289,16 @@ def join(df: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5), id_col
     asked = cand.join(lots, "grp").select("doc", "grp", F.pmod(F.xxhash64("doc"), F.col("lots")).alias("part")).join(sets.select("doc", "tokens"), "doc")
     members = info.select("doc", "grp").join(lots, "grp").join(sets.select("doc", "tokens"), "doc").select(*[F.col(c).alias(c) for c in ("doc", "tokens", "grp")], F.explode(F.sequence(F.lit(0).cast("long"), F.col("lots") - 1)).alias("part"))
     second = asked.groupBy("grp", "part").cogroup(members.groupBy("grp", "part")).applyInArrow(cross_links(t), "a long, b long")
-    links = stash(first.union(second), "jaccard-all-links")
+    # ids again, and the links of an id's texts through it
+    linked = ids(ids(first.union(second), "a"), "b").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+    through = member.where("doc_id != least").join(new.select("doc_id").distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("least").alias("b")).distinct()
+    links = stash(linked.union(through).where("a != b"), "jaccard-all-links")
     drop(first, roots, cand, lots, info, sets)
     free_shuffles(spark)
     final = components(links, "jaccard-components")
     drop(links)
-    out = member.join(final, F.col("rep") == F.col("node"), "left")
-    return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("root", "rep").alias("component_id"))
+    out = member.join(final, F.col("least") == F.col("node"), "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "least").alias("component_id"))
 
 
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

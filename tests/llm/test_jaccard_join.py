@@ -103,3 +103,20 @@ def test_no_pairs_are_made_of_plain_copies(spark, docs):
     df = docs([(i, "the same few words in every row of it") for i in range(500)])
     out = J.join(df, 3, Fraction(9, 10))
     assert out.agg(F.count_distinct("component_id")).first()[0] == 1 and out.count() == 500
+
+
+def test_ids_that_come_with_several_texts(docs, words):
+    rows = [(2, "x y z w"), (5, "x y z w"), (5, "a b c d")]
+    assert [g[2] for g in joined(docs(rows), 3, Fraction(9, 10))] == [2, 2, 2]
+    # all texts of an id are compared, in every order of ids
+    a, b, c = (" ".join(words(60)) for _ in range(3))
+    rows = [(9, a), (9, b), (9, c), (9, ""), (3, a + " tail"), (4, "tail " + b), (7, c.upper()), (8, "alone it is"), (3, "none has this"), (1, "none has that"), (1, "none has that"), (None, a), (None, b)]
+    assert joined(docs(rows), 3, Fraction(9, 10)) == brute(rows, 3, Fraction(9, 10))
+    for top in (2**63 - 1, 5):
+        far = [(i if i != 9 else top, x) for i, x in rows]
+        assert joined(docs(far), 3, Fraction(9, 10)) == brute(far, 3, Fraction(9, 10))
+
+
+def test_repeated_ids_against_all_pairs(docs, words):
+    rows = [(i % 50, x) for i, x in corpus(5, words, 4, 10)]
+    assert joined(docs(rows), 3, Fraction(4, 5)) == brute(rows, 3, Fraction(4, 5))

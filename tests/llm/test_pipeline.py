@@ -88,3 +88,9 @@ def test_no_text_is_cut_by_the_runs_of_another_without_an_id(spark, words):
     got = {r["lang"]: r["text"] for r in P.repeated_passages(spark, frame(spark, rows), "").collect()}
     assert got["a"] == passage and own[0] in got["b"] and len(got["b"]) < len(own[0]) + 10
     assert [got[x] for x in "cde"] == own[1:]
+
+
+def test_texts_that_share_an_id_are_kept_apart(spark, words):
+    x, y, z = (" ".join(words(60)) for _ in range(3))
+    got = P.near_duplicates(spark, frame(spark, [(5, x, "en"), (5, y, "en"), (2, x, "en"), (5, z, "en"), (5, z, "en"), (7, y, "en")]), "").collect()
+    assert sorted((r["doc_id"], r["text"]) for r in got) == sorted([(2, x), (5, y), (5, z)])
