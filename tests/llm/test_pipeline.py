@@ -94,3 +94,9 @@ def test_texts_that_share_an_id_are_kept_apart(spark, words):
     x, y, z = (" ".join(words(60)) for _ in range(3))
     got = P.near_duplicates(spark, frame(spark, [(5, x, "en"), (5, y, "en"), (2, x, "en"), (5, z, "en"), (5, z, "en"), (7, y, "en")]), "").collect()
     assert sorted((r["doc_id"], r["text"]) for r in got) == sorted([(2, x), (5, y), (5, z)])
+
+
+def test_repeated_passages_gives_a_row_for_a_row(spark, words):
+    rows = [(1, " ".join(words(50)), "en"), (1, " ".join(words(50)), "de"), (1, " ".join(words(50)), "fr"), (2, "short", "en")]
+    got = P.repeated_passages(spark, frame(spark, rows), "").collect()
+    assert sorted((r["doc_id"], r["text"], r["lang"]) for r in got) == sorted(rows)
