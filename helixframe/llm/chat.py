@@ -48,7 +48,7 @@ def unescaped(c: Column) -> Column:
 def fold(events: DataFrame) -> DataFrame:
     """(conv_id, message, role, text) of the final messages of event logs."""
     e = events.select(
-        "conv_id", F.col("seq").cast("long").alias("seq"), F.col("message").cast("long").alias("message"), F.coalesce("kind", F.lit("message")).alias("kind"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
+        "conv_id", F.coalesce(F.col("seq").cast("long"), F.lit(-(1 << 63))).alias("seq"), F.col("message").cast("long").alias("message"), F.coalesce("kind", F.lit("message")).alias("kind"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
     )
     place = F.struct("seq", "kind", "role", "text")
     sets = F.col("kind").isin(*SETS)

@@ -85,6 +85,12 @@ def test_deltas_edits_regenerations(spark):
     assert folded(spark, [(1, 1, "message", "user", "q"), (2, 1, "delete", "user", None)]) == []
 
 
+def test_null_sequence_numbers_come_first(spark):
+    assert folded(spark, [(None, 1, "message", "user", "hi"), (2, 1, "delta", "user", "!"), (3, 1, "delta", "user", "?")]) == [(1, "user", "hi!?")]
+    log = [(None, 2, "regenerate", "assistant", "new"), (1, 2, "delta", "assistant", "er"), (None, 3, "message", "user", "stays")]
+    assert folded(spark, log) == [(2, "assistant", "newer"), (3, "user", "stays")]
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_logs_against_a_simulation(spark, seed):
     rng = random.Random(seed)
