@@ -3,12 +3,14 @@ r"""Chat formatting by event-sourced reconstruction (operator 10). DataFrame fun
 Method. The input is a log of events (conv_id, seq, message, kind, role, text). It is partitioned by conversation and
 ordered by sequence, then folded:
 
-- ``message`` and ``edit`` set a message's text, ``regenerate`` sets it and discards the later messages that were there
-  before it, ``delta`` appends, ``delete`` removes the message until it is set again;
+- ``message`` and ``edit`` set a message's text and role, ``regenerate`` sets them and discards the later messages that
+  are there, ``delete`` removes the message, ``delta`` appends to the message or, where there is none, begins one;
 - an event's place is its sequence number; ties go by message, kind, role and text.
 
-First the deltas since a message's last setting event are joined, which is an aggregation by (conversation, message);
-then the messages of a conversation are ordered and rendered. A conversation's text is one output value, so its own
+What is left of a message depends on its last setting or removing event and on the deltas after it. So an aggregation by
+(conversation, message) takes that event and gathers the deltas; a running maximum over a conversation's messages says when one
+before was last regenerated, which removes what a message had then; and the deltas after both are joined to the text.
+Then the messages of a conversation are ordered and rendered. A conversation's text is one output value, so its own
 messages do meet in one row; nothing else does.
 
 Template: ``### `` role ``:`` newline text ``</turn>`` newline, for each message. In texts and roles ``\`` is written ``\\``,
@@ -51,24 +53,21 @@ def fold(events: DataFrame) -> DataFrame:
         "conv_id", F.coalesce(F.col("seq").cast("long"), F.lit(-(1 << 63))).alias("seq"), F.col("message").cast("long").alias("message"), F.coalesce("kind", F.lit("message")).alias("kind"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
     )
     place = F.struct("seq", "kind", "role", "text")
-    sets = F.col("kind").isin(*SETS)
     one = e.groupBy("conv_id", "message").agg(
-        F.max(F.when(sets | (F.col("kind") == "delete"), place)).alias("base"),
+        F.max(F.when(F.col("kind").isin(*SETS, "delete"), place)).alias("base"),
         F.max(F.when(F.col("kind") == "regenerate", F.col("seq"))).alias("again"),
-        F.max(F.when(sets, F.col("seq"))).alias("set_at"),
-        F.min("seq").alias("born"),
         F.array_sort(F.collect_list(F.when(F.col("kind") == "delta", place))).alias("deltas"),
-        F.max_by("role", place).alias("last_role"),
     )
-    later = F.filter("deltas", lambda d: F.col("base").isNull() | (d["seq"] > F.col("base.seq")))
-    one = one.select(
-        "conv_id", "message", "born", "again", "set_at", F.col("base.kind").alias("was"), F.coalesce(F.when(F.col("base.kind") != "delete", F.col("base.role")), F.col("last_role")).alias("role"),
-        F.concat(F.coalesce(F.when(F.col("base.kind") != "delete", F.col("base.text")), F.lit("")), F.array_join(F.transform(later, lambda d: d["text"]), "")).alias("text"),
-    )
-    # a message goes if an earlier one was regenerated after it had last been set (or born, where deltas alone made it)
+    # at one sequence number, events of earlier messages come first: what a message has from the cut on is after it
     before = Window.partitionBy("conv_id").orderBy("message").rowsBetween(Window.unboundedPreceding, -1)
-    kept = one.withColumn("cut", F.max("again").over(before))
-    return kept.where("coalesce(was, '') != 'delete' and (cut is null or coalesce(set_at, born) >= cut)").select("conv_id", "message", "role", "text")
+    cut = F.coalesce("cut", F.lit(-(1 << 63)))
+    one = one.withColumn("cut", F.max("again").over(before)).select(
+        "conv_id", "message", F.when((F.col("base.seq") >= cut) & (F.col("base.kind") != "delete"), F.col("base")).alias("set"),
+        F.filter("deltas", lambda d: (F.col("base").isNull() | (d > F.col("base"))) & (d["seq"] >= cut)).alias("later"),
+    )
+    return one.where("set is not null or size(later) > 0").select(
+        "conv_id", "message", F.coalesce("set.role", F.col("later")[0]["role"]).alias("role"), F.concat(F.coalesce("set.text", F.lit("")), F.array_join(F.transform("later", lambda d: d["text"]), "")).alias("text")
+    )
 
 
 def as_events(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:

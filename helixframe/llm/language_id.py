@@ -6,9 +6,10 @@ with boundary marks and scored by the longest known n-gram at each of its positi
 one. The language with the largest sum wins; ties go to the first in sorted order. The score is its posterior with a
 flat prior, from 0 to 1.
 
-Training rows are a sample bounded by ``max_docs_per_lang`` documents a language, chosen by a hash of the id so that
-every run and partitioning takes the same ones; whole texts are counted, on the executors, and only the counts of the
-sample reach the driver. Prediction reads the text alone, whole, and shuffles nothing.
+Words are runs of letters, of any script (Unicode's category L). Training rows are a sample bounded by ``max_docs_per_lang``
+documents a language, chosen by a hash of the id so that every run and partitioning takes the same ones; whole texts are
+counted, on the executors, and only the counts of the sample reach the driver. Words and n-grams count from ``min_count``
+occurrences in the sample on, 1 unless given. Prediction reads the text alone, whole, and shuffles nothing.
 
 Defined results: a null text, or one without a letter, gives ``und`` and score 0; with no usable training row every
 text does; a null id counts as not held out; repeated rows give a row each; other columns are ignored.
@@ -26,10 +27,20 @@ from pyspark.sql import functions as F
 
 from .common import Shared, bounded_batches, table
 
-WORD = r"[^\W\d_]+"
+#: Runs of letters, and of a few signs that regular expressions take for letters, as the superscript two.
+RUN = r"[^\W\d_]+"
 UNKNOWN = "und"
 
 
+def letters_of(run: str) -> list[str]:
+    """The words of a run: itself, as a rule."""
+    return [run] if run.isalpha() else "".join(c if c.isalpha() else " " for c in run).split()
+
+
+def words_of(text: str) -> list[str]:
+    return [w for run in re.findall(RUN, text.lower()) for w in letters_of(run)]
+
+
 def spelled(word: str, n_max: int) -> Iterator[str]:
     """All n-grams of a word with its boundary marks."""
     w = f"<{word}>"
@@ -73,7 +84,7 @@ class Model:
         return self.gram_logs[hits].sum(0) / len(hits) if hits else None
 
 
-def train(df: DataFrame, max_docs_per_lang: int = 800, n_max: int = 4, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+def train(df: DataFrame, max_docs_per_lang: int = 800, n_max: int = 4, min_count: int = 1, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """A model from rows whose text and language are given. The caller leaves held-out rows away."""
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
     n = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -86,10 +97,9 @@ def train(df: DataFrame, max_docs_per_lang: int = 800, n_max: int = 4, id_col: s
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally: dict = {}
-        find = re.compile(WORD).findall
         for b in batches:
             for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                tally.setdefault(lang, Counter()).update(find(text.lower()))
+                tally.setdefault(lang, Counter()).update(words_of(text))
         for lang, words in tally.items():
             grams: Counter = Counter()
             for w, k in words.items():
@@ -100,7 +110,7 @@ def train(df: DataFrame, max_docs_per_lang: int = 800, n_max: int = 4, id_col: s
 
     counts = sample.select("text", "lang").mapInArrow(count, "kind string, lang string, item string, n long").groupBy("kind", "item").agg(*[F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"c{i}") for i, x in enumerate(langs)])
     total = sum((F.col(f"c{i}") for i in range(len(langs))), F.lit(0))
-    pdf = counts.where(total >= 2).toPandas().sort_values(["kind", "item"])  # bounded by the sample
+    pdf = counts.where(total >= min_count).toPandas().sort_values(["kind", "item"])  # bounded by the sample
     cols = [f"c{i}" for i in range(len(langs))]
     by = {k: dict(zip(g["item"], g[cols].to_numpy().tolist())) for k, g in pdf.groupby("kind")}
     return Model(langs, by.get("w", {}), by.get("g", {}), n_max)
@@ -113,20 +123,25 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        m, find = sent.value, re.compile(WORD).findall
+        m, find = sent.value, re.compile(RUN).findall
         k = len(m.langs)
 
         class Rows(dict):
-            """word -> row of its score vector in ``matrix``, filled as words come"""
+            """run -> row of its words' score vector in ``matrix``, filled as runs come; signs: runs without a letter"""
 
-            matrix = np.zeros((1024, max(k, 1)))
+            def __init__(self) -> None:
+                super().__init__()
+                self.matrix, self.signs = np.zeros((1024, max(k, 1))), set()
 
-            def __missing__(self, word):
-                v = m.word(word)
-                i = self[word] = len(self)
+            def __missing__(self, run):
+                words = letters_of(run)
+                vs = [v for v in map(m.word, words) if v is not None] if k else []
+                i = self[run] = len(self)
                 if i >= len(self.matrix):
                     self.matrix = np.concatenate([self.matrix, np.zeros_like(self.matrix)])
-                self.matrix[i] = 0 if v is None else v
+                self.matrix[i] = sum(vs)
+                if not words:
+                    self.signs.add(run)
                 return i
 
         known = Rows()
@@ -135,12 +150,12 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             if len(known) > table_limit:
                 known = Rows()
             for text in b.column(1).to_pylist():
-                words = find(text.lower()) if text else []
-                if not words or not k:
+                runs = find(text.lower()) if text else []
+                idx = [known[x] for x in runs]
+                if not k or known.signs.issuperset(runs):
                     pred.append(UNKNOWN)
                     score.append(0.0)
                     continue
-                idx = [known[w] for w in words]
                 s = known.matrix[idx].sum(0)
                 best = int(np.argmax(s))
                 pred.append(m.langs[best])

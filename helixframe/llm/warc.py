@@ -34,6 +34,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORDS = "path string, at long, size long, type string, record_id string, refers_to string, target string, payload_digest string, payload_bytes long, payload binary, gap string"
 #: An archive is closed once it has so many bytes; readers take archives whole.
 ARCHIVE_BYTES = 32 << 20
+#: So many bytes of a member go to the decompressor at once.
+WINDOW = 1 << 15
 
 
 def urn(page_id: int | None) -> str:
@@ -110,42 +112,61 @@ def parse(raw: bytes, at: int = 0) -> tuple[dict, bytes, int]:
 
 def member(data: bytes, at: int) -> tuple[dict, bytes, int]:
     """As parse(), for a gzip member."""
-    z = zlib.decompressobj(31)
+    z, parts, end = zlib.decompressobj(31), [], at
     try:
-        raw = z.decompress(memoryview(data)[at:])
+        # in windows, as the decompressor copies what it is given beyond the member's end
+        while not z.eof and end < len(data):
+            parts.append(z.decompress(data[end : end + WINDOW]))
+            end = min(end + WINDOW, len(data))
     except zlib.error as e:
         raise ValueError(f"gzip: {e}") from None
     if not z.eof:
         raise ValueError("the member is cut short")
-    head, block, end = parse(raw)
-    if end != len(raw):
+    raw = b"".join(parts)
+    head, block, stop = parse(raw)
+    if stop != len(raw):
         raise ValueError("more than a record in a member")
-    return head, block, len(data) - len(z.unused_data)
-
-
-def version_line(data: bytes, at: int) -> int:
-    """The place of the next version line at a line's start, or -1."""
-    while (at := data.find(VERSION, at)) > 0 and data[at - 1 : at] != b"\n":
-        at += 1
-    return at
-
-
-def next_start(data: bytes, at: int) -> int:
-    """The place of the next member whose text begins with a version line, or of the next version line."""
-    line = version_line(data, at)
-    while (gz := data.find(GZIP, at)) >= 0 and not 0 <= line < gz:
-        try:
-            if zlib.decompressobj(31).decompress(data[gz : gz + 4096], 16).startswith(VERSION[:5]):
-                return gz
-        except zlib.error:
-            pass
-        at = gz + 1
-    return line if line >= 0 else len(data)
+    return head, block, end - len(z.unused_data)
+
+
+class Starts:
+    """Where records may begin in an archive. Each search goes on from where the last one ended, so that many gaps don't
+    search the same bytes again."""
+
+    def __init__(self, data: bytes) -> None:
+        self.data, self.line, self.gz = data, -1, -1
+
+    def next_line(self, at: int) -> int:
+        """The place of the next version line at a line's start, or the archive's end."""
+        if self.line < at:
+            line = at
+            while (line := self.data.find(VERSION, line)) > 0 and self.data[line - 1 : line] != b"\n":
+                line += 1
+            self.line = line if line >= 0 else len(self.data)
+        return self.line
+
+    def next_gzip(self, at: int) -> int:
+        if self.gz < at:
+            gz = self.data.find(GZIP, at)
+            self.gz = gz if gz >= 0 else len(self.data)
+        return self.gz
+
+    def after(self, at: int) -> int:
+        """The place of the next member whose text begins with a version line, or of the next version line."""
+        line = self.next_line(at)
+        while (gz := self.next_gzip(at)) < line:
+            try:
+                if zlib.decompressobj(31).decompress(self.data[gz : gz + 4096], 16).startswith(VERSION[:5]):
+                    return gz
+            except zlib.error:
+                pass
+            at = gz + 1
+        return line
 
 
 def salvage(data: bytes) -> Iterator[Found]:
     """All records of an archive that pass the checks, and the gaps between them."""
-    at = 0
+    at, starts = 0, Starts(data)
     while at < len(data):
         try:
             if data.startswith(GZIP, at):
@@ -157,7 +178,7 @@ def salvage(data: bytes) -> Iterator[Found]:
             continue
         except ValueError as e:
             why = str(e)
-        end = next_start(data, at + 1)
+        end = starts.after(at + 1)
         # a candidate that fails its own checks makes another gap, from its start
         yield Found(at, end - at, gap=why)
         at = end

@@ -57,10 +57,16 @@ def folded(spark, events):
     return [(r["message"], r["role"], r["text"]) for r in C.fold(df).orderBy("message").collect()]
 
 
+def place(event):
+    seq, m, kind, role, text = event
+    return (seq is not None, seq or 0, m, kind, role, text or "")
+
+
 def simulate(events):
     """The log, event by event."""
     now, roles = {}, {}
-    for seq, m, kind, role, text in sorted(events, key=lambda e: (e[0], e[1])):
+    for _, m, kind, role, text in sorted(events, key=place):
+        text = text or ""
         if kind in ("message", "edit", "regenerate"):
             if kind == "regenerate":
                 for later in [k for k in now if k > m]:
@@ -91,28 +97,31 @@ def test_null_sequence_numbers_come_first(spark):
     assert folded(spark, log) == [(2, "assistant", "newer"), (3, "user", "stays")]
 
 
-@pytest.mark.parametrize("seed", range(3))
+def test_deltas_after_a_regeneration_stay(spark):
+    log = [(1, 3, "message", "user", "gone"), (2, 2, "regenerate", "assistant", "new"), (3, 3, "delta", "user", "x")]
+    assert folded(spark, log) == simulate(log) == [(2, "assistant", "new"), (3, "user", "x")]
+    log = [(1, 2, "delta", "assistant", "old"), (2, 1, "regenerate", "user", "q"), (3, 2, "delta", "assistant", "after")]
+    assert folded(spark, log) == simulate(log) == [(1, "user", "q"), (2, "assistant", "after")]
+
+
+@pytest.mark.parametrize("seed", range(4))
 def test_logs_against_a_simulation(spark, seed):
     rng = random.Random(seed)
     logs = {}
-    for c in range(60):
-        events, started = [], set()
-        for seq in range(rng.randint(1, 14)):
+    for c in range(120):
+        events = []
+        for seq in range(rng.randint(1, 16)):
             m = rng.randint(1, 4)
-            kind = rng.choice(["message", "delta", "delta", "edit", "regenerate"])
-            if kind == "delta" and m not in started:
-                kind = "message"  # streams open with an event of their own here
-            started.add(m)
-            if kind == "regenerate":
-                started -= {k for k in started if k > m}
-            events.append((seq, m, kind, f"r{m}", f"{seq}."))
+            kind = rng.choice(["message", "delta", "delta", "delta", "edit", "regenerate", "delete"])
+            at = rng.choice([seq, seq, seq, None, rng.randint(0, 15)]) if seed else seq  # nulls and ties
+            events.append((at, m, kind, rng.choice(["user", "assistant"]), rng.choice([f"{seq}.", f"{seq}.", "", None])))
         logs[c] = events
     rows = [(c, *e) for c, es in logs.items() for e in es]
     df = spark.createDataFrame(rows, "conv_id long, seq long, message long, kind string, role string, text string").repartition(4)
     got = {}
     for r in C.fold(df).orderBy("conv_id", "message").collect():
         got.setdefault(r["conv_id"], []).append((r["message"], r["role"], r["text"]))
-    assert got == {c: simulate(es) for c, es in logs.items()}
+    assert got == {c: x for c, es in logs.items() if (x := simulate(es))}
 
 
 def test_no_python_in_the_plans(spark):

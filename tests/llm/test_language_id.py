@@ -1,3 +1,5 @@
+import math
+import random
 import zlib
 
 import duckdb
@@ -54,6 +56,78 @@ def test_the_table_may_be_small(docs, trained):
     assert {r["doc_id"]: (r["lang_pred"], r["score"]) for r in L.identify(docs(rows), trained, table_limit=3).collect()} == full
 
 
+def test_signs_are_no_letters(docs, trained):
+    got = pred(docs, trained, [(1, "² ½ 1"), (2, "①"), (3, "the² cat½"), (4, "_ 7"), (5, "Ⅷ the"), (6, "日本")])
+    assert [got[i][0] for i in (1, 2, 4)] == ["und"] * 3 and got[1][1] == 0
+    assert got[3][0] == got[5][0] == "en" and got[6][0] != "und"
+    assert L.words_of("the² x½y 3z Ⅷ ① é_Ö") == ["the", "x", "y", "z", "é", "ö"]
+
+
+def plain(train, texts, n_max=4):
+    """The whole rule with plain dictionaries: (language, score) of each text."""
+    words, grams = {}, {}
+    for text, lang in train:
+        for w in "".join(c if c.isalpha() else " " for c in text.lower()).split():
+            words.setdefault(lang, {}).setdefault(w, 0)
+            words[lang][w] += 1
+            marked = f"<{w}>"
+            for i in range(len(marked)):
+                for n in range(1, n_max + 1):
+                    if i + n <= len(marked):
+                        g = marked[i : i + n]
+                        grams.setdefault(lang, {}).setdefault(g, 0)
+                        grams[lang][g] += 1
+    langs = sorted({lang for _, lang in train})
+
+    def logs(table):
+        every = {x for lang in langs for x in table.get(lang, {})}
+        total = {lang: sum(table.get(lang, {}).get(x, 0) + 0.1 for x in every) for lang in langs}
+        return {x: [math.log((table.get(lang, {}).get(x, 0) + 0.1) / total[lang]) for lang in langs] for x in every}
+
+    word_logs, gram_logs = logs(words), logs(grams)
+    out = []
+    for text in texts:
+        own = "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+        if not own:
+            out.append(("und", 0.0))
+            continue
+        score = [0.0] * len(langs)
+        for w in own:
+            if w in word_logs:
+                found = [word_logs[w]]
+            else:
+                marked, found = f"<{w}>", []
+                for i in range(len(marked)):
+                    longest = [marked[i : i + n] for n in range(n_max, 0, -1) if i + n <= len(marked) and marked[i : i + n] in gram_logs]
+                    found += [gram_logs[g] for g in longest[:1]]
+            for k in range(len(langs)):
+                score[k] += sum(f[k] for f in found) / len(found) if found else 0.0
+        best = max(range(len(langs)), key=lambda k: (score[k], -k))
+        out.append((langs[best], 1 / sum(math.exp(s - score[best]) for s in score)))
+    return out
+
+
+def test_against_plain_dictionaries(spark, docs):
+    rng = random.Random(3)
+    pools = {x: ["".join(rng.choice(a) for _ in range(rng.randint(1, 6))) for _ in range(40)] for x, a in (("aa", "abcde"), ("bb", "cdefg"), ("cc", "aegé日"))}
+    make = lambda lang, n: " ".join(rng.choice(pools[lang]) + rng.choice(["", "", "", "²", ",", "½x", "1"]) for _ in range(n))
+    train = [(make(lang, rng.randint(0, 12)), lang) for lang in pools for _ in range(25)]
+    model = L.train(spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate(train)], "doc_id long, text string, lang string"))
+    texts = [make(rng.choice(list(pools)), rng.randint(0, 4)) + rng.choice(["", " zzz", " abz gfe", " ①"]) for _ in range(300)] + [None, "", "² ½ 1", "Q", "ÉÉ a"]
+    got = pred(docs, model, list(enumerate(texts)))
+    for i, (lang, score) in enumerate(plain(train, texts)):
+        assert got[i][1] == pytest.approx(score, abs=2e-6)
+        assert got[i][0] == lang or score < 0.51
+    every = {lang for lang, _ in got.values()}
+    assert every == {"aa", "bb", "cc", "und"}
+
+
+def test_words_seen_once_count_unless_a_minimum_is_given(spark):
+    rows = spark.createDataFrame([(1, "once twice twice", "a"), (2, "other", "b")], "doc_id long, text string, lang string")
+    assert set(L.train(rows).words) == {"once", "twice", "other"}
+    assert set(L.train(rows, min_count=2).words) == {"twice"}
+
+
 def test_no_training_rows_and_empty_table(spark, docs):
     none = L.train(spark.createDataFrame([], "doc_id long, text string, lang string"))
     assert L.identify(docs([(1, "text")]), none).first()["lang_pred"] == "und"

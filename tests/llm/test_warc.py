@@ -140,3 +140,28 @@ def test_plain_headers_end_before_the_next_record():
     cut = plain[1][: plain[1].index(b"\r\n\r\n")] + b"\r\n"  # its headers never end
     found = list(W.salvage(plain[0] + cut + plain[2]))
     assert ids(found) == [0, 2] and gaps(found) == [(len(plain[0]), len(cut))]
+
+
+def test_rows_that_tie_on_page_id(spark):
+    body = "<p>said again</p>" * 20
+    pages = [(1, "u", body), (1, "u", body), (2, "u", body), (2, "u", "other")]
+    folder = new_folder(spark, "warc-ties")
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(2)
+    got = sorted((W.from_urn(r["record_id"]), r["type"], W.from_urn(r["refers_to"]) or 0) for r in W.read_archives(spark, folder, W.write_archives(df, folder)).collect())
+    assert got == [(1, "response", 0), (1, "response", 0), (2, "response", 0), (2, "revisit", 1)]
+
+
+def test_time_grows_with_the_archive():
+    import time
+
+    def took(n, damage):
+        data = bytearray(b"".join(make(n, 600)))
+        for i in range(200, len(data), damage):
+            data[i] ^= 0x55
+        began = time.process_time()
+        list(W.salvage(bytes(data)))
+        return time.process_time() - began
+
+    for damage in (1 << 30, 700):  # hardly any, and one gap after another
+        short = min(took(4000, damage) for _ in range(3))
+        assert min(took(16000, damage) for _ in range(3)) < 8 * short  # four times the bytes
