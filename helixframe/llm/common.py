@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..scratch import BATCH_ROWS, drop, free_shuffles, new_folder, small_batches, stash
+from ..scratch import BATCH_ROWS, drop, file_system, free_shuffles, new_folder, small_batches, stash, stash_map
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
@@ -49,6 +49,34 @@ def keyed(df: DataFrame, nulls: bool) -> tuple[DataFrame, DataFrame]:
     return met.select(*df.columns, F.coalesce("new", "doc_id").alias("key")), new.select(F.col("new").alias("key"), F.col("id").alias("doc_id"))
 
 
+def in_order(df: DataFrame) -> tuple[DataFrame, bool]:
+    """df (doc_id, text and more) with a ``key`` that is never null and orders rows as their ids do, null ids last; and whether
+    each row has a key of its own.
+
+    The key is the id where no id is null or repeated. Otherwise rows are numbered by a sort of (id, hash of the text); equal
+    rows share a number. The sort cuts an id that very many rows have over many tasks."""
+    from pyspark.sql import functions as F
+
+    spark = df.sparkSession
+    bad = df.groupBy("doc_id").agg(F.count("*").alias("n")).where("doc_id is null or n > 1")
+    if bad.isEmpty():
+        return df.withColumn("key", F.col("doc_id")), True
+    marks = {"__m1": F.xxhash64("text"), "__m2": F.xxhash64(F.lit(1), "text")}
+    slim = stash(df.select("doc_id", *[c.alias(x) for x, c in marks.items()]).distinct(), "keys-marks")
+    by = (F.col("doc_id").asc_nulls_last(), "__m1", "__m2")
+    numbered = slim.repartitionByRange(cores(spark), *by).sortWithinPartitions(*by)
+    numbered = stash(numbered.select(F.col("doc_id").alias("id"), F.col("__m1").alias("m1"), F.col("__m2").alias("m2"), F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("nth")), "keys-numbered")
+    drop(slim)
+    before, rows = 0, []
+    for r in numbered.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect():  # a row a partition
+        rows.append((r["part"], before))
+        before += r["n"]
+    new = numbered.join(F.broadcast(spark.createDataFrame(rows, "part int, before long")), "part").select("id", "m1", "m2", (F.col("before") + F.col("nth")).alias("key"))
+    marked = df.withColumns(marks)
+    met = marked.join(new, marked["doc_id"].eqNullSafe(new["id"]) & (F.col("__m1") == F.col("m1")) & (F.col("__m2") == F.col("m2")))
+    return met.select(*df.columns, "key"), False
+
+
 class Shared:
     """A broadcast value whose classes travel with it, so that workers need no installed copy of them."""
 
@@ -76,9 +104,7 @@ class FileSink:
         import os
         import uuid
 
-        from pyarrow import fs
-
-        store, root = fs.FileSystem.from_uri(folder)
+        store, root = file_system(folder)
         store.create_dir(root, recursive=True)
         name = f"part-{uuid.uuid4().hex}{suffix}"
         self.uri = f"{folder.rstrip('/')}/{name}"
@@ -106,4 +132,4 @@ def read_files(spark: SparkSession, folder: str, uris: list[str]) -> DataFrame:
     return found.join(F.broadcast(names), F.substring_index("path", "/", -1) == F.col("name"), "left_semi")
 
 
-__all__ = ["FileSink", "Shared", "bounded_batches", "cores", "drop", "free_shuffles", "keyed", "new_folder", "read_files", "small_batches", "stash", "table"]
+__all__ = ["FileSink", "Shared", "bounded_batches", "cores", "drop", "free_shuffles", "in_order", "keyed", "new_folder", "read_files", "small_batches", "stash", "stash_map", "table"]

@@ -1,19 +1,22 @@
 """Exact near-duplicate vectors by dual traversal of cover trees (operator 8).
 
 Method. Vectors of a label (and of one length) are compared by cosine. On unit vectors that is a distance: cosine >= c is a
-chord of at most sqrt(2 - 2c). Equal vectors are one point with a count. A label's points are dealt to cells by their
-nearest pivot, large cells into blocks of about ``BLOCK``; a block knows its centre and covering radius, and these blocks are
-the top level of the tree. Two blocks are compared only if their balls come within the threshold. Below, each block has a
-cover tree: levels of separated centres whose radii halve, down to leaves of a few points or to where a level would
-hardly group them. Two trees are traversed together, a level at a time: a pair of nodes is dropped if its balls
-can't hold a link, taken whole if all its pairs must be links, and else split; pairs of leaves are compared in full, in
-double precision.
-
-A task returns for each point how many others it is linked with and a root of its links, never the pairs. Pivots are a
-sample of a block's share each, only to place blocks; which links are found doesn't depend on them.
-
-Scale: at worst, when vectors of a label lie alike far from each other, as random ones do, no ball is far from
-another and every two blocks of a label are compared; no exact metric tree avoids that. A block is sent once for each partner.
+chord of at most sqrt(2 - 2c). Equal vectors are one point with a count. A label's points make one tree of nested
+levels. Its upper levels are tables: a node with more than ``BLOCK`` points is split among up to ``FANOUT`` of its own points,
+drawn by hash, each point going to the nearest one; a node knows its centre and covering radius. Below, each node left
+has a cover tree in a task: levels of separated centres whose radii halve, down to leaves of a few points or to where a
+level would hardly group them. The traversal is dual in both parts, a level at a time from the root's pair with itself: a
+pair of nodes is dropped if its balls can't hold a link, taken whole if all its pairs must be links, and else split; pairs
+of leaves are compared in full, in double precision.
+
+A task returns for each point how many others it is linked with and a root of its links, never the pairs. Centres are a
+sample only to place points; which links are found doesn't depend on them.
+
+Scale: the driver gets counts alone. A level moves the vectors of nodes that are still large once; points of a large node
+are dealt over many tasks, each with the node's centres beside them. Nodes tighter than an eighth of the threshold aren't split, as a
+pair of them is taken whole. A block is sent once for each ``PARTNERS`` partners, and its tree built as often. At worst, when
+vectors of a label lie alike far from each other, as random ones do, no ball is far from another and every two blocks of
+a label are compared, in matrix products; no exact metric tree avoids that.
 
 Defined results: a null, empty or zero vector, or one with null or non-finite components, links with nothing, as does one
 with a null label; it is its own component. A null id has no component and isn't kept. Rows that repeat an id count as rows
@@ -35,6 +38,8 @@ from .common import drop, stash, table
 
 BLOCK = 1024
 LEAF = 64
+#: Parts of a split node; points that are routed in one task; blocks that meet one in one task; levels of tables at most.
+FANOUT, LOT, PARTNERS, LEVELS = 64, 4096, 8, 12
 #: Room for rounding in bounds; comparisons at leaves use none.
 SLACK = 1e-9
 
@@ -120,61 +125,160 @@ def traverse(a: Tree, b: Tree, cos: float):
         todo = nxt
 
 
-def pair_links(cos: float):
-    """For a pair of blocks: (id, links, root) of every point that has links."""
+def block_links(cos: float):
+    """For a block and some of its partners: (id, links, root) of every point that has links. Rows of the block itself have side
+    0; its partners' have side 1 and their block's number; ``own`` says whether the block is compared with itself as well."""
 
     def run(rows: pa.Table) -> pa.Table:
-        side = np.asarray(rows["side"])
         dim = len(rows["vec"][0].as_py()) // 8
-        ids, count = np.asarray(rows["id"]), np.asarray(rows["n"])
-        vecs = rows["vec"].to_pylist()
-        one = np.flatnonzero(side == 0)
-        two = np.flatnonzero(side == 1)
-        same = not len(two)
-        if same:
-            two = one
-        xa = unit([vecs[k] for k in one], dim)
-        xb = xa if same else unit([vecs[k] for k in two], dim)
+        x, ids, count = unit(rows["vec"].to_pylist(), dim), np.asarray(rows["id"]), np.asarray(rows["n"])
+        side, partner = np.asarray(rows["side"]), np.asarray(rows["partner"])
         least = math.sqrt(2 - 2 * cos) / 4
-        ta = Tree(xa, least)
-        tb = ta if same else Tree(xb, least)
-        na, nb = count[one], count[two]
-        links_a, links_b = np.zeros(len(one), np.int64), np.zeros(len(two), np.int64)
-        blocks = []
-        for r, c, hit in traverse(ta, tb, cos):
-            if hit is None:
-                hit = np.ones((len(r), len(c)), bool)
-            if same:
-                hit = hit & (r[:, None] != c[None, :])
-            if not hit.any():
-                continue
-            links_a[r] += hit @ nb[c]
-            if not same:
-                links_b[c] += na[r] @ hit
-            blocks.append((r, c, hit))
+        one = np.flatnonzero(side == 0)
+        if not len(one):  # hashes may leave a part of a node without points
+            return pa.table({"id": ids[one], "links": ids[one], "root": ids[one]})
+        ta, links, blocks = Tree(x[one], least), np.zeros(len(ids), np.int64), []
+        others = [np.flatnonzero((side == 1) & (partner == k)) for k in np.unique(partner[side == 1])]
+        for two in ([one] if rows["own"][0].as_py() else []) + others:
+            same = two is one
+            for r, c, hit in traverse(ta, ta if same else Tree(x[two], least), cos):
+                if hit is None:
+                    hit = np.ones((len(r), len(c)), bool)
+                if same:
+                    hit = hit & (r[:, None] != c[None, :])
+                if not hit.any():
+                    continue
+                r, c = one[r], two[c]
+                np.add.at(links, r, hit @ count[c])
+                if not same:
+                    np.add.at(links, c, count[r] @ hit)
+                blocks.append((r, c, hit))
         # labels go back and forth over the links until none falls
-        la, lb = ids[one].copy(), ids[two].copy()
-        big = np.iinfo(np.int64).max
+        label, big = ids.copy(), np.iinfo(np.int64).max
         while True:
-            before = (la.copy(), lb.copy())
+            before = label.copy()
             for r, c, hit in blocks:
-                la[r] = np.minimum(la[r], np.where(hit, lb[c][None, :], big).min(1))
-                lb[c] = np.minimum(lb[c], np.where(hit, la[r][:, None], big).min(0))
-            if same:
-                la = lb = np.minimum(la, lb)
-            if (la == before[0]).all() and (lb == before[1]).all():
+                label[r] = np.minimum(label[r], np.where(hit, label[c][None, :], big).min(1))
+                label[c] = np.minimum(label[c], np.where(hit, label[r][:, None], big).min(0))
+            if (label == before).all():
                 break
-        keep_a, keep_b = links_a > 0, links_b > 0
-        parts = [(ids[one][keep_a], links_a[keep_a], la[keep_a])] + ([] if same else [(ids[two][keep_b], links_b[keep_b], lb[keep_b])])
-        col = lambda k: pa.array(np.concatenate([p[k] for p in parts]).astype(np.int64))
-        return pa.table({"id": col(0), "links": col(1), "root": col(2)})
+        keep = links > 0
+        return pa.table({"id": ids[keep], "links": links[keep], "root": label[keep]})
 
     return run
 
 
+def routed(key, points: pa.Table, centers: pa.Table) -> pa.Table:
+    """Points of a node with the number of the nearest of its centres and the distance to it."""
+    dim = len(points["vec"][0].as_py()) // 8 if points.num_rows else 1
+    child, far = np.zeros(points.num_rows, np.int64), np.full(points.num_rows, 2.0)
+    if points.num_rows and centers.num_rows:
+        x = unit(points["vec"].to_pylist(), dim)
+        p = unit(centers["centers"][0].as_py(), dim)
+        for at in range(0, len(x), 1024):
+            best = (x[at : at + 1024] @ p.T).argmax(1)
+            child[at : at + 1024] = best
+            # the plain distance, as the bounds use it
+            far[at : at + 1024] = np.sqrt(((x[at : at + 1024] - p[best]) ** 2).sum(1))
+    cells = [f"{c}.{k}" for c, k in zip(points["cell"].to_pylist(), child.tolist())]
+    return pa.table({"label": points["label"], "cell": pa.array(cells, pa.string()), "id": points["id"], "n": points["n"], "vec": points["vec"], "far": far})
+
+
+def grow(points: DataFrame, tight: float) -> tuple[DataFrame, DataFrame]:
+    """(points in their last nodes, nodes) of the upper levels, both stashed. points: (label, id, n, vec). Nodes: (label, cell, parent,
+    center, radius, size, weight, rep, split); the weight adds up the counts n, rep is the smallest id."""
+    spark = points.sparkSession
+    now = points.select("label", F.lit("0").alias("cell"), "id", "n", "vec", F.lit(2.0).alias("far"))
+    centers, done, nodes = None, [], []
+    for level in range(LEVELS):
+        sized = now.groupBy("label", "cell").agg(F.max("far").alias("radius"), F.count("*").alias("size"), F.sum("n").alias("weight"), F.min("id").alias("rep"))
+        split = (F.col("size") > BLOCK) & (F.col("radius") > tight) & F.lit(level < LEVELS - 1)
+        sized = stash(sized.withColumn("split", split), "node-sizes")
+        # a centre of its own for the root; it covers the whole sphere
+        own = sized.join(centers, ["label", "cell"]) if centers is not None else sized.withColumn("center", F.lit(None).cast("binary"))
+        nodes.append(stash(own.withColumn("parent", F.substring_index("cell", ".", level) if level else F.lit(None).cast("string")), "nodes"))
+        rest = sized.where("split")
+        if not rest.count():
+            done.append(stash(now.select("label", "cell", "id", "n", "vec"), "node-points"))
+            break
+        done.append(stash(now.join(sized.where("not split").select("label", "cell"), ["label", "cell"], "left_semi").select("label", "cell", "id", "n", "vec"), "node-points"))
+        open_ = now.join(rest.select("label", "cell", "size"), ["label", "cell"])
+        # a node's centres are those of its points whose hash is small: about a part for half a block each, within the fan-out
+        wanted = F.least(F.lit(FANOUT), F.greatest(F.lit(8), F.ceil(2 * F.col("size") / BLOCK)))
+        drawn = open_.where(F.xxhash64(F.lit(level), "id").bitwiseAND((1 << 30) - 1) < wanted * (1 << 30) / F.col("size"))
+        drawn = drawn.groupBy("label", "cell").agg(F.array_sort(F.collect_list("vec")).alias("centers"))
+        drawn = stash(drawn, "node-centers")
+        lots = F.ceil(F.col("size") / LOT)
+        dealt = open_.select("label", "cell", "id", "n", "vec", F.pmod(F.xxhash64("id"), lots).alias("lot"))
+        beside = drawn.join(rest.select("label", "cell", "size"), ["label", "cell"]).select("label", "cell", "centers", F.explode(F.sequence(F.lit(0).cast("long"), lots - 1)).alias("lot"))
+        moved = dealt.groupBy("label", "cell", "lot").cogroup(beside.groupBy("label", "cell", "lot")).applyInArrow(routed, "label string, cell string, id long, n long, vec binary, far double")
+        before = now
+        now = stash(moved, "routed")
+        if level:
+            drop(before)
+        centers = drawn.select("label", "cell", F.posexplode("centers").alias("k", "center")).select("label", F.concat_ws(".", "cell", F.col("k").cast("string")).alias("cell"), "center")
+        # a node of which no point was drawn has one part, without a centre; the next level draws again
+        centers = stash(centers.union(rest.join(drawn, ["label", "cell"], "left_anti").select("label", F.concat("cell", F.lit(".0")), F.lit(None).cast("binary"))), "centers")
+        drop(drawn)
+    columns = ["label", "cell", "parent", "center", "radius", "size", "weight", "rep", "split"]
+    every, own = nodes[0].select(*columns), done[0]
+    for x in nodes[1:]:
+        every = every.union(x.select(*columns))
+    for x in done[1:]:
+        own = own.union(x)
+    return own, stash(every, "all-nodes")
+
+
+def node_pairs(nodes: DataFrame, cos: float) -> tuple[DataFrame, DataFrame]:
+    """(label, a, b) of pairs of last nodes that may hold links, a = b among them, and (label, a, b) of pairs of nodes all of whose
+    points are linked; a traversal of the upper levels, a level at a time."""
+    limit = math.sqrt(2 - 2 * cos)
+    # what a node is replaced by: its parts, or itself
+    part = F.struct("cell", "radius", "center", "split")
+    parts = nodes.where("parent is not null").groupBy("label", F.col("parent").alias("node")).agg(F.collect_list(part).alias("parts"))
+    alone = nodes.where("not split").select("label", F.col("cell").alias("node"), F.array(part).alias("parts"))
+    fronts = stash(parts.union(alone), "fronts")
+
+    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                dim = int(r["label"].rsplit("/", 1)[1]) // 8
+
+                def balls(x):
+                    # without a centre of its own, a ball is the whole sphere
+                    axis = np.eye(1, dim).tobytes()
+                    return unit([p["center"] or axis for p in x], dim), np.array([p["radius"] if p["center"] else 2.0 for p in x])
+
+                (ca, ra), (cb, rb) = balls(r["pa"]), balls(r["pb"])
+                apart, reach = chords(ca @ cb.T), ra[:, None] + rb[None, :]
+                near = apart - reach <= limit + 1e-7
+                if r["a"] == r["b"]:
+                    near &= np.array([x["cell"] for x in r["pa"]])[:, None] <= np.array([x["cell"] for x in r["pb"]])[None, :]
+                whole = near & (apart + reach < limit - 1e-6)
+                for i, j in zip(*np.nonzero(near)):
+                    x, y = r["pa"][i], r["pb"][j]
+                    out.append((r["label"], x["cell"], y["cell"], bool(whole[i, j]), x["split"] or y["split"]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 5, [pa.string(), pa.string(), pa.string(), pa.bool_(), pa.bool_()])], ["label", "a", "b", "whole", "more"])
+
+    now = nodes.where("parent is null").select("label", F.col("cell").alias("a"), F.col("cell").alias("b"), F.lit(False).alias("whole"), F.col("split").alias("more"))
+    ended, taken = [], []
+    for _ in range(LEVELS):
+        ended.append(now.where("not whole and not more").select("label", "a", "b"))
+        taken.append(now.where("whole").select("label", "a", "b"))
+        rest = now.where("more and not whole")
+        if rest.isEmpty():
+            break
+        side = lambda c: fronts.select("label", F.col("node").alias(c), F.col("parts").alias(f"p{c}"))
+        now = stash(rest.select("label", "a", "b").join(side("a"), ["label", "a"]).join(side("b"), ["label", "b"]).select("label", "a", "b", "pa", "pb").mapInArrow(expand, "label string, a string, b string, whole boolean, more boolean"), "node-pairs")
+    pairs, whole = ended[0], taken[0]
+    for x, y in zip(ended[1:], taken[1:]):
+        pairs, whole = pairs.union(x), whole.union(y)
+    return pairs, whole
+
+
 def near_duplicates(df: DataFrame, cos: float = 0.98, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row."""
-    spark = df.sparkSession
     vec = F.col(vec_col).cast("array<double>")
     rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), vec.alias("v"))
     sound = F.expr("label is not null and vec_id is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(v, x -> x != 0)")
@@ -185,79 +289,57 @@ def near_duplicates(df: DataFrame, cos: float = 0.98, id_col: str = "vec_id", ve
             raw = flat.tobytes()
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([raw[8 * x : 8 * y] for x, y in zip(off, off[1:])], pa.binary())], ["vec_id", "label", "vec"])
 
-    whole = stash(rows.select("vec_id", "label", F.when(sound, F.col("v")).alias("v")), "vectors")
-    valid = whole.where("v is not null").mapInArrow(as_bytes, "vec_id long, label string, vec binary")
+    whole_rows = stash(rows.select("vec_id", "label", F.when(sound, F.col("v")).alias("v")), "vectors")
+    valid = whole_rows.where("v is not null").mapInArrow(as_bytes, "vec_id long, label string, vec binary")
     valid = stash(valid.select("vec_id", F.concat("label", F.lit("/"), F.octet_length("vec").cast("string")).alias("label"), "vec"), "vector-bytes")
     # equal vectors are one point: its smallest id, and how many there are
     points = stash(valid.groupBy("label", "vec").agg(F.min("vec_id").alias("id"), F.count("*").alias("n")), "points")
-
-    # a pivot for each BLOCK points of a label, picked by hash; cells, and blocks of bounded size in large cells
-    per_label = points.groupBy("label").agg(F.count("*").alias("size"))
-    many = {r["label"]: r["size"] for r in per_label.where(F.col("size") > BLOCK).collect()}  # a row for each large label
-    share = spark.createDataFrame([(k, max(1, (1 << 30) * -(-n // BLOCK) // n)) for k, n in many.items()] or [("", 0)], "label string, top long")
-    pivots = points.join(F.broadcast(share), "label").where(F.xxhash64("id").bitwiseAND((1 << 30) - 1) < F.col("top")).select("label", "vec")
-    cells = stash(assign_cells(points, pivots), "cells")
-    sizes = cells.groupBy("label", "cell").agg(F.count("*").alias("size"))
-    dealt = cells.join(F.broadcast(sizes) if len(many) < 1000 else sizes, ["label", "cell"])
-    dealt = stash(dealt.select("label", "id", "n", "vec", "center", "far", F.struct("cell", F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / BLOCK)).alias("part")).alias("block")), "blocks")
-
-    # pairs of blocks whose balls come within the threshold: the top level of the traversal
-    tops = dealt.groupBy("label", "block").agg(F.max("far").alias("radius"), F.first("center").alias("center"))
-    tops = stash(tops, "tops")
-    other = tops.select("label", F.col("block").alias("block2"), F.col("radius").alias("radius2"), F.col("center").alias("center2"))
-    limit = math.sqrt(2 - 2 * cos)
-    apart = "sqrt(aggregate(zip_with(center, center2, (x, y) -> (x - y) * (x - y)), double(0), (s, x) -> s + x))"
-    pairs = tops.join(other, "label").where(F.col("block") <= F.col("block2")).where(F.expr(f"{apart} <= radius + radius2 + {limit + SLACK!r}")).select("label", "block", "block2")
-    pairs = stash(pairs, "block-pairs")
-    sides = pairs.select("label", F.col("block").alias("b1"), F.col("block2").alias("b2"), F.explode(F.when(F.col("block") == F.col("block2"), F.array(F.struct(F.lit(0).alias("side"), F.col("block").alias("at")))).otherwise(F.array(F.struct(F.lit(0).alias("side"), F.col("block").alias("at")), F.struct(F.lit(1).alias("side"), F.col("block2").alias("at"))))).alias("s"))
-    sent = dealt.select("label", "id", "n", "vec", F.col("block").alias("at")).join(sides.select("label", "b1", "b2", "s.side", "s.at"), ["label", "at"])
-    found = stash(sent.groupBy("label", "b1", "b2").applyInArrow(pair_links(cos), "id long, links long, root long"), "links")
-    drop(cells, tops, pairs, dealt)
+    placed, nodes = grow(points, math.sqrt(2 - 2 * cos) / 8)
+    pairs, whole = node_pairs(nodes, cos)
+
+    # last nodes in blocks; one is larger than a block only where it couldn't be split
+    sizes = nodes.where("not split").select("label", "cell", F.ceil(F.col("size") / BLOCK).alias("parts"))
+    block = lambda cell, part: F.concat_ws("#", cell, part)
+    dealt = placed.join(sizes, ["label", "cell"]).select("label", "id", "n", "vec", block(F.col("cell"), F.pmod(F.xxhash64("id"), F.col("parts")).cast("string")).alias("block"))
+    span = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    both = pairs.join(sizes.select("label", F.col("cell").alias("a"), F.col("parts").alias("na")), ["label", "a"]).join(sizes.select("label", F.col("cell").alias("b"), F.col("parts").alias("nb")), ["label", "b"])
+    both = both.select("*", span("na").alias("x")).select("*", span("nb").alias("y")).where("a != b or x <= y")
+    both = both.select("label", block(F.col("a"), F.col("x").cast("string")).alias("b1"), block(F.col("b"), F.col("y").cast("string")).alias("b2"))
+    both = stash(both, "block-pairs")
+    lots = both.groupBy("label", "b1").agg(F.ceil(F.count_if(F.col("b1") != F.col("b2")) / PARTNERS).alias("lots"))
+    both = both.join(lots, ["label", "b1"]).withColumn("lot", F.when(F.col("b1") == F.col("b2"), 0).otherwise(F.pmod(F.xxhash64("b2"), F.greatest("lots", F.lit(1)))).cast("long"))
+    both = stash(both.select("label", "b1", "b2", "lot"), "block-lots")
+    own = both.groupBy("label", "b1", "lot").agg(F.max(F.col("b1") == F.col("b2")).alias("own"))
+    asked = own.select("label", F.col("b1").alias("at"), "b1", "lot", F.lit(0).alias("side"), F.lit(0).cast("long").alias("partner"), "own")
+    asked = asked.union(both.where("b1 != b2").join(own, ["label", "b1", "lot"]).select("label", F.col("b2").alias("at"), "b1", "lot", F.lit(1).alias("side"), F.xxhash64("b2").alias("partner"), "own"))
+    sent = dealt.withColumnRenamed("block", "at").join(asked, ["label", "at"])
+    found = stash(sent.groupBy("label", "b1", "lot").applyInArrow(block_links(cos), "id long, links long, root long"), "links")
+    drop(both)
+
+    # pairs of nodes taken whole: each point of one is linked with all of the other, whichever level they stand on
+    if not whole.isEmpty():
+        info = nodes.select("label", "cell", "weight", "rep")
+        w = whole.join(info.select("label", F.col("cell").alias("a"), F.col("weight").alias("wa"), F.col("rep").alias("ra")), ["label", "a"]).join(info.select("label", F.col("cell").alias("b"), F.col("weight").alias("wb"), F.col("rep").alias("rb")), ["label", "b"])
+        w = stash(w, "whole-pairs")
+        to = w.select("label", F.col("a").alias("cell"), F.col("wb").alias("more"), (F.col("a") == F.col("b")).alias("self"), F.col("ra").alias("rep")).union(w.where("a != b").select("label", "b", "wa", F.lit(False), "rb"))
+        to = stash(to.groupBy("label", "cell").agg(F.sum("more").alias("more"), F.max("self").alias("self"), F.first("rep").alias("rep")), "whole-nodes")
+        up = F.expr("transform(sequence(1, size(split(cell, '[.]'))), k -> substring_index(cell, '.', k))")
+        meant = placed.select("label", "id", "n", F.explode(up).alias("cell")).join(to, ["label", "cell"])
+        meant = meant.select("id", (F.col("more") - F.when(F.col("self"), F.col("n")).otherwise(0)).alias("links"), F.col("rep").alias("root"))
+        joined = w.select(F.col("ra").alias("id"), F.lit(0).cast("long").alias("links"), F.col("rb").alias("root"))
+        found = stash(found.union(meant).union(joined), "all-links")
 
     counted = found.groupBy("id").agg(F.sum("links").alias("links"))
     copies = valid.join(points.select("label", "vec", "id", "n"), ["label", "vec"]).select("vec_id", "id", "n")
     copies = stash(copies.join(counted, "id", "left").select("vec_id", "id", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links")), "linked")
-    drop(valid)
+    drop(valid, points)
     roots = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")).union(copies.select(F.col("vec_id").alias("a"), F.col("id").alias("b"))).where("a != b"), "vector-roots")
-    drop(found, points)
+    drop(found)
     linked = copies.join(roots, F.col("id") == F.col("node"), "left").select("vec_id", F.col("links").alias("n_links"), F.coalesce("root", "id").alias("component_id"))
-    alone = whole.where("v is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    alone = whole_rows.where("v is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.union(alone).select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
-def assign_cells(points: DataFrame, pivots: DataFrame) -> DataFrame:
-    """(label, id, n, vec, cell, center, far): each point with its nearest pivot of its label, or with the label's first axis
-    where the label has none, and its distance to it."""
-    spark = points.sparkSession
-    got: dict[str, list[bytes]] = {}
-    # a vector for each BLOCK points
-    for r in pivots.toLocalIterator():
-        got.setdefault(r["label"], []).append(bytes(r["vec"]))
-    sent = spark.sparkContext.broadcast({k: sorted(v) for k, v in got.items()})
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            labels, vecs = b.column(0).to_pylist(), b.column(3).to_pylist()
-            cell, center, far = [0] * len(labels), [None] * len(labels), [0.0] * len(labels)
-            by: dict[str, list[int]] = {}
-            for k, x in enumerate(labels):
-                by.setdefault(x, []).append(k)
-            for label, own in by.items():
-                dim = len(vecs[own[0]]) // 8
-                x = unit([vecs[k] for k in own], dim)
-                p = unit(sent.value[label], dim) if label in sent.value else np.eye(1, dim)
-                for at in range(0, len(own), 1024):
-                    dots = x[at : at + 1024] @ p.T
-                    best = dots.argmax(1)
-                    # the plain distance, as the blocks' bounds use it
-                    d = np.sqrt(((x[at : at + 1024] - p[best]) ** 2).sum(1))
-                    for k, c, y in zip(own[at : at + 1024], best.tolist(), d.tolist()):
-                        cell[k], center[k], far[k] = c, p[c], y
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(3), pa.array(cell, pa.int32()), pa.array(center, pa.list_(pa.float64())), pa.array(far)], ["label", "id", "n", "vec", "cell", "center", "far"])
-
-    return points.select("label", "id", "n", "vec").mapInArrow(run, "label string, id long, n long, vec binary, cell int, center array<double>, far double")
-
-
 def op8_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"), 0.98)
 

@@ -1,29 +1,34 @@
 """Which 64-bit values occur more than once in the corpus, found with few bytes a value, and bit tables of bounded size.
 
-A task sorts its values, cuts them to 40 bits, deals them into ranges of the value space and sends each range as one
+A task sorts its values, cuts them to some leading bits, deals them into ranges of the value space and sends each range as one
 row of packed differences, about three bytes a value instead of a row each. A range's rows meet in one task, which
-merges them and keeps the values seen at least twice. Two different values may share their 40 bits, so that a value may
+merges them and keeps the values seen at least twice. Two different values may share their leading bits, so that a value may
 be taken for a repeated one; the other way round it never errs. Callers use the answer to leave away only what is
-certainly alone.
+certainly alone. How many bits and ranges there are follows from the number of values (``Spread``), so that neither the share
+of false answers nor a range's size grows with the input.
 
-A bit table holds such values (or row keys) for a look-up in Python workers. It has 16 bits a key, up to ``MAX_BITS`` (16 MB);
-beyond, it lets more rows through, and what follows it does the exact work on more rows.
+A bit table holds such values (or row keys) for a look-up in Python workers. It has 16 bits a key and at most ``MAX_BITS`` (16 MB).
+Callers look only up to ``MAX_KEYS`` keys up in one; beyond, they join, which shuffles more and has no bound.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-VALUE_BITS = 40
+#: Packed bytes of a range that meet in a task.
+RANGE_BYTES = 32 << 20
+MOST_RANGES = 1 << 18
 #: How often a task reports one value at most. Levels of frequency above it look alike to one task, not to the whole.
 REPEATS = 256
 MAX_BITS = 1 << 27
 MIN_BITS = 1 << 16
+MAX_KEYS = MAX_BITS // 16
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -38,8 +43,19 @@ def mix(*columns: np.ndarray) -> np.ndarray:
     return h
 
 
-def narrowed(values: np.ndarray) -> np.ndarray:
-    return values >> np.uint64(64 - VALUE_BITS)
+class Spread(NamedTuple):
+    """How many ranges values are dealt to, and how many of their bits count."""
+
+    ranges: int
+    bits: int
+
+    @classmethod
+    def of(cls, values: int, cores: int) -> Spread:
+        """For so many values in all: a value is taken for another with a probability of 1 / 4096 at most, as long as 60 bits do."""
+        return cls(min(MOST_RANGES, max(4 * cores, values * 8 // RANGE_BYTES)), min(60, max(40, int(values).bit_length() + 12)))
+
+    def narrowed(self, values: np.ndarray) -> np.ndarray:
+        return values >> np.uint64(64 - self.bits)
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -59,11 +75,11 @@ def unpack(data: bytes) -> np.ndarray:
 class Packer:
     """Gathers a task's values and gives (range, packed) rows, every ``most`` values and at the end."""
 
-    def __init__(self, ranges: int, most: int = 2_000_000) -> None:
-        self.ranges, self.most, self.parts, self.size = ranges, most, [], 0
+    def __init__(self, spread: Spread, most: int = 2_000_000) -> None:
+        self.spread, self.most, self.parts, self.size = spread, max(most, 16 * spread.ranges), [], 0
 
     def add(self, values: np.ndarray) -> Iterator[tuple[list[int], list[bytes]]]:
-        self.parts.append(narrowed(values))
+        self.parts.append(self.spread.narrowed(values))
         self.size += len(values)
         if self.size >= self.most:
             yield self.flush()
@@ -76,7 +92,7 @@ class Packer:
         v.sort()
         if (v[REPEATS:] == v[:-REPEATS]).any():
             v = v[np.concatenate([np.ones(min(REPEATS, len(v)), bool), v[REPEATS:] != v[:-REPEATS]])]
-        edges = np.searchsorted(v, np.array([-(-(r << VALUE_BITS) // self.ranges) for r in range(self.ranges + 1)], np.uint64))
+        edges = np.searchsorted(v, np.array([-(-(r << self.spread.bits) // self.spread.ranges) for r in range(self.spread.ranges + 1)], np.uint64))
         used = np.flatnonzero(np.diff(edges))
         return used.tolist(), [pack(v[edges[r] : edges[r + 1]]) for r in used]
 

@@ -36,8 +36,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import Forest, components
-from .common import Shared, cores, drop, free_shuffles, keyed, stash, table
-from .frequency import Packer, bit_table, mix, narrowed, repeated
+from . import frequency
+from .common import Shared, cores, drop, free_shuffles, keyed, stash, stash_map, table
+from .frequency import Packer, Spread, bit_table, mix, repeated
 
 #: A-Z to a-z; words are then what bytes.split() gives, cut at 0x20 and 0x09 to 0x0D.
 LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
@@ -144,12 +145,11 @@ def cross_links(t: Fraction):
     return run
 
 
-def scan(docs: DataFrame, n: int) -> DataFrame:
-    """A row for each document (doc, n, f1, f2: its set's size and 128-bit fingerprint), and rows of packed tokens."""
-    ranges = 4 * cores(docs.sparkSession)
+def scan(docs: DataFrame, n: int, spread: Spread) -> DataFrame:
+    """A row for each document (doc, n, f1, f2: its set's size and 128-bit fingerprint), and rows of packed tokens; stashed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, packer = Words(), Packer(ranges)
+        words, packer = Words(), Packer(spread)
         names = ["doc", "n", "f1", "f2", "range", "packed"]
 
         def packed(used, data):
@@ -171,11 +171,16 @@ def scan(docs: DataFrame, n: int) -> DataFrame:
         if used:
             yield packed(used, data)
 
-    return docs.mapInArrow(run, "doc long, n long, f1 long, f2 long, range int, packed binary")
+    return stash_map(docs, run, "doc long, n long, f1 long, f2 long, range int, packed binary", "jaccard-scan")
 
 
-def prefixes(docs: DataFrame, n: int, t: Fraction, sent: Shared) -> DataFrame:
-    """(doc, token): the tokens of each document's prefix that may be in another document too. sent: bit tables by frequency."""
+def prefixes(docs: DataFrame, n: int, t: Fraction, spread: Spread, shared: DataFrame) -> DataFrame:
+    """(doc, token): the tokens of each document's prefix that may be in another document too, stashed. shared: (value, n) of
+    tokens seen more than once. They are looked up in bit tables by frequency; where they are too many, tokens are joined to them."""
+    spark = docs.sparkSession
+    if shared.count() > frequency.MAX_KEYS:
+        return stash(_joined_prefixes(docs, n, t, spread, shared), "jaccard-prefixes")
+    sent = Shared(spark, [bit_table(shared.where(F.col("n") >= x), "value", hashed=False) for x in LEVELS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, tables = Words(), sent.value
@@ -185,12 +190,12 @@ def prefixes(docs: DataFrame, n: int, t: Fraction, sent: Shared) -> DataFrame:
                 s = shingles(text, n, words)
                 if key is None or not len(s):
                     continue
-                value = narrowed(s)
-                shared = tables[0].has(value)
-                room = len(s) - needed(len(s), t) + 1 - int((~shared).sum())
+                value = spread.narrowed(s)
+                known = tables[0].has(value)
+                room = len(s) - needed(len(s), t) + 1 - int((~known).sum())
                 if room <= 0:
                     continue
-                s, value = s[shared], value[shared]
+                s, value = s[known], value[known]
                 level = sum(x.has(value).astype(np.int8) for x in tables)
                 s = s[np.lexsort((s, level))[:room]]
                 who.append(np.full(len(s), key, np.int64))
@@ -198,23 +203,49 @@ def prefixes(docs: DataFrame, n: int, t: Fraction, sent: Shared) -> DataFrame:
             if who:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(who)), pa.array(np.concatenate(what).view(np.int64))], ["doc", "token"])
 
-    return docs.mapInArrow(run, "doc long, token long")
+    out = stash_map(docs, run, "doc long, token long", "jaccard-prefixes")
+    sent.drop()
+    return out
 
 
-def sets_of(docs: DataFrame, n: int, sent: Shared) -> DataFrame:
-    """(doc, n, tokens) of the documents that the bit table sent may hold."""
+def _joined_prefixes(docs: DataFrame, n: int, t: Fraction, spread: Spread, shared: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for keys, texts in slices(batches):
+            sets = [shingles(x, n, words) if k is not None else np.zeros(0, np.uint64) for k, x in zip(keys, texts)]
+            size = np.array([len(s) for s in sets], np.int64)
+            room = size - np.array([needed(int(k), t) for k in size], np.int64) + 1
+            who = np.repeat([k or 0 for k in keys], size).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)), pa.array(np.repeat(size, size)), pa.array(np.repeat(room, size))], ["doc", "token", "n", "room"])
+
+    tokens = docs.mapInArrow(run, "doc long, token long, n long, room long").join(shared.withColumnRenamed("n", "seen"), F.shiftrightunsigned("token", 64 - spread.bits) == F.col("value"))
+    level = sum((F.when(F.col("seen") >= x, 1).otherwise(0) for x in LEVELS), F.lit(0))
+    # a set's unshared tokens take their places in the prefix first
+    per = tokens.groupBy("doc").agg(F.first("n").alias("n"), F.first("room").alias("room"), F.array_sort(F.collect_list(F.struct(level.alias("level"), "token"))).alias("all"))
+    left = F.col("room") - (F.col("n") - F.size("all"))
+    return per.where(left > 0).select("doc", F.explode(F.slice("all", F.lit(1), left.cast("int"))).alias("x")).select("doc", F.col("x.token").alias("token"))
+
+
+def sets_of(docs: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
+    """(doc, n, tokens) of the wanted documents, a row for each; stashed. A bit table leaves most of the others away, if it can."""
+    sent = Shared(docs.sparkSession, None if wanted.count() > frequency.MAX_KEYS else bit_table(wanted, "doc"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, table_ = Words(), sent.value
         for b in batches:
             keys = b.column(0)
             known = np.asarray(keys.is_valid())
-            own = b.filter(pa.array(known & table_.has(mix(np.asarray(keys.fill_null(0)).astype(np.int64)))))
+            if table_ is not None:
+                known &= table_.has(mix(np.asarray(keys.fill_null(0)).astype(np.int64)))
+            own = b.filter(pa.array(known))
             for ids, texts in slices([own]):
                 sets = [shingles(x, n, words) for x in texts]
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc", "n", "tokens"])
 
-    return docs.mapInArrow(run, "doc long, n long, tokens binary")
+    found = docs.mapInArrow(run, "doc long, n long, tokens binary")
+    out = stash(found.join(wanted, "doc", "left_semi").dropDuplicates(["doc"]), "jaccard-sets")
+    sent.drop()
+    return out
 
 
 def join(df: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -224,7 +255,8 @@ def join(df: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5), id_col
     docs, new = keyed(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), nulls=False)
     docs = docs.select(F.col("key").alias("doc"), "text")
     ids = lambda rows, c: rows.join(new.select(F.col("key").alias(c), F.col("doc_id").alias(f"{c}_id")), c, "left").withColumn(f"{c}_id", F.coalesce(f"{c}_id", c))
-    scanned = stash(scan(docs, n), "jaccard-scan")
+    spread = Spread.of((docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6, cores(spark))
+    scanned = scan(docs, n, spread)
     rows = ids(scanned.where("range is null").select("doc", "n", "f1", "f2"), "doc")
 
     # classes of equal sets
@@ -233,10 +265,9 @@ def join(df: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5), id_col
 
     # tokens in more than one document, by frequency
     shared = stash(repeated(scanned.where("range is not null")), "jaccard-tokens")
-    tables = Shared(spark, [bit_table(shared.where(F.col("n") >= x), "value", hashed=False) for x in LEVELS])
-    drop(scanned, shared)
-    found = stash(prefixes(docs, n, t, tables), "jaccard-prefixes")
-    tables.drop()
+    drop(scanned)
+    found = prefixes(docs, n, t, spread, shared)
+    drop(shared)
     own = found.join(member.where("doc = rep").select("doc").distinct(), "doc", "left_semi").distinct()
     own = stash(own, "jaccard-own")
     drop(found, classes)
@@ -244,9 +275,9 @@ def join(df: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5), id_col
     at = stash(own.join(often, "token"), "jaccard-open")
     drop(own, often)
     free_shuffles(spark)
-    wanted = Shared(spark, bit_table(at.select("doc").distinct(), "doc"))
-    sets = stash(sets_of(docs, n, wanted).join(at.select("doc").distinct(), "doc", "left_semi").dropDuplicates(["doc"]), "jaccard-sets")
-    wanted.drop()
+    wanted = stash(at.select("doc").distinct(), "jaccard-wanted")
+    sets = sets_of(docs, n, wanted)
+    drop(wanted)
 
     # 1. groups by a shared token, opened on themselves
     share = lambda size: F.greatest(F.lit(GROUPS[0]), F.least(F.lit(GROUPS[1]), 4 * F.sqrt(size)))

@@ -3,30 +3,36 @@
 What is removed: each byte covered by a string of ``length`` bytes that also starts earlier, in a smaller doc_id or
 earlier in the same document; overlaps count, and strings are judged on the input.
 
-Method. In prefix doubling a position's rank for 2k bytes comes from the pair of ranks (position, position + k), and
-positions of a unique rank are left away. A rank only has to say which strings are equal, so ranks of short strings are
-fingerprints that every task computes for itself by the same pairing; Spark sorts and groups the pairs (by hash), and
-the smallest position of a class is kept as its first. To keep the positions that Spark handles few, rounds go from
-sampled positions to single ones, at growing lengths:
+Method. In prefix doubling a position's rank for 2k bytes comes from the pair of ranks (position, position + k): Spark sorts the
+pairs, equal neighbours get one rank, and positions whose rank is unique are left away, until none is left or 2k is past
+the threshold. Over all positions each round would shuffle more than a row a byte. So positions are discarded in
+coarser units first, by the same sorting of pairs, and single positions are doubled at last:
 
-1. ``length / 4`` bytes. A window of ``length`` bytes is ranked by its anchor, the position in it whose quarter has the least
+1. ``length / 4`` bytes. A window of ``length`` bytes is known by its anchor, the position in it whose quarter has the least
    hash; windows with equal text have the same anchor at the same offset. Anchors whose quarter occurs once are
    discarded with all their windows (about 35 positions each).
-2. The runs of windows that share an anchor are ranked whole. A run that also occurs earlier is settled: all its
-   windows repeat. First runs of a class go on, if their quarter has another class.
-3. Runs are cut into pieces of ``PIECE`` windows; a piece is ranked by the pair of ranks of the bytes common to all its
-   windows, and whole. Pieces whose common bytes are unique are discarded, later copies of a whole piece are settled.
-4. ``length`` bytes. What is left goes on as single positions with the pair (rank of the first half, rank of the second):
-   a position that isn't its class's first is settled.
-
-Texts never move for this: each round scans them again and looks its positions up in a bit table of bounded size, which may
-let a few more through; these take part with their true ranks and change nothing. At the end settled runs meet their
-texts, whose bytes outside are kept. Ranks are pairs of 64-bit fingerprints. Hot classes are added up before they are
-shuffled; joins back to classes are plain ones that Spark splits. Long texts are scanned in segments.
-
-Defined results: a null text counts as empty; a text shorter than ``length`` loses nothing; a null id comes before all
-others; rows that share an id and text tie, so neither is earlier and both stay; rows that share an id but not the text have
-their runs united, cut to each text; an empty table gives an empty result; other columns are ignored.
+2. Runs of windows that share an anchor: the pairs (quarter's name, whole run's name) are sorted. A run that isn't the first of
+   its class is settled: all its windows repeat. Firsts go on, if their quarter has another class.
+3. Runs are cut into pieces of ``PIECE`` windows; the pairs (name of the bytes that all its windows hold, whole piece's name) are
+   sorted. Pieces whose common bytes are unique are discarded, later copies of a whole piece are settled.
+4. What is left goes on as single positions p with the names of the quarters at p, p + 25, p + 50 and p + 75. Pairs
+   of quarters are sorted and ranked, which gives the ranks of 50 bytes; positions with a unique one of the two go. Pairs of
+   these ranks are sorted, which gives those of ``length``: a position that isn't the first of its rank is settled.
+
+A name is a 64-bit fingerprint that every task computes for itself; a rank is a class's place in Spark's sort. Pairs are sorted over all
+partitions by (pair, position), so that a class of any size, a third of all rows as well, is cut over many tasks; a
+partition tells the driver its first and last class, no more, and classes that go on across a border are joined there. Two
+different strings get one pair of names with a probability of about 10^-18 for 10^10 positions.
+
+Texts move only at the end, where settled runs meet their texts, whose bytes outside are kept. Each round scans them
+again and looks its positions up in a bit table, which may let a few more through; these take part with their true
+ranks and change nothing. Beyond ``frequency.MAX_KEYS`` keys, positions are joined to their texts instead, so that the work stays
+in proportion to the input. Long texts are scanned in segments.
+
+Defined results: a null text counts as empty; a text shorter than ``length`` loses nothing; a null id comes after all
+others; rows that share an id but not the text come in the order of a 128-bit hash of their texts, each cut by its own
+runs alone; rows that share both tie, so neither is earlier and both stay; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,8 +44,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Shared, bounded_batches, cores, drop, free_shuffles, stash, table
-from .frequency import Packer, bit_table, mix, narrowed, repeated
+from . import frequency
+from .common import Shared, bounded_batches, cores, drop, free_shuffles, in_order, stash, stash_map, table
+from .frequency import Packer, Spread, bit_table, mix, repeated
+from .ranking import ranked, rerank
 
 PIECE = 8
 #: Window starts of a segment; their number must fit into the low bits of an anchor's key.
@@ -140,213 +148,216 @@ class Segment:
         return start, size, core, paired(self.ranks.of(start, size + self.length - 1), x << 10 | y)
 
     def singles(self, start: np.ndarray, size: np.ndarray):
-        """(position, rank of the first half, rank of the second) of every window of some pieces."""
+        """(position, side, first quarter, last quarter) of both halves of every window of some pieces. Halves and quarters overlap
+        where the length isn't a multiple of four."""
         at = np.repeat(start, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        half = self.length // 2
-        return at, self.ranks.of(at, half), self.ranks.of(at + half, self.length - half)
+        half = -(-self.length // 2)
+        quarter = -(-half // 2)
+        for side, x in enumerate((at, at + self.length - half)):
+            yield at, np.full(len(at), side), self.ranks.of(x, quarter), self.ranks.of(x + half - quarter, quarter)
 
 
-def segments(texts: Iterator[tuple[int | None, str | None]], length: int) -> Iterator[tuple[int | None, Segment]]:
-    """The segments of all texts that have a window; consecutive ones overlap by a window less a byte."""
-    for key, text in texts:
+def segments(texts: Iterator[tuple], length: int) -> Iterator[tuple[int, Segment, np.ndarray | None]]:
+    """(key, segment, wanted starts of windows, if the rows list them) of all texts that have a window; consecutive segments
+    overlap by a window less a byte."""
+    for key, text, *own in texts:
         data = (text or "").encode()
         for lo in range(0, len(data) - length + 1, SEGMENT):
-            yield key, Segment(data[lo : lo + SEGMENT + length - 1], lo, length)
+            yield key, Segment(data[lo : lo + SEGMENT + length - 1], lo, length), own[0] if own else None
 
 
 def rows_of(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[tuple]:
     for b in batches:
         for i in range(0, b.num_rows, rows):
             part = b.slice(i, rows)
-            yield from zip(part.column(0).to_pylist(), part.column(1).to_pylist())
+            lists = part.column(2) if part.num_columns > 2 else None
+            for k, (key, text) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist())):
+                yield (key, text) if lists is None else (key, text, np.asarray(lists[k].values))
 
 
-class Out:
-    """Gathers columns of numbers and gives record batches; the first column is a document id, which may be null."""
-
-    def __init__(self, names: list[str], most: int = 100_000) -> None:
-        self.names, self.most, self.parts, self.size = names, most, [], 0
-
-    def add(self, key, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if len(columns[0]):
-            self.parts.append((pa.array([key], pa.int64()).take(pa.array(np.zeros(len(columns[0]), np.int64))), *columns))
-            self.size += len(columns[0])
-        if self.size >= self.most:
-            yield from self.end()
-
-    def end(self) -> Iterator[pa.RecordBatch]:
-        if self.parts:
-            cols = list(zip(*self.parts))
-            rest = [np.concatenate([np.asarray(x) for x in c]) for c in cols[1:]]
-            yield pa.RecordBatch.from_arrays([pa.concat_arrays(cols[0]), *[pa.array(x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64)) for x in rest]], self.names)
-            self.parts, self.size = [], 0
-
-
-def scan(docs: DataFrame, length: int) -> DataFrame:
-    """Packed ranks of all anchors' quarters, and for each task the least and largest id and the longest text."""
-    ranges = 4 * cores(docs.sparkSession)
+def scan(docs: DataFrame, length: int, spread: Spread, name: str) -> DataFrame:
+    """Packed names of all anchors' quarters; stashed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer, ids, longest = Packer(ranges), [], 0
-        names = ["range", "packed", "least", "most", "longest"]
+        packer = Packer(spread)
 
         def out(used, data):
-            none = pa.nulls(len(used), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(data, pa.binary()), none, none, none], names)
-
-        def seen():
-            nonlocal ids, longest
-            for b in batches:
-                found = pc.min_max(b.column(0))
-                ids += [x for x in (found["min"].as_py(), found["max"].as_py()) if x is not None]
-                ids = [min(ids), max(ids)] if ids else []
-                longest = max(longest, pc.max(pc.binary_length(b.column(1))).as_py() or 0)
-                yield b
-
-        import pyarrow.compute as pc
+            return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(data, pa.binary())], ["range", "packed"])
 
-        for _, seg in segments(rows_of(seen()), length):
+        for _, seg, _ in segments(rows_of(batches), length):
             for x in packer.add(seg.quarter):
                 yield out(*x)
         yield out(*packer.flush())
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), pa.array([min(ids, default=None)], pa.int64()), pa.array([max(ids, default=None)], pa.int64()), pa.array([longest], pa.int64())], names)
 
-    return docs.mapInArrow(run, "range int, packed binary, least long, most long, longest long")
+    return stash_map(docs, run, "range int, packed binary", name)
 
 
 class Places:
-    """(doc, start) as one number in their order, which aggregations handle best; as a struct where numbers don't reach."""
+    """(doc, start) as one number in their order, which sorts best; as a struct where numbers don't reach."""
 
-    def __init__(self, scanned: DataFrame) -> None:
-        r = scanned.where("range is null").agg(F.min("least"), F.max("most"), F.max("longest")).first()
-        self.least, self.bits = r[0] or 0, max(1, (r[2] or 0).bit_length())
-        self.fits = ((r[1] or 0) - self.least + 2).bit_length() + self.bits < 63
+    def __init__(self, docs: DataFrame) -> None:
+        r = docs.agg(F.min("doc"), F.max("doc"), F.max(F.octet_length("text")), F.sum(F.octet_length("text"))).first()
+        self.least, self.bits, self.bytes = r[0] or 0, max(1, (r[2] or 0).bit_length()), r[3] or 0
+        self.fits = ((r[1] or 0) - self.least + 1).bit_length() + self.bits < 63
 
     def of(self, rows: DataFrame) -> DataFrame:
-        """rows with ``at`` instead of doc and start; null ids come first."""
-        at = F.struct("doc", "start")
-        if self.fits:
-            at = F.shiftleft(F.coalesce(F.col("doc") - self.least + 1, F.lit(0).cast("long")), self.bits).bitwiseOR(F.col("start"))
-        return rows.select(at.alias("at"), *[c for c in rows.columns if c not in ("doc", "start")])
+        """rows with ``at`` instead of doc and start, if they haven't it yet."""
+        return rows if self.fits else rows.select(F.struct("doc", "start").alias("at"), *[c for c in rows.columns if c not in ("doc", "start")])
 
     def split(self, rows: DataFrame) -> DataFrame:
         """The way back."""
         doc, start = F.col("at.doc"), F.col("at.start")
         if self.fits:
-            rank = F.shiftright("at", self.bits)
-            doc, start = F.when(rank > 0, rank - 1 + self.least), F.col("at").bitwiseAND((1 << self.bits) - 1)
+            doc, start = F.shiftright("at", self.bits) + self.least, F.col("at").bitwiseAND((1 << self.bits) - 1)
         return rows.select(doc.alias("doc"), start.alias("start"), *[c for c in rows.columns if c != "at"])
 
+    def schema(self, *rest: str) -> str:
+        return ", ".join(f"{c} long" for c in [*(["at"] if self.fits else ["doc", "start"]), *rest])
 
-def place(key: int | None, at: np.ndarray) -> np.ndarray:
-    """What bit tables know positions by."""
-    return mix(np.full(len(at), -1 if key is None else key, np.int64), at)
+    def numbers(self, key: int, start: np.ndarray) -> list[np.ndarray]:
+        """The columns of places in Python."""
+        return [(key - self.least << self.bits) + start] if self.fits else [np.full(len(start), key, np.int64), start]
 
 
-RUNS = "doc long, start long, size long, major long, minor long"
-
+class Out:
+    """Gathers places and columns of numbers, and gives record batches."""
 
-def runs(docs: DataFrame, length: int, sent: Shared) -> DataFrame:
-    """Round 2: (doc, start, size, rank of the quarter, rank of the whole run) of anchors that may not be unique, as the bit
-    table sent says."""
+    def __init__(self, places: Places, *names: str, most: int = 100_000) -> None:
+        self.places, self.names, self.most, self.parts, self.size = places, [x.split()[0] for x in places.schema(*names).split(", ")], most, [], 0
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, table_ = Out(["doc", "start", "size", "major", "minor"]), sent.value
-        for key, seg in segments(rows_of(batches), length):
-            pick = np.flatnonzero(table_.has(narrowed(seg.quarter)))
-            yield from out.add(key, seg.offset + seg.start[pick], seg.size[pick], seg.quarter[pick], seg.whole(pick))
-        yield from out.end()
+    def add(self, key: int, start: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(start):
+            self.parts.append((*self.places.numbers(key, start), *columns))
+            self.size += len(start)
+        if self.size >= self.most:
+            yield from self.end()
 
-    return docs.mapInArrow(run, RUNS)
+    def end(self) -> Iterator[pa.RecordBatch]:
+        if self.parts:
+            cols = [np.concatenate(c) for c in zip(*self.parts)]
+            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64)) for x in cols], self.names)
+            self.parts, self.size = [], 0
 
 
-def texts_with(batches: Iterator[pa.RecordBatch], docs) -> Iterator[tuple]:
-    """The rows whose document a bit table may hold."""
-    for b in batches:
-        keys = np.asarray(b.column(0).fill_null(-1)).astype(np.int64)
-        yield from rows_of([b.filter(pa.array(docs.has(mix(keys))))])
+def place(key: int, at: np.ndarray) -> np.ndarray:
+    """What bit tables know positions by."""
+    return mix(np.full(len(at), key, np.int64), at)
 
 
-def pieces(docs: DataFrame, length: int, sent: Shared) -> DataFrame:
-    """Round 3: (doc, start, size, rank of the common bytes, rank of the whole piece). sent: bit tables of documents and runs."""
+def runs(docs: DataFrame, length: int, spread: Spread, quarters: DataFrame, places: Places) -> DataFrame:
+    """Round 2: (place, size, quarter's name, whole run's name) of anchors that may not be unique; stashed."""
+    many = quarters.count() > frequency.MAX_KEYS
+    sent = Shared(docs.sparkSession, None if many else bit_table(quarters, "value", hashed=False))
+    columns = ("size", "major", "minor")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, tables = Out(["doc", "start", "size", "major", "minor"]), sent.value
-        for key, seg in segments(texts_with(batches, tables[0]), length):
-            pick = np.flatnonzero(tables[1].has(place(key, seg.offset + seg.start)))
-            if len(pick):
-                start, size, core, whole = seg.pieces(pick)
-                yield from out.add(key, seg.offset + start, size, core, whole)
+        out, known = Out(places, *columns), sent.value
+        for key, seg, _ in segments(rows_of(batches), length):
+            pick = np.arange(len(seg.start)) if known is None else np.flatnonzero(known.has(spread.narrowed(seg.quarter)))
+            yield from out.add(key, seg.offset + seg.start[pick], seg.size[pick], seg.quarter[pick], seg.whole(pick))
         yield from out.end()
 
-    return docs.mapInArrow(run, RUNS)
+    if many:
+        rows = docs.mapInArrow(run, places.schema(*columns))
+        rows = stash(rows.join(quarters, F.shiftrightunsigned("major", 64 - spread.bits) == F.col("value"), "left_semi"), "suffix-runs")
+    else:
+        rows = stash_map(docs, run, places.schema(*columns), "suffix-runs")
+    sent.drop()
+    return rows
+
+
+class Picked:
+    """Documents with the places that a round goes on with: in bit tables, or listed beside the texts where those are too many."""
+
+    def __init__(self, docs: DataFrame, places: Places, *left: DataFrame) -> None:
+        rows = [places.split(x).select("doc", "start") for x in left]
+        self.listed = any(x.count() > frequency.MAX_KEYS for x in left)
+        if self.listed:
+            lists = rows[-1].groupBy("doc").agg(F.array_sort(F.collect_list("start")).alias("starts"))
+            self.docs, tables = docs.join(lists, "doc").select("doc", "text", "starts"), None
+        else:
+            self.docs, tables = docs, (bit_table(rows[0].select("doc").distinct(), "doc"), *[bit_table(x, "doc", "start") for x in rows])
+        self.sent = Shared(docs.sparkSession, tables)
+
+    def map(self, run, length: int, places: Places, columns: tuple[str, ...], name: str) -> DataFrame:
+        """run(key, segment, has, out) over each segment with such places; has(starts, nth) tells the nth round's from others; stashed."""
+        sent = self.sent
+
+        def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tables, out = sent.value, Out(places, *columns)
+
+            def texts():
+                for b in batches:
+                    if tables is not None:
+                        b = b.filter(pa.array(tables[0].has(mix(np.asarray(b.column(0)).astype(np.int64)))))
+                    yield from rows_of([b])
+
+            for key, seg, own in segments(texts(), length):
+                # lists hold the last round's places; those of rounds before follow from them
+                has = (lambda x, nth, key=key: tables[nth].has(place(key, x))) if own is None else (lambda x, nth, own=own: np.isin(x, own))
+                yield from run(key, seg, has, out)
+            yield from out.end()
+
+        done = stash_map(self.docs, go, places.schema(*columns), name)
+        sent.drop()
+        return done
 
 
-def singles(docs: DataFrame, length: int, sent: Shared) -> DataFrame:
-    """Round 4: (doc, start, 1, rank of the first half, rank of the second) of single positions. sent: bit tables of documents,
-    runs and pieces."""
+def pieces(picked: Picked, length: int, places: Places) -> DataFrame:
+    """Round 3: (place, size, name of the common bytes, whole piece's name)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, tables = Out(["doc", "start", "size", "major", "minor"]), sent.value
-        for key, seg in segments(texts_with(batches, tables[0]), length):
-            pick = np.flatnonzero(tables[1].has(place(key, seg.offset + seg.start)))
-            if len(pick):
-                start, size, _, _ = seg.pieces(pick)
-                keep = tables[2].has(place(key, seg.offset + start))
-                if keep.any():
-                    at, one, two = seg.singles(start[keep], size[keep])
-                    yield from out.add(key, seg.offset + at, np.ones(len(at), np.int64), one, two)
-        yield from out.end()
+    def run(key, seg, has, out):
+        pick = np.flatnonzero(has(seg.offset + seg.start, 1))
+        if len(pick):
+            start, size, core, whole = seg.pieces(pick)
+            yield from out.add(key, seg.offset + start, size, core, whole)
 
-    return docs.mapInArrow(run, RUNS)
+    return picked.map(run, length, places, ("size", "major", "minor"), "suffix-pieces")
 
 
-def rerank(ranked: DataFrame, name: str, more: bool = True) -> tuple[DataFrame, DataFrame | None]:
-    """(settled, left): rows that aren't the first of their class, and the firsts of classes that share their major rank
-    with another class. ranked (at, size, major, minor) is stashed; so are both results."""
-    classes = stash(ranked.groupBy("major", "minor").agg(F.min("at").alias("first"), F.count("*").alias("n")), f"{name}-classes")
-    later = ranked.join(classes.where("n > 1").select("major", "minor", "first"), ["major", "minor"])
-    settled = stash(later.where(~F.col("at").eqNullSafe(F.col("first"))).select("at", "size"), f"{name}-settled")
-    left = None
-    if more:
-        several = stash(classes.groupBy("major").agg(F.count("*").alias("n")).where("n > 1").select("major"), f"{name}-several")
-        left = stash(classes.select("major", F.col("first").alias("at")).join(several, "major", "left_semi").select("at"), f"{name}-left")
-        drop(several)
-    drop(classes)
-    free_shuffles(ranked.sparkSession)
-    return settled, left
+def singles(picked: Picked, length: int, places: Places) -> DataFrame:
+    """Round 4: (place, side, names of two quarters) of both halves of single positions."""
+    listed = picked.listed
 
+    def run(key, seg, has, out):
+        pick = np.arange(len(seg.start)) if listed else np.flatnonzero(has(seg.offset + seg.start, 1))
+        if len(pick):
+            start, size, _, _ = seg.pieces(pick)
+            keep = has(seg.offset + start, 2)
+            if keep.any():
+                for at, *rest in seg.singles(start[keep], size[keep]):
+                    yield from out.add(key, seg.offset + at, *rest)
 
-def covered(docs: DataFrame, length: int = 100) -> DataFrame:
-    """(doc, start, size): runs of windows that occur earlier as well."""
-    packed = stash(scan(docs, length), "suffix-scan")
-    places = Places(packed)
-    quarters = stash(repeated(packed.where("range is not null")), "suffix-quarters")
-    table_ = bit_table(quarters, "value", hashed=False)
-    drop(packed, quarters)
-
-    def keys(left: DataFrame) -> DataFrame:
-        return places.split(left).select(F.coalesce("doc", F.lit(-1)).alias("doc"), "start")
-
-    def ranked(rows, tables, name: str) -> DataFrame:
-        sent = Shared(docs.sparkSession, tables)
-        out = stash(places.of(rows(docs, length, sent)), name)
-        sent.drop()
-        return out
+    return picked.map(run, length, places, ("side", "major", "minor"), "suffix-singles")
 
-    rows = ranked(runs, table_, "suffix-runs")
-    one, left = rerank(rows, "suffix-runs")
-    drop(rows)
-    in_docs, in_runs = bit_table(keys(left).select("doc").distinct(), "doc"), bit_table(keys(left), "doc", "start")
-    drop(left)
-    rows = ranked(pieces, (in_docs, in_runs), "suffix-pieces")
-    two, left = rerank(rows, "suffix-pieces")
+
+def covered(docs: DataFrame, length: int = 100) -> DataFrame:
+    """(doc, start, size): runs of windows that occur earlier as well. docs: (doc, text), a row for each doc, none null."""
+    places = Places(docs)
+    spread = Spread.of(places.bytes // 30, cores(docs.sparkSession))
+    packed = scan(docs, length, spread, "suffix-scan")
+    quarters = stash(repeated(packed), "suffix-quarters")
+    drop(packed)
+
+    rows = runs(docs, length, spread, quarters, places)
+    one, in_runs = rerank(places.of(rows), "suffix-runs")
+    drop(quarters, rows)
+    rows = pieces(Picked(docs, places, in_runs), length, places)
+    two, in_pieces = rerank(places.of(rows), "suffix-pieces")
     drop(rows)
-    in_pieces = bit_table(keys(left), "doc", "start")
-    drop(left)
-    rows = ranked(singles, (in_docs, in_runs, in_pieces), "suffix-singles")
-    three, _ = rerank(rows, "suffix-singles", more=False)
+    rows = singles(Picked(docs, places, in_runs, in_pieces), length, places)
+    drop(in_runs, in_pieces)
+
+    # doubling: ranks of halves from pairs of quarters, then those of whole windows from pairs of halves
+    halves = ranked(places.of(rows), "suffix-halves")
     drop(rows)
+    rank = lambda side: F.max(F.when(F.col("side") == side, F.col("rank")))
+    pairs = halves.groupBy("at").agg(rank(0).alias("major"), rank(1).alias("minor")).where("major is not null and minor is not null")
+    pairs = stash(pairs.select("at", F.lit(1).cast("long").alias("size"), "major", "minor"), "suffix-pairs")
+    drop(halves)
+    three, left = rerank(pairs, "suffix-windows")
+    drop(pairs, left)
+    free_shuffles(docs.sparkSession)
     return places.split(one.union(two).union(three))
 
 
@@ -357,9 +368,11 @@ def dedup(df: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: st
         raise ValueError("length must be from 16 to 900 bytes")
     extra = [(c, k) for c, k in df.dtypes if c in carry]
     carried = [F.col(f"`{c}`").alias(f"carried{i}") for i, (c, _) in enumerate(extra)]
-    docs = bounded_batches(df).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"), *carried)
-    by_doc = stash(covered(docs.select("doc", "text"), length).groupBy("doc").agg(F.collect_list(F.struct("start", (F.col("start") + F.col("size") + length - 1).alias("end"))).alias("runs")), "suffix-by-doc")
-    met = docs.join(by_doc.select(F.col("doc").alias("d"), "runs"), F.col("doc").eqNullSafe(F.col("d")), "left").select("doc", "text", "runs", *[f"carried{i}" for i in range(len(extra))])
+    docs, unique = in_order(bounded_batches(df).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *carried))
+    docs = docs.withColumnRenamed("key", "doc")
+    texts = docs.select("doc", "text")
+    by_doc = stash(covered(texts if unique else stash(texts.dropDuplicates(["doc"]), "suffix-texts"), length).groupBy("doc").agg(F.collect_list(F.struct("start", (F.col("start") + F.col("size") + length - 1).alias("end"))).alias("runs")), "suffix-by-doc")
+    met = docs.join(by_doc, "doc", "left").select("doc_id", "text", "runs", *[f"carried{i}" for i in range(len(extra))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))

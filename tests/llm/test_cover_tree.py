@@ -65,6 +65,27 @@ def test_a_crowd_of_near_copies(spark, monkeypatch):
     assert found(spark, rows) == brute(rows, 0.98)
 
 
+@pytest.mark.parametrize("dim", [2, 6])
+def test_levels_of_tables(spark, monkeypatch, dim):
+    for name, value in (("BLOCK", 12), ("LEAF", 4), ("FANOUT", 3), ("LOT", 20), ("PARTNERS", 2)):
+        monkeypatch.setattr(V, name, value)
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(9, dim))
+    # tight crowds are taken whole on several levels; equal vectors and lone ones beside them
+    rows = [(i, [float(np.float32(x)) for x in base[i % 9] + rng.normal(size=dim) * [0.0005, 0.001, 0.2][i % 3]], i % 2) for i in range(330)]
+    rows += [(1000 + i, rows[i % 5][1], rows[i % 5][2]) for i in range(20)]
+    assert found(spark, rows) == brute(rows, 0.98)
+
+
+def test_constant_and_very_long_vectors(spark):
+    rng = np.random.default_rng(6)
+    long = rng.normal(size=6000)
+    rows = [(1, [1.0] * 3, 1), (2, [2.0] * 3, 1), (3, [-1.0] * 3, 1), (4, [1.0, 1.0, 3.0], 1), (5, long.tolist(), 1), (6, (long * 2).tolist(), 1), (7, [0.0] * 3, 1)]
+    rows = [(i, [float(np.float32(x)) for x in v], s) for i, v, s in rows]
+    got = found(spark, rows)
+    assert got == brute(rows, 0.98) and [g[1] for g in got] == [1, 1, 0, 0, 1, 1, 0]
+
+
 def points(n, dim, seed=0, noise=0.05):
     rng = np.random.default_rng(seed)
     x = rng.normal(size=(8, dim))[rng.integers(8, size=n)] + rng.normal(size=(n, dim)) * noise

@@ -1,23 +1,27 @@
 import random
 
 import pytest
+import xxhash
 
+from helixframe.llm import ranking
 from helixframe.llm import suffix_dedup as D
 
 
 def brute(rows, length):
-    """(id, bytes, spans) with every string's first place in a table."""
-    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is not None, rows[i][0] or 0))
+    """(id, bytes, spans) with every string's first place in a table. Null ids come last, texts of one id by their hash."""
+    hashed = {t: (xxhash.xxh64(t.encode(), seed=42).intdigest() if t is not None else 42) for _, t in rows}
+    signed = lambda x: x - (1 << 64) if x >= 1 << 63 else x
+    of = lambda i, t: (i is None, i or 0, signed(hashed[t]))
     first, out = {}, []
-    for i in order:
-        data = (rows[i][1] or "").encode()
+    for doc_id, text in rows:
+        data = (text or "").encode()
         for p in range(len(data) - length + 1):
-            key, at = data[p : p + length], ((rows[i][0] is not None, rows[i][0] or 0), p)
+            key, at = data[p : p + length], (of(doc_id, text), p)
             first[key] = min(first.get(key, at), at)
     for doc_id, text in rows:
         data, hit = (text or "").encode(), set()
         for p in range(len(data) - length + 1):
-            if first[data[p : p + length]] < ((doc_id is not None, doc_id or 0), p):
+            if first[data[p : p + length]] < (of(doc_id, text), p):
                 hit |= set(range(p, p + length))
         spans = []
         for b in sorted(hit):
@@ -80,6 +84,31 @@ def test_crowded_bit_tables_change_nothing(docs, monkeypatch):
     assert found(docs(rows), 24) == brute(rows, 24)
 
 
+def test_more_places_than_bit_tables_hold(docs, monkeypatch):
+    monkeypatch.setattr(D.frequency, "MAX_KEYS", 0)
+    rows = corpus(7, 40)
+    assert found(docs(rows), 40) == brute(rows, 40)
+
+
+@pytest.mark.parametrize("rows_a_part", [40, 700])
+def test_classes_that_go_over_many_partitions(docs, monkeypatch, rows_a_part):
+    monkeypatch.setattr(ranking, "ROWS", rows_a_part)
+    rng = random.Random(8)
+    one, two = text(rng, 300), text(rng, 90)
+    rows = [(i, text(rng, 20) + one + two * (i % 3) + text(rng, 9)) for i in range(60)] + [(100 + i, one[:150] + str(i) + one[150:]) for i in range(40)]
+    assert found(docs(rows), 48) == brute(rows, 48)
+
+
+def test_rows_of_one_id_are_cut_apart(docs):
+    rng = random.Random(9)
+    p, other = text(rng, 239), text(rng, 400)
+    rows = [(1, p), (5, p + "Q"), (5, other)]
+    got = found(docs(rows), 100)
+    assert got == brute(rows, 100) and bytes(other, "utf-8") in [g[3] for g in got]
+    rows += [(None, other), (None, p), (5, other), (7, other + p), (None, None), (3, text(rng, 150)), (3, p[:120] + other[:200])]
+    assert found(docs(rows), 100) == brute(rows, 100)
+
+
 def test_ids_too_far_apart_for_one_number(docs):
     rows = [(i * (1 << 55) if i % 2 else -i, t) for i, (_, t) in enumerate(corpus(6, 24))][:60]
     assert len({i for i, _ in rows}) == 60 and found(docs(rows), 24) == brute(rows, 24)
