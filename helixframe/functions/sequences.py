@@ -91,6 +91,21 @@ def kmers(sequence: Column, k: int, ignore_n: bool = True, canonical: bool = Fal
     return F.transform(found, canonical_form) if canonical else found
 
 
+def counted(found: Column) -> Column:
+    """(kmer, pos) structs of an array of k-mers, sorted, so that equal ones stand together in their order."""
+    return F.sort_array(F.transform(found, lambda x, i: F.struct(x.alias("kmer"), i.alias("pos"))))
+
+
+def run_starts(placed: Column) -> Column:
+    """Where the runs of equal k-mers begin in counted()."""
+    return F.filter(F.sequence(F.lit(0), F.greatest(F.size(placed) - 1, F.lit(0))), lambda i: (i < F.size(placed)) & ((i == 0) | (placed[i]["kmer"] != placed[F.greatest(i - 1, F.lit(0))]["kmer"])))
+
+
+def run_counts(placed: Column, starts: Column) -> Column:
+    """(kmer, count, first_pos) of each run."""
+    return F.transform(starts, lambda i, j: F.struct(placed[i]["kmer"].alias("kmer"), (F.coalesce(F.get(starts, j + 1), F.size(placed)) - i).cast("long").alias("count"), placed[i]["pos"].alias("first_pos")))
+
+
 def canonical_form(kmer: Column) -> Column:
     """The lesser of a k-mer and its reverse complement."""
     return F.least(kmer, F.reverse(F.translate(kmer, COMPLEMENT_FROM, COMPLEMENT_TO)))

@@ -93,17 +93,26 @@ def annotate(records: DataFrame, min_len: int = config.Filter.min_len, max_n_fra
     if not dedupe and max_per_organism <= 0:
         return judged.select("*", F.lit("").alias("duplicate_of")).withColumn("reason", F.coalesce("reason", F.lit("ok"))).withColumn("kept", F.col("reason") == "ok")
     name = F.coalesce("accession", "record_id")
-    slim = stash(judged.where("reason is null").select("idx", S.digest(F.col("sequence")).alias("digest"), "organism", name.alias("name")), "filter-slim")
+    # the rules are worked out once; both what decides about copies and the result read them from here
+    judged = stash(judged.withColumn("__digest", F.when(F.col("reason").isNull(), S.digest(F.col("sequence")))), "filter-judged")
+    passing = judged.where("reason is null")
+    if max_per_organism <= 0:
+        first = passing.groupBy(F.col("__digest").alias("d")).agg(F.min("idx").alias("keeper"), F.min_by(name, "idx").alias("keeper_name"))
+        met = judged.join(first, F.col("__digest") == F.col("d"), "left")
+        copy = F.col("keeper") < F.col("idx")
+        out = met.select(*[c for c in judged.columns if c not in ("reason", "__digest")], F.coalesce("reason", F.when(copy, "duplicate").otherwise("ok")).alias("reason"), F.when(copy, F.col("keeper_name")).otherwise(F.lit("")).alias("duplicate_of"))
+        return out.withColumn("kept", F.col("reason") == "ok")
+    slim = passing.select("idx", F.col("__digest").alias("digest"), "organism", name.alias("name"))
     kept = stash(keepers(slim, dedupe, max_per_organism), "filter-kept")
     flags = slim.join(kept.withColumn("stays", F.lit(True)), "idx", "left")
     if dedupe:
-        by = stash(flags.where("stays").select("digest", F.col("idx").alias("keeper"), F.col("name").alias("keeper_name")), "filter-keepers")
+        by = flags.where("stays").select("digest", F.col("idx").alias("keeper"), F.col("name").alias("keeper_name"))
         flags = flags.join(by, "digest", "left")
         decided = F.when(F.col("stays"), "ok").when(F.col("keeper") < F.col("idx"), "duplicate").otherwise("max_per_organism")
         flags = flags.select("idx", decided.alias("decided"), F.when(decided == "duplicate", F.col("keeper_name")).otherwise(F.lit("")).alias("duplicate_of"))
     else:
         flags = flags.select("idx", F.when(F.col("stays"), "ok").otherwise("max_per_organism").alias("decided"), F.lit("").alias("duplicate_of"))
-    out = judged.join(flags, "idx", "left").withColumns({"reason": F.coalesce("reason", "decided"), "duplicate_of": F.coalesce("duplicate_of", F.lit(""))}).drop("decided")
+    out = judged.drop("__digest").join(flags, "idx", "left").withColumns({"reason": F.coalesce("reason", "decided"), "duplicate_of": F.coalesce("duplicate_of", F.lit(""))}).drop("decided")
     return out.withColumn("kept", F.col("reason") == "ok")
 
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import config
 from ..functions import sequences as S
+from ..scratch import stash
 
 
 def sequences_of(fasta: DataFrame) -> DataFrame:
@@ -21,46 +22,64 @@ def explode_kmers(records: DataFrame, k: int, ignore_n: bool = True, canonical:
     return records.select("idx", F.posexplode(S.kmers(F.col("sequence"), k, ignore_n, fold)).alias("pos", "kmer"))
 
 
+def _counts(records: DataFrame, k: int, ignore_n: bool = True, canonical: bool = False, alphabet: str = "AUTO") -> DataFrame:
+    """records with ``c``, the (kmer, count, first_pos) of their distinct k-mers, and how many k-mers there are in all. Counted
+    within the row: a record's k-mers need none of another's, so nothing is shuffled."""
+    config.check_k(k)
+    fold = config.canonical_applies(canonical, config.check_alphabet(alphabet))
+    # a step each: what several lambdas read has to be a column of its own
+    placed = records.withColumn("__placed", S.counted(S.kmers(F.coalesce("sequence", F.lit("")), k, ignore_n, fold)))
+    starts = placed.withColumn("__starts", S.run_starts(F.col("__placed")))
+    return starts.select(*records.columns, S.run_counts(F.col("__placed"), F.col("__starts")).alias("c"), F.size("__placed").cast("long").alias("total"))
+
+
 def per_record(records: DataFrame, k: int, **how) -> DataFrame:
-    """(idx, kmer, count, first_pos). Counting within a record needs no row of another: k-mers are added up by (idx, kmer)
-    on the map side first."""
-    return explode_kmers(records, k, **how).groupBy("idx", "kmer").agg(F.count("*").alias("count"), F.min("pos").alias("first_pos"))
+    """(idx, kmer, count, first_pos)"""
+    return _counts(records, k, **how).select("idx", F.explode("c").alias("c")).select("idx", "c.*")
 
 
-def global_counts(counts: DataFrame) -> DataFrame:
-    """(kmer, count, n_records, first): over per_record(); first is where the k-mer first appears."""
-    return counts.groupBy("kmer").agg(F.sum("count").alias("count"), F.count("*").alias("n_records"), F.min(F.struct("idx", "first_pos")).alias("first"))
+def global_counts(records: DataFrame, k: int, **how) -> DataFrame:
+    """(kmer, count, n_records, first): first is where the k-mer first appears. A row without a k-mer stands for all records: its
+    n_records is their number, those without k-mers included. K-mers become rows once and are added up before the one shuffle."""
+    none = F.array(F.struct(F.lit(None).cast("string").alias("kmer"), F.lit(0).cast("long").alias("count"), F.lit(0).alias("first_pos")))
+    rows = _counts(records, k, **how).select("idx", F.explode(F.concat("c", none)).alias("c")).select("idx", "c.*")
+    # numbers alone, which Spark adds up in place; a struct to be the least of would have all rows sorted
+    added = rows.groupBy("kmer").agg(F.sum("count").alias("count"), F.count("*").alias("n_records"), F.min("idx").alias("i"), F.min_by("first_pos", "idx").alias("p"))
+    return added.select("kmer", "count", "n_records", F.struct(F.col("i").alias("idx"), F.col("p").alias("first_pos")).alias("first"))
 
 
-def totals(records: DataFrame, counts: DataFrame) -> DataFrame:
-    """One row: total_records (all, also those without k-mers) and total_kmers."""
-    return records.agg(F.count("*").alias("total_records")).crossJoin(counts.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("total_kmers")))
+def totals(counts: DataFrame) -> DataFrame:
+    """One row of global_counts(): total_records (all, also those without k-mers) and total_kmers."""
+    return counts.agg(F.coalesce(F.max(F.when(F.col("kmer").isNull(), F.col("n_records"))), F.lit(0)).alias("total_records"), F.coalesce(F.sum("count"), F.lit(0)).alias("total_kmers"))
 
 
 def motifs(records: DataFrame, k: int = config.Motifs.k, top: int = config.Motifs.top, min_count: int = config.Motifs.min_count, **how) -> DataFrame:
     """(kmer, count, freq, n_records, idf_like, first): the most frequent k-mers; ties go to the first to appear; top <= 0 keeps all.
 
     Frequencies refer to all k-mers, those below min_count and out of the top included."""
-    counts = per_record(records, k, **how)
-    ranked = global_counts(counts).where(F.col("count") >= min_count)
+    counts = stash(global_counts(records, k, **how), "kmer-counts")
+    ranked = counts.where(F.col("kmer").isNotNull() & (F.col("count") >= min_count))
     order = (F.desc("count"), F.asc("first"))
     ranked = ranked.orderBy(*order).limit(top) if top > 0 else ranked
-    out = ranked.crossJoin(F.broadcast(totals(records, counts)))  # one row
+    out = ranked.crossJoin(F.broadcast(totals(counts)))  # one row
     return out.select("kmer", "count", S.tf(F.col("count"), F.col("total_kmers")).alias("freq"), "n_records", S.idf(F.col("total_records"), F.col("n_records")).alias("idf_like"), "first").orderBy(*order)
 
 
 def motifs_by_record(records: DataFrame, wanted: DataFrame, k: int = config.Motifs.k, **how) -> DataFrame:
     """(idx, record_id, kmer, count, freq_in_record, first_pos) of the wanted k-mers; shares are of all the record's k-mers."""
-    counts = per_record(records, k, **how)
-    share = counts.withColumn("total", F.sum("count").over(Window.partitionBy("idx")))
-    kept = share.join(wanted.select("kmer"), "kmer", "left_semi")
-    return kept.join(records.select("idx", "record_id"), "idx").select("idx", "record_id", "kmer", "count", S.tf(F.col("count"), F.col("total")).alias("freq_in_record"), "first_pos")
+    rows = _counts(records, k, **how).select("idx", "record_id", "total", F.explode("c").alias("c")).select("idx", "record_id", "total", "c.*")
+    kept = rows.join(wanted.select("kmer"), "kmer", "left_semi")
+    return kept.select("idx", "record_id", "kmer", "count", S.tf(F.col("count"), F.col("total")).alias("freq_in_record"), "first_pos")
 
 
 def summary(records: DataFrame, k: int, top: int, min_count: int, **how) -> DataFrame:
     """One row: total_records, total_kmers, unique_kmers, unique_after_filters."""
-    counts = per_record(records, k, **how)
-    every = global_counts(counts)
-    n = every.agg(F.count("*").alias("unique_kmers"), F.count_if(F.col("count") >= min_count).alias("frequent"))
+    counts = global_counts(records, k, **how)
+    # all of it is one aggregation over the k-mers' counts
+    real = F.col("kmer").isNotNull()
+    one = counts.agg(
+        F.coalesce(F.max(F.when(~real, F.col("n_records"))), F.lit(0)).alias("total_records"), F.coalesce(F.sum("count"), F.lit(0)).alias("total_kmers"),
+        F.count_if(real).alias("unique_kmers"), F.count_if(real & (F.col("count") >= min_count)).alias("frequent"),
+    )
     kept = F.least("frequent", F.lit(top).cast("long")) if top > 0 else F.col("frequent")
-    return totals(records, counts).crossJoin(n).select("total_records", "total_kmers", "unique_kmers", kept.alias("unique_after_filters"))
+    return one.select("total_records", "total_kmers", "unique_kmers", kept.alias("unique_after_filters"))

@@ -1,6 +1,6 @@
-"""Writers. A stage's table becomes one file where users expect one: Spark writes it to the shared folder as a single sorted
-part, which the driver then copies into place through Hadoop's file systems. Use the DataFrames themselves, or their
-Parquet, for tables too large for that. Paths without a scheme are local; on a cluster, give URIs that all machines reach."""
+"""Writers. A stage's table becomes one file where users expect one: Spark sorts and writes it to the shared folder in parts, by
+many tasks, and the driver joins the parts in their order into one file through Hadoop's file systems, a buffer at a time.
+Paths without a scheme are local; on a cluster, give URIs that all machines reach."""
 
 from __future__ import annotations
 
@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .functions.exact import fixed
-from .scratch import new_folder
+from .scratch import delete, file_system, new_folder
 
 
 def uri(path: str | Path) -> str:
@@ -33,24 +33,30 @@ def fasta_text(header: Column, sequence: Column, width: int = 80) -> Column:
     return F.when(F.length(sequence) > 0, F.concat(F.lit(">"), header, F.lit("\n"), body)).otherwise(F.concat(F.lit(">"), header))
 
 
-def _one_file(lines: DataFrame, path: str | Path, *order: str) -> str | Path:
-    """lines.value, sorted, as one text file. Its rows don't pass through the driver's memory."""
+def _one_file(lines: DataFrame, path: str | Path, *order: Column | str, head: str = "") -> str | Path:
+    """lines.value, sorted, as one text file after a head. Ranges of the order are sorted and written by a task each; rows don't
+    pass through the driver's memory."""
     spark = lines.sparkSession
     parts = new_folder(spark, "sink")
-    sorted_ = lines.repartition(1).sortWithinPartitions(*order) if order else lines.coalesce(1)
+    sorted_ = lines.repartitionByRange(*order).sortWithinPartitions(*order) if order else lines
     sorted_.select("value").write.text(parts)
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
     source, target = at(parts).getFileSystem(conf), at(uri(path)).getFileSystem(conf)
     target.mkdirs(at(uri(path)).getParent())
-    found = source.globStatus(at(f"{parts}/part-*"))
-    if len(found):
-        jvm.org.apache.hadoop.fs.FileUtil.copy(source, found[0].getPath(), target, at(uri(path)), False, True, conf)
-    else:
-        target.create(at(uri(path)), True).close()
-    source.delete(at(parts), True)
-    name = at(uri(path))
-    target.delete(jvm.org.apache.hadoop.fs.Path(name.getParent(), f".{name.getName()}.crc"), False)  # local copies leave one
+    found = [x.getPath() for x in source.globStatus(at(f"{parts}/part-*"))]
+    target.setWriteChecksum(False)  # a local file has one of checksums beside it otherwise
+    out = target.create(at(uri(path)), True)
+    target.setWriteChecksum(True)
+    try:
+        out.write(bytearray(head.encode()))
+        for part in sorted(found, key=lambda p: int(p.getName().split("-")[1])):
+            into = source.open(part)
+            jvm.org.apache.hadoop.io.IOUtils.copyBytes(into, out, 1 << 16, False)
+            into.close()
+    finally:
+        out.close()
+    delete(spark, parts)
     return path
 
 
@@ -80,17 +86,14 @@ def write_csv(rows: DataFrame, path: str | Path, columns: Sequence[str], digits:
     by = [F.col(o) if isinstance(o, str) else o for o in order]
     keys = [f"__o{i}" for i in range(len(by))]
     ready = rows.select(*[fixed(F.col(c), digits[c]).alias(c) if c in digits else F.col(c) for c in columns], *[o.alias(k) for o, k in zip(by, keys)])
-    body = ready.select(F.lit(1).alias("__body"), *keys, F.concat(F.concat_ws(",", *[_cell(F.col(c)) for c in columns]), F.lit("\r")).alias("value"))
-    head = rows.sparkSession.range(1).select(F.lit(0).alias("__body"), F.lit(",".join(columns) + "\r").alias("value"))
-    return _one_file(body.unionByName(head, allowMissingColumns=True), path, "__body", *keys)
+    body = ready.select(*keys, F.concat(F.concat_ws(",", *[_cell(F.col(c)) for c in columns]), F.lit("\r")).alias("value"))
+    return _one_file(body, path, *keys, head=",".join(columns) + "\r\n")
 
 
 def write_text(path: str | Path, text: str) -> str | Path:
     """A small file that the driver made itself."""
     if "://" in str(path):
-        from pyarrow import fs
-
-        store, name = fs.FileSystem.from_uri(str(path))
+        store, name = file_system(str(path))
         store.create_dir(name.rsplit("/", 1)[0], recursive=True)
         with store.open_output_stream(name) as out:
             out.write(text.encode())

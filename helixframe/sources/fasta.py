@@ -27,50 +27,43 @@ def ordinals(rows: DataFrame, path: str, block: str) -> DataFrame:
     return numbered.join(F.broadcast(before), [path, block]).withColumn("idx", (F.col("__before") + F.col("__at")).cast("long")).drop("__in", "__at", "__before", path, block)
 
 
-def _chunks(spark: SparkSession, path: str, whole: bool) -> DataFrame:
-    """(path, block, number, header, body): a row for each piece that begins with > at a line's start, and one for what stands
-    before the first, whose header is null."""
-    if whole:
-        text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.lit(0).cast("long").alias("block"), "value")
-        parts = text.select("path", "block", F.posexplode(F.split("value", r"(?m)^[^\S\r\n]*(?=>)")).alias("k", "value"))
-        raw = parts.select("path", "block", "k", F.when(F.col("value").startswith(">"), F.substr("value", F.lit(2))).alias("record"), "value")
-    else:
-        text = spark.read.option("lineSep", "\n>").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), "value", F.monotonically_increasing_id().alias("k"))
-        raw = text.select("path", "block", "k", F.col("value").alias("record"), "value")
-    return raw
+def _pieces(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(records, leads): (path, block, k, nth, header, body) of each record, and (path, lead) of the text that stands before the first
+    header of a file, a row a file at most.
 
+    Spark's line separator takes a file apart at lines that begin with >, among many tasks; lines in which white space
+    stands before the > are found within these pieces."""
+    text = spark.read.option("lineSep", "\n>").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), "value", F.monotonically_increasing_id().alias("k"))
+    start = text.groupBy("path").agg(F.min(F.struct("block", "k")).alias("first"))  # a row a file
+    text = text.join(F.broadcast(start), "path")
+    # the separator takes the > of all records but one at the very start of a file
+    is_first = (F.col("block") == F.col("first.block")) & (F.col("k") == F.col("first.k"))
+    cut = F.split(F.concat(F.when(is_first, "\n").otherwise("\n>"), "value"), r"(?:\r\n|\r|\n)[^\S\r\n]*>")
+    each = text.select("path", "block", "k", F.posexplode(cut).alias("nth", "record"))
+    # what stands before the first > is empty but in a file's first piece
+    leads = each.where((F.col("nth") == 0) & (F.col("record") != "")).select("path", F.col("record").alias("lead"))
+    records = each.where(F.col("nth") > 0).select("path", "block", "k", "nth", F.regexp_extract("record", r"^([^\r\n]*)", 1).alias("header"), F.regexp_replace("record", r"^[^\r\n]*", "").alias("body"))
+    return records, leads
 
-def read_fasta(spark: SparkSession, path: str, indented: bool = False) -> DataFrame:
+
+def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """(idx, header, sequence). Lines are stripped, blank ones skipped, those before the first header dropped; a header keeps
-    what stands after its >. indented: files in which > may follow white space; these are read whole, a task each."""
-    if indented:
-        rows = _chunks(spark, path, whole=True).where("record is not null")
-    else:
-        # the separator takes the > of all records but one at the very start of a file
-        raw = _chunks(spark, path, whole=False)
-        start = raw.groupBy("path").agg(F.min(F.struct("block", "k")).alias("first"))
-        raw = raw.join(F.broadcast(start), "path")
-        is_first = (F.col("block") == F.col("first.block")) & (F.col("k") == F.col("first.k"))
-        opens = F.col("record").rlike(r"^\s*>")
-        rows = raw.where(~is_first | opens).withColumn("record", F.when(is_first, F.regexp_replace("record", r"^\s*>", "")).otherwise(F.col("record")))
-    line = F.regexp_extract("record", r"^([^\r\n]*)", 1)
-    body = F.regexp_replace("record", r"^[^\r\n]*", "")
-    out = rows.select("path", "block", F.regexp_replace(line, r"\s+$", "").alias("header"), _trimmed_lines(body).alias("sequence"))
+    what stands after its >, which white space may precede."""
+    rows, _ = _pieces(spark, path)
+    out = rows.select("path", "block", F.regexp_replace("header", r"\s+$", "").alias("header"), _trimmed_lines(F.col("body")).alias("sequence"))
     return ordinals(out, "path", "block").select("idx", "header", "sequence")
 
 
 def read_records(spark: SparkSession, path: str, uppercase: bool = True, convert_u_to_t: bool = False) -> DataFrame:
     """(idx, identifier, description, sequence), in the dialect that splits trimmed headers and puts lines that stand before
     the first header of a file at the start of its first record."""
-    text = _chunks(spark, path, whole=True)
-    body = F.when(F.col("record").isNull(), F.col("value")).otherwise(F.regexp_replace("record", r"^[^\r\n]*", ""))
-    rows = text.select("path", "block", "k", F.regexp_extract("record", r"^([^\r\n]*)", 1).alias("header"), _trimmed_lines(body).alias("sequence"), F.col("record").isNotNull().alias("is_record"))
-    at = Window.partitionBy("path").orderBy("k")
-    lead = F.when(~F.coalesce(F.lag("is_record").over(at), F.lit(True)), F.lag("sequence").over(at)).otherwise(F.lit(""))
-    rows = rows.withColumn("sequence", F.concat(lead, F.col("sequence"))).where("is_record")
-    seq = F.col("sequence")
+    rows, leads = _pieces(spark, path)
+    first = rows.groupBy("path").agg(F.min(F.struct("block", "k", "nth")).alias("first")).join(leads, "path")  # a row a file
+    met = rows.join(F.broadcast(first), "path", "left")
+    lead = F.when(F.struct("block", "k", "nth") == F.col("first"), _trimmed_lines(F.col("lead"))).otherwise(F.lit(""))
+    seq = F.concat(F.coalesce(lead, F.lit("")), _trimmed_lines(F.col("body")))
     seq = F.upper(seq) if uppercase else seq
     seq = F.translate(seq, "Uu", "TT") if convert_u_to_t else seq
     ident, description = S.split_header(F.col("header"))
-    out = rows.select("path", "block", ident.alias("identifier"), description.alias("description"), seq.alias("sequence"))
+    out = met.select("path", "block", ident.alias("identifier"), description.alias("description"), seq.alias("sequence"))
     return ordinals(out, "path", "block").select("idx", "identifier", "description", "sequence")

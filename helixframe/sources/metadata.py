@@ -52,7 +52,8 @@ def read_clusters(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_features(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """A CSV table with a header. Types are inferred unless given. Cells that read as missing values become nulls."""
+    """A CSV table with a header. Types are inferred unless given: long, double, boolean, else string; a column with missing values is
+    no long. Cells that read as missing values become nulls."""
     reader = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True)
     rows = reader.csv(path)
     # Cell texts that stand for a missing value.
@@ -62,8 +63,10 @@ def read_features(spark: SparkSession, path: str, schema: str | None = None) ->
         kinds = spark.createDataFrame([], schema).dtypes
         return blank.select(*[F.col(f"`{c}`").cast(t).alias(c) for c, t in kinds])
     whole, number = r"^\s*[+-]?\d{1,18}\s*$", r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
-    seen = blank.agg(*[F.struct(F.count(F.col(f"`{c}`")).alias("n"), F.count_if(F.col(f"`{c}`").rlike(whole)).alias("w"), F.count_if(F.col(f"`{c}`").rlike(number)).alias("f"), F.count("*").alias("rows")).alias(f"c{i}") for i, c in enumerate(blank.columns)]).first()
-    kind = lambda s: "long" if s["n"] and s["w"] == s["n"] == s["rows"] else "double" if s["f"] == s["n"] else "string"
+    # Cell texts that stand for truth values.
+    truth = ["True", "TRUE", "true", "False", "FALSE", "false"]
+    seen = blank.agg(*[F.struct(F.count(x).alias("n"), F.count_if(x.rlike(whole)).alias("w"), F.count_if(x.rlike(number)).alias("f"), F.count_if(x.isin(truth)).alias("b"), F.count("*").alias("rows")).alias(f"c{i}") for i, x in enumerate(F.col(f"`{c}`") for c in blank.columns)]).first()
+    kind = lambda s: "long" if s["n"] and s["w"] == s["n"] == s["rows"] else "double" if s["f"] == s["n"] else "boolean" if s["b"] == s["n"] else "string"
     return blank.select(*[F.trim(F.col(f"`{c}`")).cast(k).alias(c) if (k := kind(seen[i])) != "string" else F.col(f"`{c}`") for i, c in enumerate(blank.columns)])
 
 
