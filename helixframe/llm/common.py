@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..scratch import BATCH_ROWS, drop, file_system, free_shuffles, new_folder, small_batches, stash, stash_map
+from ..scratch import drop, file_system, free_shuffles, new_folder, small_batches, stash, stash_map
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
@@ -16,15 +16,6 @@ def cores(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def bounded_batches(df: DataFrame) -> DataFrame:
-    """df, after holding the session to BATCH_ROWS rows a Python batch. Long texts come ten thousand to a batch otherwise, in
-    the worker and in its JVM; a lazy plan is run after the operator has returned, so the setting has to stay."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
-        conf.set(key, str(BATCH_ROWS))
-    return df
-
-
 def keyed(df: DataFrame, nulls: bool) -> tuple[DataFrame, DataFrame]:
     """df (doc_id, text and more) with a ``key``, and (key, doc_id) of the keys that aren't ids.
 
@@ -132,4 +123,4 @@ def read_files(spark: SparkSession, folder: str, uris: list[str]) -> DataFrame:
     return found.join(F.broadcast(names), F.substring_index("path", "/", -1) == F.col("name"), "left_semi")
 
 
-__all__ = ["FileSink", "Shared", "bounded_batches", "cores", "drop", "free_shuffles", "in_order", "keyed", "new_folder", "read_files", "small_batches", "stash", "stash_map", "table"]
+__all__ = ["FileSink", "Shared", "cores", "drop", "free_shuffles", "in_order", "keyed", "new_folder", "read_files", "small_batches", "stash", "stash_map", "table"]

@@ -67,7 +67,7 @@ class Coder:
     def encode(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
         """(bits, most significant first, in whole 32-bit words; bit offset of every STEP-th symbol)."""
         if not len(ids):
-            return b"", np.zeros(0, np.uint32)
+            return b"", np.zeros(0, np.int64)
         width = self.length[ids]
         if not width.all():
             raise ValueError("a symbol has no code")
@@ -78,7 +78,7 @@ class Coder:
         first = np.flatnonzero(np.diff(word, prepend=-1))
         out[word[first]] += np.add.reduceat(value >> np.uint64(32), first)
         out[word[first] + 1] += np.add.reduceat(value & np.uint64(0xFFFFFFFF), first)
-        return out[: (int(end[-1]) + 31) >> 5].astype(">u4").tobytes(), at[::STEP].astype(np.uint32)
+        return out[: (int(end[-1]) + 31) >> 5].astype(">u4").tobytes(), at[::STEP]
 
     def decode(self, bits: bytes, checkpoints: np.ndarray, n: int) -> np.ndarray:
         """The n symbols of a block; lanes start at the checkpoints."""

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, table
+from .common import table
 
 MARK = "▁"
 SCHEMA = "doc_id long, n_tokens long, ids binary, decoded string"
@@ -110,7 +110,7 @@ def transcode(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks = None
-        for batch in batches:
+        for batch in (x.slice(at, 1000) for x in batches for at in range(0, x.num_rows, 1000)):
             chunks = chunks or ChunkTable(model, table_limit)
             keys, texts = batch.column(0), [x or "" for x in batch.column(1).to_pylist()]
             at = 0
@@ -123,7 +123,7 @@ def transcode(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
                 )
                 at += len(part)
 
-    return bounded_batches(df).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
 
 def digests(done: DataFrame) -> DataFrame:

@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import frequency
-from .common import Shared, bounded_batches, cores, drop, free_shuffles, in_order, stash, stash_map, table
+from .common import Shared, cores, drop, free_shuffles, in_order, stash, stash_map, table
 from .frequency import Packer, Spread, bit_table, mix, repeated
 from .ranking import ranked, rerank
 
@@ -368,7 +368,7 @@ def dedup(df: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: st
         raise ValueError("length must be from 16 to 900 bytes")
     extra = [(c, k) for c, k in df.dtypes if c in carry]
     carried = [F.col(f"`{c}`").alias(f"carried{i}") for i, (c, _) in enumerate(extra)]
-    docs, unique = in_order(bounded_batches(df).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *carried))
+    docs, unique = in_order(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *carried))
     docs = docs.withColumnRenamed("key", "doc")
     texts = docs.select("doc", "text")
     by_doc = stash(covered(texts if unique else stash(texts.dropDuplicates(["doc"]), "suffix-texts"), length).groupBy("doc").agg(F.collect_list(F.struct("start", (F.col("start") + F.col("size") + length - 1).alias("end"))).alias("runs")), "suffix-by-doc")

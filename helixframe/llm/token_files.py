@@ -2,8 +2,8 @@
 
 Method. Texts are tokenised once, in parallel, and their ids written to the shared folder. Each task counts its ids;
 the global counts (a row for each id of the vocabulary, which bounds what the driver gets) give a canonical Huffman code
-whose lengths package-merge limits to 16 bits. Documents are then dealt out by ranges of doc_id, and each task writes a
-file of independent blocks. A block holds its documents' ids and lengths and its bit stream with a checkpoint every 128 ids;
+whose lengths package-merge limits to 16 bits. Documents are then dealt out by ranges of doc_id, and each task writes
+files of independent blocks, closed at ``FILE_BYTES``. A block holds its documents' ids and lengths and its bit stream with a checkpoint every 128 ids;
 the decoder steps through all lanes of a block at once with one 65,536-entry table.
 
 Tokenising cuts a text before each single space that a visible character follows; the byte-level pattern always cuts
@@ -12,10 +12,10 @@ ids are joined by position.
 
 File: magic, then the length of the code table and the zlib-packed code lengths, then blocks. All numbers are
 little-endian. Block: magic, number of documents, ids, checkpoints and bit bytes, then doc ids (int64, with a
-byte each that marks a null), ids per document (uint32), checkpoints (uint32), bits.
+byte each that marks a null), ids per document (uint32), checkpoints (uint64), bits. A block holds whole documents.
 
 Defined results: a null text counts as empty and is the end id alone; null doc ids sort first; repeated ids keep a row
-each, ordered by their token ids; an empty table writes no file and gives no row; other columns are ignored.
+each, ordered by a hash of their token ids, so that an id of very many rows is dealt over many files; an empty table writes no file and gives no row; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,14 +35,18 @@ from .huffman import STEP, Coder, code_lengths
 
 MAGIC, BLOCK_MAGIC = b"HXT1", b"HXB1"
 BLOCK_IDS = 1 << 20
+#: A file is closed once it has so many bytes; readers take files whole.
+FILE_BYTES = 64 << 20
+#: What a worker's table of chunks may take: its entries are counted with so many bytes each beside their text and ids.
+TABLE_BYTES, ENTRY_BYTES = 96 << 20, 120
 #: Texts of so many bytes are tokenised together.
 BATCH_BYTES = 16 << 20
 
 
 class ChunkEncoder:
-    """The tokenizers library behind a table of distinct chunks."""
+    """The tokenizers library behind a table of distinct chunks, which is cleared when it takes ``table_bytes``."""
 
-    def __init__(self, path: str, table_limit: int) -> None:
+    def __init__(self, path: str, table_bytes: int) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -60,7 +64,6 @@ class ChunkEncoder:
 
         kind = (json.loads(self.tok.to_str()).get("pre_tokenizer") or {})
         self.chunked = kind.get("type") == "ByteLevel" and not kind.get("add_prefix_space") and kind.get("use_regex", True)
-        self.special = re.compile("|".join(map(re.escape, added))) if added else None
         self.cut = re.compile(r"(?= [^\s])")
         # the library's pattern takes these as white space
         space = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -68,22 +71,25 @@ class ChunkEncoder:
         if added:
             self.odd += "|" + "|".join(re.sub(r"([^\w<>])", r"\\\1", x) for x in added)
         self.special = re.compile("|".join(map(re.escape, added))) if added else None
-        self.limit = table_limit
+        self.limit = table_bytes
         self.clear()
 
     @classmethod
-    def of_worker(cls, path: str, table_limit: int) -> ChunkEncoder:
-        """The encoder of this Python worker, which serves its later tasks too. What it knows depends on the tokenizer alone."""
-        import pyspark
+    def of_worker(cls, path: str, table_bytes: int) -> ChunkEncoder:
+        """The encoder of this Python worker, one at a time, which serves its later tasks too. What it knows depends on the
+        tokenizer alone. Classes travel anew with each task, so it stands in a module that this library makes in the worker."""
+        import sys
+        import types
 
-        kept = pyspark.__dict__.setdefault("_kept_by_worker", {})
-        if (path, table_limit) not in kept:
-            kept[path, table_limit] = cls(path, table_limit)
-        return kept[path, table_limit]
+        own = sys.modules.setdefault("helixframe_worker", types.ModuleType("helixframe_worker"))
+        if getattr(own, "encoder_of", None) != (path, table_bytes):
+            own.encoder, own.encoder_of = cls(path, table_bytes), (path, table_bytes)
+        return own.encoder
 
     def clear(self) -> None:
         """An empty table: numbers of the chunks, and their ids end to end."""
         self.known: dict[str, int] = {}
+        self.taken = 0
         self.flat, self.start, self.count, self.used = np.zeros(1 << 16, self.dtype), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
 
     def put(self, keys: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
@@ -97,6 +103,7 @@ class ChunkEncoder:
         self.count[n : n + k] = counts
         self.known.update(zip(keys, range(n, n + k)))
         self.used += len(ids)
+        self.taken += sum(map(len, keys)) + ENTRY_BYTES * k + ids.nbytes
 
     def learn(self, keys: list[str]) -> None:
         """Keys that begin with NUL stand for the text after it, others for a space and themselves."""
@@ -135,7 +142,7 @@ class ChunkEncoder:
         """Each text's ids, 16 or 32 bits each, in bytes. Texts aren't null."""
         import pyarrow.compute as pc
 
-        if len(self.known) > self.limit:
+        if self.taken > self.limit:
             self.clear()
         odd = np.asarray(pc.match_substring_regex(texts, self.odd)) if self.chunked else np.ones(len(texts), bool)
         out: list[bytes] = [b""] * len(texts)
@@ -169,7 +176,7 @@ class ChunkEncoder:
             out[k] = raw[x:y]
 
 
-def tokenise(df: DataFrame, tokenizer: str, end_id: int | None, id_col: str = "doc_id", text_col: str = "text", table_limit: int = 700_000) -> DataFrame:
+def tokenise(df: DataFrame, tokenizer: str, end_id: int | None, id_col: str = "doc_id", text_col: str = "text", table_bytes: int = TABLE_BYTES) -> DataFrame:
     """Rows (doc_id, ids), ids as little-endian 16-bit integers, or 32-bit ones for a vocabulary of more than 65,536; and rows
     (id, n), how often each id occurs in a task's documents, which the other two columns are null in."""
 
@@ -190,7 +197,7 @@ def tokenise(df: DataFrame, tokenizer: str, end_id: int | None, id_col: str = "d
             return n, pa.RecordBatch.from_arrays([b.column(0), ids, pa.nulls(len(ids), pa.int64()), pa.nulls(len(ids), pa.int64())], names)
 
         for batch in batches:
-            coder = coder or ChunkEncoder.of_worker(tokenizer, table_limit)
+            coder = coder or ChunkEncoder.of_worker(tokenizer, table_bytes)
             length, at = np.asarray(pc.binary_length(batch.column(1).fill_null(""))).cumsum(), 0
             while at < batch.num_rows:
                 to = max(at + 1, int(np.searchsorted(length, (length[at - 1] if at else 0) + BATCH_BYTES - size, "right")))
@@ -220,9 +227,9 @@ def id_counts(tokens: DataFrame, vocab: int) -> np.ndarray:
 
 def pack_block(coder: Coder, keys: list[int | None], ids: np.ndarray, counts: list[int]) -> bytes:
     bits, marks = coder.encode(ids)
-    head = BLOCK_MAGIC + struct.pack("<IQII", len(keys), len(ids), len(marks), len(bits))
+    head = BLOCK_MAGIC + struct.pack("<IQQQ", len(keys), len(ids), len(marks), len(bits))
     doc = np.array([0 if k is None else k for k in keys], "<i8").tobytes() + bytes(k is None for k in keys)
-    return head + doc + np.array(counts, "<u4").tobytes() + marks.astype("<u4").tobytes() + bits
+    return head + doc + np.array(counts, "<u4").tobytes() + marks.astype("<u8").tobytes() + bits
 
 
 def unpack(data: bytes) -> Iterator[tuple[list[int | None], np.ndarray, list[int]]]:
@@ -234,31 +241,35 @@ def unpack(data: bytes) -> Iterator[tuple[list[int | None], np.ndarray, list[int
     while at < len(data):
         if data[at : at + 4] != BLOCK_MAGIC:
             raise ValueError("a block is damaged")
-        docs, ids, marks, bits = struct.unpack_from("<IQII", data, at + 4)
-        at += 24
+        docs, ids, marks, bits = struct.unpack_from("<IQQQ", data, at + 4)
+        at += 32
         keys = np.frombuffer(data, "<i8", docs, at).tolist()
         nulls = data[at + 8 * docs : at + 9 * docs]
         counts = np.frombuffer(data, "<u4", docs, at + 9 * docs).tolist()
         at += 13 * docs
-        found = coder.decode(data[at + 4 * marks : at + 4 * marks + bits], np.frombuffer(data, "<u4", marks, at), ids)
+        found = coder.decode(data[at + 8 * marks : at + 8 * marks + bits], np.frombuffer(data, "<u8", marks, at), ids)
         yield [None if x else k for k, x in zip(keys, nulls)], found, counts
-        at += 4 * marks + bits
+        at += 8 * marks + bits
 
 
-def write_files(tokens: DataFrame, lengths: np.ndarray, dtype: str, folder: str) -> list[dict]:
-    """Writes tokens in ascending doc_id order, a file for each range of ids. The manifest: file, ids, in that order."""
+def write_files(tokens: DataFrame, lengths: np.ndarray, dtype: str, folder: str, file_bytes: int = FILE_BYTES) -> list[dict]:
+    """Writes tokens in ascending doc_id order, a range of ids a task. The manifest: file, ids, in that order."""
     spark = tokens.sparkSession
     table_ = zlib.compress(lengths.astype(np.uint8).tobytes(), 9)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        sink, coder, keys, parts, size, total = None, Coder(lengths), [], [], 0, 0
+        sink, coder, keys, parts, size, total, done = None, Coder(lengths), [], [], 0, 0, []
 
         def flush():
             ids = np.frombuffer(b"".join(parts), dtype)
             sink.write(pack_block(coder, keys, ids, [len(p) // ids.itemsize for p in parts]))
 
+        def close():
+            sink.close()
+            done.append((TaskContext.get().partitionId(), len(done), sink.uri, total))
+
         for b in batches:
             for key, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if sink is None:
@@ -271,15 +282,19 @@ def write_files(tokens: DataFrame, lengths: np.ndarray, dtype: str, folder: str)
                 if size >= BLOCK_IDS:
                     flush()
                     keys, parts, size = [], [], 0
+                    if sink.size >= file_bytes:
+                        close()
+                        sink, total = None, 0
         if sink is not None:
             if keys:
                 flush()
-            sink.close()
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([sink.uri]), pa.array([total])], ["part", "uri", "n"])
+            close()
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in done], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.string(), pa.int64()))], ["part", "nth", "uri", "n"])
 
-    ordered = tokens.repartitionByRange(cores(spark), F.col("doc_id")).sortWithinPartitions("doc_id", "ids")
+    by = (F.col("doc_id"), F.xxhash64("ids"))
+    ordered = tokens.repartitionByRange(cores(spark), *by).sortWithinPartitions(*by, "ids")
     # a row for each file; sorting it in Spark would run the job twice
-    return sorted((r.asDict() for r in ordered.mapInArrow(run, "part long, uri string, n long").collect()), key=lambda r: r["part"])
+    return sorted((r.asDict() for r in ordered.mapInArrow(run, "part long, nth long, uri string, n long").collect()), key=lambda r: (r["part"], r["nth"]))
 
 
 def read_documents(spark: SparkSession, folder: str, manifest: list[dict]) -> DataFrame:

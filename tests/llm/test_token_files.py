@@ -102,6 +102,26 @@ def test_files_round_trip_in_order(spark, docs, words):
     assert [(d, got[d][0], len(got[d][1]), zlib.crc32(got[d][1].tobytes())) for d, _ in sorted(rows)] == brute(sorted(rows))
 
 
+def test_files_are_closed_at_their_size(spark, docs, words, monkeypatch):
+    monkeypatch.setattr(T, "BLOCK_IDS", 200)
+    rows = [(i % 5 if i % 2 else None, " ".join(words(60))) for i in range(90)] + [(100 + i, " ".join(words(30))) for i in range(60)]
+    folder, size = new_folder(spark, "small-files"), 1500
+    tokens = T.stash(T.tokenise(docs(rows), PATH, 2), "tokens")
+    lengths = T.code_lengths(T.id_counts(tokens, T.ChunkEncoder(PATH, 0).size))
+    manifest = T.write_files(tokens.where("id is null").select("doc_id", "ids"), lengths, "<u2", folder, size)
+    assert len(manifest) > 8
+    got = sorted((r["start"], r["doc_id"], len(r["ids"]) // 4) for r in T.read_documents(spark, folder, manifest).collect())
+    assert len(got) == len(rows) and [d for _, d, _ in got] == sorted((d for d, _ in rows), key=lambda d: (d is not None, d or 0))
+    assert all(a[0] + a[2] == b[0] for a, b in zip(got, got[1:]))
+
+
+def test_the_chunk_table_is_bounded_in_bytes():
+    own = T.ChunkEncoder(PATH, 5000)
+    for i in range(20):
+        own.encode(pa.array([" ".join(f"w{i}x{k}" for k in range(40))]))
+        assert own.taken < 5000 + 40 * 200
+
+
 def test_a_retried_attempt_leaves_no_trace(spark, docs):
     folder, manifest = T.export(docs([(1, "a b"), (2, "c")]), PATH)
     Path(folder.removeprefix("file://"), "part-0000.hxt").write_bytes(b"half a file")  # what a lost attempt leaves
