@@ -12,15 +12,23 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from helixframe import scratch
 from helixframe.llm import decontaminate, jaccard_join, language_id, sentence_pieces, suffix_dedup
 from helixframe.llm.common import keyed, new_folder, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def of_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The columns of documents. The pipeline holds its session to small batches for Python workers, as its stages are run after
+    they have returned: long texts come ten thousand to a batch otherwise, in a worker and in its JVM."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(scratch.BATCH_ROWS))
+    return docs.select(*COLUMNS)
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leaves away documents without a language: no text, or no letter in it. The model is learned from the labelled rows."""
-    docs = docs.select(*COLUMNS)
+    docs = of_documents(spark, docs)
     found = language_id.identify(docs, language_id.train(docs.where(~language_id.held_out())), carry=COLUMNS[1:])
     return found.where(F.col("lang_pred") != language_id.UNKNOWN).select(*COLUMNS)
 
@@ -30,7 +38,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Rows are one document if they share id and text. Other rows of a null or repeated id are documents of their own, linked by
     their texts alone; a null id counts as larger than all others."""
-    docs, new = keyed(docs.select(*COLUMNS), nulls=True)
+    docs, new = keyed(of_documents(spark, docs), nulls=True)
     found = jaccard_join.join(docs, 5, Fraction(4, 5), id_col="key").select(F.col("doc_id").alias("key"), "component_id")
     found = found.join(new.select("key", F.col("doc_id").alias("id"), F.lit(True).alias("is_new")), "key", "left")
     found = found.withColumn("id", F.when(F.col("is_new"), F.col("id")).otherwise(F.col("key")))
@@ -40,16 +48,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes bytes of strings of 100 bytes that occur earlier; a character cut in two goes whole. Documents of which
-    nothing is left go. Rows of a null or repeated id come after all others, and each of their texts is cut by itself."""
-    docs, _ = keyed(docs.select(*COLUMNS), nulls=True)
-    done = suffix_dedup.dedup(docs.withColumnRenamed("doc_id", "id"), 100, id_col="key", carry=("id", "lang", "source"))
-    rest = done.where("size(spans) = 0 or kept_text != ''").select(F.col("id").alias("doc_id"), F.col("kept_text").alias("text"), "lang", "source")
+    nothing is left go. Rows without an id come after all others, texts of one id in the order of their hashes, and each is cut
+    by its own runs."""
+    done = suffix_dedup.dedup(of_documents(spark, docs), 100, carry=("lang", "source"))
+    rest = done.where("size(spans) = 0 or kept_text != ''").select("doc_id", F.col("kept_text").alias("text"), "lang", "source")
     return rest.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leaves away documents of whose words at least a twentieth are in passages of 13 words of the benchmark."""
-    hits = decontaminate.find_hits(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark", "item_id", "text"), carry=COLUMNS[1:])
+    hits = decontaminate.find_hits(of_documents(spark, docs), table(spark, sf_dir, "benchmark", "item_id", "text"), carry=COLUMNS[1:])
     return decontaminate.judged(hits, carry=COLUMNS[1:]).where("not contaminated").select(*COLUMNS)
 
 
@@ -57,7 +65,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """SentencePiece ids of what is left, with digests of ids and of the decoded text."""
     import public_tokenizers
 
-    done = sentence_pieces.transcode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    done = sentence_pieces.transcode(of_documents(spark, docs), public_tokenizers.path("piece_bpe_32k.model"))
     return sentence_pieces.digests(done)
 
 
