@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import sinks
 from ..functions import sequences as S
+from ..functions.exact import fixed
 from ..operators import cluster, consensus, export, filter, hits, kmers
-from ..scratch import stash
+from ..scratch import new_folder, stash
+from ..sources import fasta, metadata
 from . import encoding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,15 +117,164 @@ def sha_keys(spark, sf_dir):
     return encoding.fasta(spark, sf_dir).select("idx", S.digest(seq).alias("digest"), S.alignment_key(seq, "blastn", "nt", "JSON2", 10).alias("key"), S.query_id(F.lit(""), F.col("idx") + 1).alias("query_id"))
 
 
-@query("""SELECT item_id AS line FROM benchmark b
- WHERE EXISTS (SELECT 1 FROM documents d WHERE d.doc_id % 3 = 0 AND 'DOC' || d.doc_id || '.1' = CASE WHEN b.item_id % 2 = 0 THEN 'DOC' || b.item_id || '.1' END)
-    OR EXISTS (SELECT 1 FROM documents d WHERE d.doc_id % 3 = 0 AND 'DOC' || d.doc_id || '.1' = CASE WHEN b.item_id % 5 = 0 THEN 'DOC' || (b.item_id + 1) || '.1' END)""")
+@query(_sql(""" SELECT item_id AS line FROM benchmark b
+ WHERE EXISTS (SELECT 1 FROM passing d WHERE d.record_id = CASE WHEN b.item_id % 2 = 0 THEN 'DOC' || b.item_id || '.1' END)
+    OR EXISTS (SELECT 1 FROM passing d WHERE d.record_id = CASE WHEN b.item_id % 5 = 0 THEN 'DOC' || (b.item_id + 1) || '.1' END)"""))
 def metadata_semi_filter(spark, sf_dir):
-    # metadata: benchmark items with an accession, a uid, both or neither; kept: documents of every third id
+    # metadata: benchmark items with an accession, a uid, both or neither; kept: the records that pass the quality rules
     item = F.col("item_id")
     meta = _table(spark, sf_dir, "benchmark", "item_id").select(item.alias("line"), F.when(item % 2 == 0, F.concat(F.lit("DOC"), item, F.lit(".1"))).alias("accession"), F.lit(None).cast("string").alias("accessionversion"), F.when(item % 5 == 0, F.concat(F.lit("DOC"), item + 1, F.lit(".1"))).alias("uid"))
-    kept = _table(spark, sf_dir, "documents", "doc_id").where("doc_id % 3 = 0").select(F.concat(F.lit("DOC"), "doc_id", F.lit(".1")).alias("record_id"), F.concat(F.lit("DOC"), "doc_id", F.lit(".1")).alias("accession"))
-    return filter.filter_metadata(meta, kept).select("line")
+    return filter.filter_metadata(meta, _passing(spark, sf_dir).select("record_id", F.col("record_id").alias("accession"))).select("line")
+
+
+# Sources and sinks: what is written to the shared folder and read back ---------------------------------------------
+
+#: Documents whose encoded sequence holds no character that the readers would strip; file order is that of doc_id.
+_NUMBERED = ", n AS (SELECT *, row_number() OVER (ORDER BY idx) - 1 AS at FROM enc)"
+
+
+def _fasta_file(spark, sf_dir, indent: str = "") -> str:
+    """Documents as a FASTA file, its headers after white space if wanted."""
+    rows = encoding.fasta(spark, sf_dir)
+    path = f"{new_folder(spark, 'fasta')}/all.fasta"
+    if indent:
+        text = F.concat(F.lit(f"junk{indent}\n{indent}>"), "header", F.lit(f"\n\n{indent}"), "sequence", F.lit("\n"))
+        return str(sinks.write_lines(rows.select("idx", text.alias("value")), path, "value", "idx"))
+    return str(sinks.write_fasta(rows, path, F.col("header")))
+
+
+@query(_sql(_NUMBERED + " SELECT at AS idx, header, sha256(sequence) AS digest, length(sequence)::BIGINT AS length FROM n"))
+def fasta_round_trip(spark, sf_dir):
+    got = fasta.read_fasta(spark, _fasta_file(spark, sf_dir))
+    return got.select("idx", "header", S.digest(F.col("sequence")).alias("digest"), F.length("sequence").cast("long").alias("length"))
+
+
+# each record but the first begins with what stands before the next header
+@query(_sql(_NUMBERED + " SELECT at AS idx, header, sha256(sequence || CASE WHEN at < (SELECT max(at) FROM n) THEN 'junk' ELSE '' END) AS digest FROM n"))
+def fasta_indented(spark, sf_dir):
+    got = fasta.read_fasta(spark, _fasta_file(spark, sf_dir, indent=" \t"))
+    return got.select("idx", "header", S.digest(F.col("sequence")).alias("digest"))
+
+
+# in the second dialect the text before the first header opens its sequence
+@query(_sql(_NUMBERED + """ SELECT at AS idx, record_id AS identifier, lang AS description,
+  sha256(CASE WHEN at = 0 THEN 'JTNK' ELSE '' END || sequence || CASE WHEN at < (SELECT max(at) FROM n) THEN 'JTNK' ELSE '' END) AS digest FROM n"""))
+def records_indented(spark, sf_dir):
+    got = fasta.read_records(spark, _fasta_file(spark, sf_dir, indent="  "), convert_u_to_t=True)
+    return got.select("idx", "identifier", "description", S.digest(F.col("sequence")).alias("digest"))
+
+
+def _metadata_file(spark, sf_dir) -> str:
+    """Documents as metadata, several lines a key; some without an accession, an organism or a uid."""
+    i = F.col("doc_id")
+    rows = _table(spark, sf_dir, "documents", "doc_id", "lang", "source", "n_chars").select(
+        i.alias("__at"), F.when(i % 3 > 0, F.concat(F.lit("u"), i % 41)).alias("uid"), F.when(i % 4 > 0, F.concat(F.lit("A"), i % 53)).otherwise("").alias("accession"), F.when(i % 8 == 0, F.concat(F.lit("V"), i % 17)).alias("accessionversion"),
+        F.when(i % 5 > 0, F.col("lang")).alias("organism"), F.when(i % 7 > 0, F.col("source")).alias("taxname"), (i % 11).alias("taxid"), F.col("n_chars").alias("slen"), F.lit("x").alias("more"),
+    )
+    return str(sinks.write_jsonl(rows, f"{new_folder(spark, 'metadata')}/m.jsonl", "__at"))
+
+
+_METADATA = """WITH m AS (SELECT doc_id AS at, CASE WHEN doc_id % 3 > 0 THEN 'u' || doc_id % 41 END AS uid, CASE WHEN doc_id % 4 > 0 THEN 'A' || doc_id % 53 END AS acc, CASE WHEN doc_id % 8 = 0 THEN 'V' || doc_id % 17 END AS ver,
+  nullif(CASE WHEN doc_id % 5 > 0 THEN lang END, '') AS organism, nullif(CASE WHEN doc_id % 7 > 0 THEN source END, '') AS taxname, doc_id % 11 AS taxid, n_chars AS slen FROM documents),
+ o AS (SELECT *, coalesce(organism, taxname) AS name, coalesce(acc, ver) AS key FROM m)"""
+
+
+@query(f"{_METADATA} SELECT uid, coalesce(acc, '') AS accession, ver AS accessionversion, organism, taxname, taxid, slen, count(*) AS n FROM o GROUP BY ALL")
+def metadata_round_trip(spark, sf_dir):
+    got = metadata.read_metadata(spark, _metadata_file(spark, sf_dir))
+    return got.where("raw like '%more%'").groupBy("uid", "accession", "accessionversion", "organism", "taxname", "taxid", "slen").agg(F.count("*").alias("n"))
+
+
+@query(f"{_METADATA} SELECT key, arg_max(name, struct_pack(at := at, nth := nth)) AS organism FROM (SELECT key, name, at, CASE WHEN key IS NULL THEN NULL ELSE 0 END AS nth FROM o WHERE key IS NOT NULL UNION ALL SELECT uid, name, at, 1 FROM o WHERE uid IS NOT NULL) WHERE name IS NOT NULL GROUP BY key")
+def metadata_organisms(spark, sf_dir):
+    return metadata.organism_lookup(metadata.read_metadata(spark, _metadata_file(spark, sf_dir)))
+
+
+@query(f"{_METADATA}, k AS (SELECT coalesce(key, uid, 'None') AS key, at, name, taxid FROM o) SELECT k.key, name AS organism, taxid FROM k JOIN (SELECT key, max(at) AS at FROM k GROUP BY key) l ON l.key = k.key AND l.at = k.at")
+def metadata_clusters(spark, sf_dir):
+    return metadata.cluster_lookup(metadata.read_metadata(spark, _metadata_file(spark, sf_dir)))
+
+
+@query(f"{_METADATA}, k AS (SELECT coalesce(key, uid) AS key, at, organism FROM o WHERE coalesce(key, uid) IS NOT NULL) SELECT k.key, organism FROM k JOIN (SELECT key, max(at) AS at FROM k GROUP BY key) l ON l.key = k.key AND l.at = k.at")
+def metadata_consensus(spark, sf_dir):
+    return metadata.consensus_lookup(metadata.read_metadata(spark, _metadata_file(spark, sf_dir)))
+
+
+@query(f"{_METADATA} SELECT uid, coalesce(acc, '') AS accession, taxid, slen, 'x' AS more, count(*) AS n FROM o GROUP BY ALL")
+def metadata_table(spark, sf_dir):
+    return metadata.read_metadata_table(spark, _metadata_file(spark, sf_dir)).groupBy("uid", "accession", "taxid", "slen", "more").agg(F.count("*").alias("n"))
+
+
+# the organism comes from the lookup where it knows the record, else from the header
+@query(f"{_METADATA}, last AS (SELECT key, arg_max(name, at) AS name FROM o WHERE acc IS NOT NULL AND name IS NOT NULL GROUP BY key) SELECT d.doc_id AS idx, coalesce(l.name, d.lang) AS organism FROM documents d LEFT JOIN last l ON l.key = 'A' || d.doc_id")
+def resolved_organisms(spark, sf_dir):
+    rows = encoding.fasta(spark, sf_dir).withColumn("header", F.concat(F.lit("A"), "idx", F.lit(" "), "lang", F.lit(" voucher "), "idx"))
+    known = metadata.organism_lookup(metadata.read_metadata(spark, _metadata_file(spark, sf_dir)).where("accession != ''").drop("uid").withColumn("uid", F.lit(None).cast("string")))
+    return filter.records_of(rows, known).select("idx", "organism")
+
+
+@query("SELECT doc_id, n_chars, CASE WHEN n_chars % 5 > 0 THEN n_chars / 8.0 END AS share, CASE WHEN lang = 'en' THEN NULL ELSE n_chars % 2 = 0 END AS even, 'say \"' || lang || '\", ' || source AS said, CASE WHEN lang = 'NA' THEN NULL ELSE lang END AS lang FROM documents")
+def features_round_trip(spark, sf_dir):
+    # integers, numbers and truth values with gaps, texts with quotes; types are found again
+    n = F.col("n_chars")
+    rows = _table(spark, sf_dir, "documents", "doc_id", "n_chars", "lang", "source").select(
+        "doc_id", "n_chars", F.when(n % 5 > 0, n / 8.0).alias("share"), F.when(F.col("lang") == "en", None).otherwise(F.when(n % 2 == 0, "True").otherwise("False")).alias("even"), F.concat(F.lit('say "'), "lang", F.lit('", '), "source").alias("said"), "lang"
+    )
+    path = sinks.write_csv(rows, f"{new_folder(spark, 'features')}/f.csv", rows.columns, order=["doc_id"])
+    return metadata.read_features(spark, str(path))
+
+
+@query("SELECT doc_id, lang, n_chars FROM documents")
+def parquet_round_trip(spark, sf_dir):
+    path = sinks.write_parquet(_table(spark, sf_dir, "documents", "doc_id", "lang", "n_chars"), f"{new_folder(spark, 'parquet')}/p")
+    return spark.read.parquet(str(path))
+
+
+# lines keep the order they are written in
+@query("SELECT row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 AS at, lang || ' ' || doc_id AS value FROM documents")
+def lines_round_trip(spark, sf_dir):
+    rows = _table(spark, sf_dir, "documents", "doc_id", "lang", "n_chars").select((-F.col("n_chars")).alias("down"), "doc_id", F.concat("lang", F.lit(" "), "doc_id").alias("line"))
+    path = sinks.write_lines(rows, f"{new_folder(spark, 'lines')}/l.txt", "line", "down", "doc_id")
+    text = spark.read.text(str(path)).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"))
+    return fasta.ordinals(text, "path", "block").select(F.col("idx").alias("at"), "value")
+
+
+@query("SELECT count(*) AS total_records, count(*) FILTER (lang = 'de') AS kept_records, 'ß \"x\"' AS note FROM documents")
+def manifest_round_trip(spark, sf_dir):
+    n = _table(spark, sf_dir, "documents", "lang").agg(F.count("*").alias("n"), F.count_if(F.col("lang") == "de").alias("de")).first()
+    path = sinks.write_manifest(f"{new_folder(spark, 'manifest')}/m.json", {"total_records": n["n"], "kept_records": n["de"], "note": 'ß "x"'})
+    return spark.read.option("multiLine", True).json(str(path)).select("total_records", "kept_records", "note")
+
+
+# Alphabets --------------------------------------------------------------------------------------------------------
+
+#: German documents are written with U; AUTO takes those for RNA that hold a U and no T.
+_RNA = """, a AS (SELECT idx, CASE WHEN lang = 'de' THEN replace(sequence, 'T', 'U') ELSE sequence END AS s FROM enc),
+ k AS (SELECT idx, s, CASE WHEN contains(s, 'U') AND NOT contains(s, 'T') THEN 'RNA' ELSE 'DNA' END AS alphabet FROM a)"""
+
+
+@query(_sql(_RNA + " SELECT idx, alphabet, sha256(CASE WHEN alphabet = 'RNA' THEN replace(s, 'T', 'U') ELSE replace(s, 'U', 'T') END) AS digest, length(s)::BIGINT AS length, (length(s) - length(replace(s, 'N', '')))::BIGINT AS n_count FROM k"))
+def alphabets_auto(spark, sf_dir):
+    rows = _records(spark, sf_dir).withColumn("sequence", F.when(F.col("organism") == "de", F.translate("sequence", "T", "U")).otherwise(F.col("sequence")))
+    # small letters and marks between them are cleaned away, ambiguity codes are N
+    rows = rows.withColumn("sequence", F.concat(F.lit(" -"), F.lower(F.translate("sequence", "N", "R")), F.lit("*1")))
+    return filter.measured(rows).select("idx", "alphabet", S.digest(F.col("sequence")).alias("digest"), "length", "n_count")
+
+
+@query(_sql(" SELECT idx, sha256(replace(sequence, 'T', 'U')) AS digest FROM enc"))
+def alphabet_rna(spark, sf_dir):
+    return filter.measured(_records(spark, sf_dir), "RNA").select("idx", S.digest(F.col("sequence")).alias("digest"))
+
+
+@query("SELECT doc_id AS idx, substr(regexp_replace('DOC' || doc_id || '.1|' || lang || '/' || source, '[^A-Za-z0-9_-]', '_', 'g'), 1, 100) AS name FROM documents")
+def safe_names(spark, sf_dir):
+    return _table(spark, sf_dir, "documents", "doc_id", "lang", "source").select(F.col("doc_id").alias("idx"), S.safe_name(F.concat(F.lit("DOC"), "doc_id", F.lit(".1|"), "lang", F.lit("/"), "source")).alias("name"))
+
+
+# eighths have an exact binary value, so their ties go to even
+@query("SELECT doc_id, printf('%.2f', (n_chars % 1000) / 8.0) AS two FROM documents")
+def fixed_points(spark, sf_dir):
+    return _table(spark, sf_dir, "documents", "doc_id", "n_chars").select("doc_id", fixed((F.col("n_chars") % 1000) / 8.0, 2).alias("two"))
 
 
 # K-mers -----------------------------------------------------------------------------------------------------------
@@ -244,6 +396,57 @@ def longest_representative(spark, sf_dir):
     return out.select("cluster_id", "size", S.digest(F.col("sequence")).alias("digest"), "length", "status", "note")
 
 
+#: The first 400 bases of each record. A fold in SQL looks at all overlaps of two sequences, which is dear, so these are short;
+#: consensus_merge below runs over whole sequences.
+_SHORT = 400
+
+
+def _fold_sql() -> str:
+    def overlap(a: str, b: str) -> str:
+        x, y = f"substr({a}, length({a}) - n + i, 1)", f"substr({b}, i, 1)"
+        known, same = f"len(list_filter(range(1, n + 1), lambda i: {x} <> 'N' AND {y} <> 'N'))", f"len(list_filter(range(1, n + 1), lambda i: {x} <> 'N' AND {x} = {y}))"
+        return f"list_filter(range(least(length({a}), length({b})), 79, -1), lambda n: {known} > 0 AND {same} >= 0.97 * {known})[1]"
+
+    def joined(a: str, b: str, n: str) -> str:
+        x, y = f"substr({a}, length({a}) - {n} + i, 1)", f"substr({b}, i, 1)"
+        mid = f"array_to_string(list_transform(range(1, {n} + 1), lambda i: CASE WHEN {x} = 'N' THEN {y} WHEN {y} = 'N' OR {x} = {y} THEN {x} ELSE 'N' END), '')"
+        return f"substr({a}, 1, length({a}) - {n}) || {mid} || substr({b}, {n} + 1)"
+
+    body = f"""{_COMPONENTS}, m AS (SELECT l.component, p.sequence, row_number() OVER (PARTITION BY l.component ORDER BY p.length DESC, p.idx) AS r, count(*) OVER (PARTITION BY l.component) AS size FROM lab l JOIN passing p USING (idx)),
+ f AS (
+  SELECT component, r, sequence AS c, false AS merged FROM m WHERE r = 1 AND size >= 2
+  UNION ALL
+  SELECT component, r, CASE WHEN n1 IS NOT NULL THEN {joined('c', 's', 'n1')} WHEN n2 IS NOT NULL THEN {joined('s', 'c', 'n2')} ELSE c END, merged OR n1 IS NOT NULL OR n2 IS NOT NULL
+  FROM (SELECT component, r, c, s, merged, n1, CASE WHEN n1 IS NULL THEN {overlap('s', 'c')} END AS n2
+        FROM (SELECT f.component, m.r, f.c, m.sequence AS s, f.merged, {overlap('f.c', 'm.sequence')} AS n1 FROM f JOIN m ON m.component = f.component AND m.r = f.r + 1))),
+ done AS (SELECT f.component, f.c, f.merged, m.size FROM f JOIN m ON m.component = f.component AND m.r = f.r AND m.r = m.size)
+ SELECT component, size, sha256(c) AS digest, length(c)::BIGINT AS length,
+        CASE WHEN (length(c) - length(replace(c, 'N', ''))) > 0.05 * length(c) THEN 'low_quality' WHEN merged THEN 'ok' ELSE 'failed' END AS status,
+        CASE WHEN (length(c) - length(replace(c, 'N', ''))) > 0.05 * length(c) THEN 'high_N_fraction' WHEN merged THEN '' ELSE 'insufficient_overlap' END AS note FROM done"""
+    return _edge_sql(body, 15, recursive=True).replace("passing AS (SELECT * FROM quality WHERE reason IS NULL)", f"passing AS (SELECT idx, record_id, substr(sequence, 1, {_SHORT}) AS sequence, least(length, {_SHORT})::BIGINT AS length FROM quality WHERE reason IS NULL)")
+
+
+def _short(spark, sf_dir):
+    """Clusters of the records' first bases, and the records."""
+    cut = F.substring("sequence", 1, _SHORT)
+    rows = stash(_passing(spark, sf_dir).select("idx", "record_id", cut.alias("sequence"), F.length(cut).cast("long").alias("length")), "records")
+    links = stash(cluster.edges(rows, 15, max_pairs=None)[0], "edges")
+    return rows, stash(cluster.clusters(rows, links), "clusters")
+
+
+@query(_fold_sql())
+def consensus_short(spark, sf_dir):
+    rows, found = _short(spark, sf_dir)
+    named = found.select("cluster_id", "component")
+    return consensus.build(found, rows).join(named, "cluster_id").select("component", "size", S.digest(F.col("sequence")).alias("digest"), "length", "status", "note")
+
+
+@query(f"WITH done AS ({_fold_sql()}) SELECT (SELECT count(*) FROM done) AS attempted, (SELECT count(*) FROM done WHERE status <> 'failed') AS ok, (SELECT count(*) FROM done WHERE status = 'failed') AS failed")
+def consensus_short_counters(spark, sf_dir):
+    rows, found = _short(spark, sf_dir)
+    return consensus.counters(found, stash(consensus.build(found, rows), "consensus")).select("attempted", "ok", "failed")
+
+
 @query()
 def consensus_merge(spark, sf_dir):
     rows, found = _clusters(spark, sf_dir)
@@ -302,10 +505,11 @@ def alignment_counts(spark, sf_dir):
     return hits.outcome_counts(_table(spark, sf_dir, "orders", "o_orderkey", "o_orderstatus").select(F.col("o_orderkey").alias("query_id"), F.when(F.col("o_orderstatus") == "F", "timed out").alias("error")))
 
 
-@query(_sql(" SELECT idx, sha256('blastn|nt|JSON2|10|' || sequence) AS key FROM enc WHERE sequence NOT IN (SELECT sequence FROM enc WHERE idx % 4 = 0)"))
+@query(_sql(" SELECT idx, sha256('blastn|nt|JSON2|10|' || sequence) AS key FROM enc WHERE sequence NOT IN (SELECT sequence FROM passing)"))
 def uncached_queries(spark, sf_dir):
-    keyed = encoding.fasta(spark, sf_dir).select("idx", S.alignment_key(F.col("sequence"), "blastn", "nt", "JSON2", 10).alias("key"))
-    return hits.uncached(keyed, keyed.where("idx % 4 = 0"))
+    # the cache holds the results of the records that pass the quality rules
+    key = S.alignment_key(F.col("sequence"), "blastn", "nt", "JSON2", 10).alias("key")
+    return hits.uncached(encoding.fasta(spark, sf_dir).select("idx", key), _passing(spark, sf_dir).select(key).distinct())
 
 
 # Export -----------------------------------------------------------------------------------------------------------

@@ -36,9 +36,24 @@ def test_a_file_of_many_splits_keeps_its_order(spark, tmp_path):
     assert [(g[0], g[1], g[2]) for g in got] == [(i, f"r{i}", "ACGT" * (i % 7)) for i in range(5000)]
 
 
-def test_indented_headers_need_the_whole_file(spark, tmp_path):
+def test_headers_after_white_space(spark, tmp_path):
     (tmp_path / "i.fasta").write_text("  >a\nAC\n\t>b\nGT\n")
-    assert [r[1:] for r in rows(fasta.read_fasta(spark, f"file://{tmp_path}/i.fasta", indented=True))] == [("a", "AC"), ("b", "GT")]
+    assert [r[1:] for r in rows(fasta.read_fasta(spark, f"file://{tmp_path}/i.fasta"))] == [("a", "AC"), ("b", "GT")]
+    (tmp_path / "j.fasta").write_bytes(b"before\r\n >a x\r\nACGT\r\n   >b y\r\nGGTT\r\n>c\r\nA\r\n\t >d\r\n\r\n >e\nC > G\n")
+    assert rows(fasta.read_fasta(spark, f"file://{tmp_path}/j.fasta")) == [(0, "a x", "ACGT"), (1, "b y", "GGTT"), (2, "c", "A"), (3, "d", ""), (4, "e", "C > G")]
+    assert [r[3] for r in rows(fasta.read_records(spark, f"file://{tmp_path}/j.fasta"))] == ["BEFOREACGT", "GGTT", "A", "", "C > G"]
+
+
+def test_headers_after_white_space_in_many_splits(spark, tmp_path):
+    (tmp_path / "big.fasta").write_text("lead\n" + "".join(f"{' ' * (i % 3)}>r{i}\n{'ACGT' * (i % 7)}\n" for i in range(3000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        got, own = rows(fasta.read_fasta(spark, f"file://{tmp_path}/big.fasta")), rows(fasta.read_records(spark, f"file://{tmp_path}/big.fasta"))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == [(i, f"r{i}", "ACGT" * (i % 7)) for i in range(3000)]
+    assert [(r[0], r[1], r[3]) for r in own] == [(i, f"r{i}", "LEAD" * (i == 0) + "ACGT" * (i % 7)) for i in range(3000)]
 
 
 def test_second_dialect(spark, tmp_path):
