@@ -33,16 +33,23 @@ def _counts(records: DataFrame, k: int, ignore_n: bool = True, canonical: bool =
     return starts.select(*records.columns, S.run_counts(F.col("__placed"), F.col("__starts")).alias("c"), F.size("__placed").cast("long").alias("total"))
 
 
+def _rows(records: DataFrame, k: int, *columns: str, **how) -> DataFrame:
+    """columns and (kmer, count, first_pos) of each record's distinct k-mers, and a row without a k-mer for each record.
+
+    That row also keeps the optimizer from asking before whether there are any, which would count again for the answer."""
+    none = F.array(F.struct(F.lit(None).cast("string").alias("kmer"), F.lit(0).cast("long").alias("count"), F.lit(0).alias("first_pos")))
+    return _counts(records, k, **how).select(*columns, F.explode(F.concat("c", none)).alias("c")).select(*columns, "c.*")
+
+
 def per_record(records: DataFrame, k: int, **how) -> DataFrame:
     """(idx, kmer, count, first_pos)"""
-    return _counts(records, k, **how).select("idx", F.explode("c").alias("c")).select("idx", "c.*")
+    return _rows(records, k, "idx", **how).where("kmer is not null")
 
 
 def global_counts(records: DataFrame, k: int, **how) -> DataFrame:
     """(kmer, count, n_records, first): first is where the k-mer first appears. A row without a k-mer stands for all records: its
     n_records is their number, those without k-mers included. K-mers become rows once and are added up before the one shuffle."""
-    none = F.array(F.struct(F.lit(None).cast("string").alias("kmer"), F.lit(0).cast("long").alias("count"), F.lit(0).alias("first_pos")))
-    rows = _counts(records, k, **how).select("idx", F.explode(F.concat("c", none)).alias("c")).select("idx", "c.*")
+    rows = _rows(records, k, "idx", **how)
     # numbers alone, which Spark adds up in place; a struct to be the least of would have all rows sorted
     added = rows.groupBy("kmer").agg(F.sum("count").alias("count"), F.count("*").alias("n_records"), F.min("idx").alias("i"), F.min_by("first_pos", "idx").alias("p"))
     return added.select("kmer", "count", "n_records", F.struct(F.col("i").alias("idx"), F.col("p").alias("first_pos")).alias("first"))
@@ -67,7 +74,7 @@ def motifs(records: DataFrame, k: int = config.Motifs.k, top: int = config.Motif
 
 def motifs_by_record(records: DataFrame, wanted: DataFrame, k: int = config.Motifs.k, **how) -> DataFrame:
     """(idx, record_id, kmer, count, freq_in_record, first_pos) of the wanted k-mers; shares are of all the record's k-mers."""
-    rows = _counts(records, k, **how).select("idx", "record_id", "total", F.explode("c").alias("c")).select("idx", "record_id", "total", "c.*")
+    rows = _rows(records, k, "idx", "record_id", "total", **how)
     kept = rows.join(wanted.select("kmer"), "kmer", "left_semi")
     return kept.select("idx", "record_id", "kmer", "count", S.tf(F.col("count"), F.col("total")).alias("freq_in_record"), "first_pos")
 

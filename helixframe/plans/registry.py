@@ -130,7 +130,7 @@ def metadata_semi_filter(spark, sf_dir):
 # Sources and sinks: what is written to the shared folder and read back ---------------------------------------------
 
 #: Documents whose encoded sequence holds no character that the readers would strip; file order is that of doc_id.
-_NUMBERED = ", n AS (SELECT *, row_number() OVER (ORDER BY idx) - 1 AS at FROM enc)"
+_NUMBERED = ", n AS (SELECT *, row_number() OVER (ORDER BY idx) - 1 AS nth FROM enc)"
 
 
 def _fasta_file(spark, sf_dir, indent: str = "") -> str:
@@ -143,22 +143,22 @@ def _fasta_file(spark, sf_dir, indent: str = "") -> str:
     return str(sinks.write_fasta(rows, path, F.col("header")))
 
 
-@query(_sql(_NUMBERED + " SELECT at AS idx, header, sha256(sequence) AS digest, length(sequence)::BIGINT AS length FROM n"))
+@query(_sql(_NUMBERED + " SELECT nth AS idx, header, sha256(sequence) AS digest, length(sequence)::BIGINT AS length FROM n"))
 def fasta_round_trip(spark, sf_dir):
     got = fasta.read_fasta(spark, _fasta_file(spark, sf_dir))
     return got.select("idx", "header", S.digest(F.col("sequence")).alias("digest"), F.length("sequence").cast("long").alias("length"))
 
 
 # each record but the first begins with what stands before the next header
-@query(_sql(_NUMBERED + " SELECT at AS idx, header, sha256(sequence || CASE WHEN at < (SELECT max(at) FROM n) THEN 'junk' ELSE '' END) AS digest FROM n"))
+@query(_sql(_NUMBERED + " SELECT nth AS idx, header, sha256(sequence || CASE WHEN nth < (SELECT max(nth) FROM n) THEN 'junk' ELSE '' END) AS digest FROM n"))
 def fasta_indented(spark, sf_dir):
     got = fasta.read_fasta(spark, _fasta_file(spark, sf_dir, indent=" \t"))
     return got.select("idx", "header", S.digest(F.col("sequence")).alias("digest"))
 
 
 # in the second dialect the text before the first header opens its sequence
-@query(_sql(_NUMBERED + """ SELECT at AS idx, record_id AS identifier, lang AS description,
-  sha256(CASE WHEN at = 0 THEN 'JTNK' ELSE '' END || sequence || CASE WHEN at < (SELECT max(at) FROM n) THEN 'JTNK' ELSE '' END) AS digest FROM n"""))
+@query(_sql(_NUMBERED + """ SELECT nth AS idx, record_id AS identifier, lang AS description,
+  sha256(CASE WHEN nth = 0 THEN 'JTNK' ELSE '' END || sequence || CASE WHEN nth < (SELECT max(nth) FROM n) THEN 'JTNK' ELSE '' END) AS digest FROM n"""))
 def records_indented(spark, sf_dir):
     got = fasta.read_records(spark, _fasta_file(spark, sf_dir, indent="  "), convert_u_to_t=True)
     return got.select("idx", "identifier", "description", S.digest(F.col("sequence")).alias("digest"))
@@ -174,7 +174,7 @@ def _metadata_file(spark, sf_dir) -> str:
     return str(sinks.write_jsonl(rows, f"{new_folder(spark, 'metadata')}/m.jsonl", "__at"))
 
 
-_METADATA = """WITH m AS (SELECT doc_id AS at, CASE WHEN doc_id % 3 > 0 THEN 'u' || doc_id % 41 END AS uid, CASE WHEN doc_id % 4 > 0 THEN 'A' || doc_id % 53 END AS acc, CASE WHEN doc_id % 8 = 0 THEN 'V' || doc_id % 17 END AS ver,
+_METADATA = """WITH m AS (SELECT doc_id AS line, CASE WHEN doc_id % 3 > 0 THEN 'u' || doc_id % 41 END AS uid, CASE WHEN doc_id % 4 > 0 THEN 'A' || doc_id % 53 END AS acc, CASE WHEN doc_id % 8 = 0 THEN 'V' || doc_id % 17 END AS ver,
   nullif(CASE WHEN doc_id % 5 > 0 THEN lang END, '') AS organism, nullif(CASE WHEN doc_id % 7 > 0 THEN source END, '') AS taxname, doc_id % 11 AS taxid, n_chars AS slen FROM documents),
  o AS (SELECT *, coalesce(organism, taxname) AS name, coalesce(acc, ver) AS key FROM m)"""
 
@@ -185,17 +185,17 @@ def metadata_round_trip(spark, sf_dir):
     return got.where("raw like '%more%'").groupBy("uid", "accession", "accessionversion", "organism", "taxname", "taxid", "slen").agg(F.count("*").alias("n"))
 
 
-@query(f"{_METADATA} SELECT key, arg_max(name, struct_pack(at := at, nth := nth)) AS organism FROM (SELECT key, name, at, CASE WHEN key IS NULL THEN NULL ELSE 0 END AS nth FROM o WHERE key IS NOT NULL UNION ALL SELECT uid, name, at, 1 FROM o WHERE uid IS NOT NULL) WHERE name IS NOT NULL GROUP BY key")
+@query(f"{_METADATA} SELECT key, arg_max(name, struct_pack(line := line, nth := nth)) AS organism FROM (SELECT key, name, line, CASE WHEN key IS NULL THEN NULL ELSE 0 END AS nth FROM o WHERE key IS NOT NULL UNION ALL SELECT uid, name, line, 1 FROM o WHERE uid IS NOT NULL) WHERE name IS NOT NULL GROUP BY key")
 def metadata_organisms(spark, sf_dir):
     return metadata.organism_lookup(metadata.read_metadata(spark, _metadata_file(spark, sf_dir)))
 
 
-@query(f"{_METADATA}, k AS (SELECT coalesce(key, uid, 'None') AS key, at, name, taxid FROM o) SELECT k.key, name AS organism, taxid FROM k JOIN (SELECT key, max(at) AS at FROM k GROUP BY key) l ON l.key = k.key AND l.at = k.at")
+@query(f"{_METADATA}, k AS (SELECT coalesce(key, uid, 'None') AS key, line, name, taxid FROM o) SELECT k.key, name AS organism, taxid FROM k JOIN (SELECT key, max(line) AS line FROM k GROUP BY key) l ON l.key = k.key AND l.line = k.line")
 def metadata_clusters(spark, sf_dir):
     return metadata.cluster_lookup(metadata.read_metadata(spark, _metadata_file(spark, sf_dir)))
 
 
-@query(f"{_METADATA}, k AS (SELECT coalesce(key, uid) AS key, at, organism FROM o WHERE coalesce(key, uid) IS NOT NULL) SELECT k.key, organism FROM k JOIN (SELECT key, max(at) AS at FROM k GROUP BY key) l ON l.key = k.key AND l.at = k.at")
+@query(f"{_METADATA}, k AS (SELECT coalesce(key, uid) AS key, line, organism FROM o WHERE coalesce(key, uid) IS NOT NULL) SELECT k.key, organism FROM k JOIN (SELECT key, max(line) AS line FROM k GROUP BY key) l ON l.key = k.key AND l.line = k.line")
 def metadata_consensus(spark, sf_dir):
     return metadata.consensus_lookup(metadata.read_metadata(spark, _metadata_file(spark, sf_dir)))
 
@@ -206,7 +206,7 @@ def metadata_table(spark, sf_dir):
 
 
 # the organism comes from the lookup where it knows the record, else from the header
-@query(f"{_METADATA}, last AS (SELECT key, arg_max(name, at) AS name FROM o WHERE acc IS NOT NULL AND name IS NOT NULL GROUP BY key) SELECT d.doc_id AS idx, coalesce(l.name, d.lang) AS organism FROM documents d LEFT JOIN last l ON l.key = 'A' || d.doc_id")
+@query(f"{_METADATA}, last AS (SELECT key, arg_max(name, line) AS name FROM o WHERE acc IS NOT NULL AND name IS NOT NULL GROUP BY key) SELECT d.doc_id AS idx, coalesce(l.name, d.lang) AS organism FROM documents d LEFT JOIN last l ON l.key = 'A' || d.doc_id")
 def resolved_organisms(spark, sf_dir):
     rows = encoding.fasta(spark, sf_dir).withColumn("header", F.concat(F.lit("A"), "idx", F.lit(" "), "lang", F.lit(" voucher "), "idx"))
     known = metadata.organism_lookup(metadata.read_metadata(spark, _metadata_file(spark, sf_dir)).where("accession != ''").drop("uid").withColumn("uid", F.lit(None).cast("string")))
@@ -231,12 +231,12 @@ def parquet_round_trip(spark, sf_dir):
 
 
 # lines keep the order they are written in
-@query("SELECT row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 AS at, lang || ' ' || doc_id AS value FROM documents")
+@query("SELECT row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 AS place, lang || ' ' || doc_id AS value FROM documents")
 def lines_round_trip(spark, sf_dir):
     rows = _table(spark, sf_dir, "documents", "doc_id", "lang", "n_chars").select((-F.col("n_chars")).alias("down"), "doc_id", F.concat("lang", F.lit(" "), "doc_id").alias("line"))
     path = sinks.write_lines(rows, f"{new_folder(spark, 'lines')}/l.txt", "line", "down", "doc_id")
     text = spark.read.text(str(path)).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"))
-    return fasta.ordinals(text, "path", "block").select(F.col("idx").alias("at"), "value")
+    return fasta.ordinals(text, "path", "block").select(F.col("idx").alias("place"), "value")
 
 
 @query("SELECT count(*) AS total_records, count(*) FILTER (lang = 'de') AS kept_records, 'ß \"x\"' AS note FROM documents")
