@@ -190,12 +190,12 @@ def metadata_organisms(spark, sf_dir):
     return metadata.organism_lookup(metadata.read_metadata(spark, _metadata_file(spark, sf_dir)))
 
 
-@query(f"{_METADATA}, k AS (SELECT coalesce(key, uid, 'None') AS key, line, name, taxid FROM o) SELECT k.key, name AS organism, taxid FROM k JOIN (SELECT key, max(line) AS line FROM k GROUP BY key) l ON l.key = k.key AND l.line = k.line")
+@query(f"{_METADATA}, k AS (SELECT coalesce(acc, uid, 'None') AS key, line, name, taxid FROM o) SELECT k.key, name AS organism, taxid FROM k JOIN (SELECT key, max(line) AS line FROM k GROUP BY key) l ON l.key = k.key AND l.line = k.line")
 def metadata_clusters(spark, sf_dir):
     return metadata.cluster_lookup(metadata.read_metadata(spark, _metadata_file(spark, sf_dir)))
 
 
-@query(f"{_METADATA}, k AS (SELECT coalesce(key, uid) AS key, line, organism FROM o WHERE coalesce(key, uid) IS NOT NULL) SELECT k.key, organism FROM k JOIN (SELECT key, max(line) AS line FROM k GROUP BY key) l ON l.key = k.key AND l.line = k.line")
+@query(f"{_METADATA}, k AS (SELECT coalesce(acc, uid) AS key, line, organism FROM o WHERE coalesce(acc, uid) IS NOT NULL) SELECT k.key, organism FROM k JOIN (SELECT key, max(line) AS line FROM k GROUP BY key) l ON l.key = k.key AND l.line = k.line")
 def metadata_consensus(spark, sf_dir):
     return metadata.consensus_lookup(metadata.read_metadata(spark, _metadata_file(spark, sf_dir)))
 
@@ -396,9 +396,9 @@ def longest_representative(spark, sf_dir):
     return out.select("cluster_id", "size", S.digest(F.col("sequence")).alias("digest"), "length", "status", "note")
 
 
-#: The first 400 bases of each record. A fold in SQL looks at all overlaps of two sequences, which is dear, so these are short;
+#: The first bases of each record. A fold in SQL looks at all overlaps of two sequences, which is dear, so these are short;
 #: consensus_merge below runs over whole sequences.
-_SHORT = 400
+_SHORT = 240
 
 
 def _fold_sql() -> str:
