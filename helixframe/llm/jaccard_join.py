@@ -46,6 +46,8 @@ LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 LEVELS = (2, 8, 64, 1024)
 GROUPS = (64, 4096)
 QUERIES = 512
+#: About how many groups a row of the matrix lists at most.
+ROW = 2048
 
 
 class Words(dict):
@@ -296,16 +298,18 @@ def join(df: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5), id_col
         F.when(F.col("root").isNotNull(), F.struct(F.lit(1).alias("whole"), F.col("root").alias("key"), lot(F.col("size")).alias("lot"))).otherwise(F.struct(F.lit(0).alias("whole"), F.col("k0.token").alias("key"), lot(F.col("k0.holders")).alias("lot"))).alias("grp"),
     )
     info = stash(info, "jaccard-groups")
-    held = at.select("token", "doc").join(info, "doc")
+    held = at.select("token", "doc", "holders").join(info, "doc")
     # the pairs inside the largest component at a token need no look
     major = held.groupBy("token", "label").agg(F.count("*").alias("c")).groupBy("token").agg(F.max(F.struct("c", "label"))["label"].alias("major"), F.count("*").alias("labels")).where("labels > 1").select("token", "major")
     major = stash(major, "jaccard-major")
     held = stash(held.join(major, "token"), "jaccard-held")
     cell = F.struct("grp", "least", "most", "of_major")
-    cells = held.groupBy("token", "grp").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("label") == F.col("major")).alias("of_major"))
-    # a row of the matrix lists a token's groups, of which there are about the root of its holders; a query document takes the
-    # rows of its tokens and makes the groups in them distinct before any becomes a row of its own
-    matrix = stash(cells.groupBy("token").agg(F.collect_list(cell).alias("row")), "jaccard-matrix")
+    cells = held.groupBy("token", "grp").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("label") == F.col("major")).alias("of_major"), F.first("holders").alias("holders"))
+    # a row of the matrix lists a token's groups, of which there are about the root of its holders where these are alike; a token of
+    # many has several rows. A query document takes the rows of its tokens and makes the groups in them distinct before
+    # any becomes a row of its own
+    matrix = cells.groupBy("token", F.pmod(F.xxhash64("grp"), F.ceil(F.col("holders") / ROW)).alias("nth")).agg(F.collect_list(cell).alias("row"))
+    matrix = stash(matrix.drop("nth"), "jaccard-matrix")
     query = held.where("label != major").select("token", "doc", "n", "label", F.col("grp").alias("own"))
     # overlap >= t * max(sizes), so sizes of partners are within t of each other
     num, den = t.numerator, t.denominator

@@ -77,6 +77,14 @@ def test_small_groups_lose_no_link(docs, words, monkeypatch):
     assert joined(docs(rows), 3, Fraction(4, 5)) == brute(rows, 3, Fraction(4, 5))
 
 
+def test_more_tokens_than_bit_tables_hold_and_short_rows(docs, words, monkeypatch):
+    monkeypatch.setattr(J.frequency, "MAX_KEYS", 0)
+    monkeypatch.setattr(J, "ROW", 2)
+    monkeypatch.setattr(J, "GROUPS", (2, 4))
+    rows = corpus(12, words, 4, 12) + [(None, "a b c")]
+    assert joined(docs(rows), 3, Fraction(4, 5)) == brute(rows, 3, Fraction(4, 5))
+
+
 def test_the_bound_opens_no_hopeless_group():
     a = np.arange(10, dtype=np.uint64)
     g = J.Group([1, 2], [a, a + np.uint64(2)])
