@@ -7,8 +7,9 @@ be taken for a repeated one; the other way round it never errs. Callers use the
 certainly alone. How many bits and ranges there are follows from the number of values (``Spread``), so that neither the share
 of false answers nor a range's size grows with the input.
 
-A bit table holds such values (or row keys) for a look-up in Python workers. It has 16 bits a key and at most ``MAX_BITS`` (16 MB).
-Callers look only up to ``MAX_KEYS`` keys up in one; beyond, they join, which shuffles more and has no bound.
+A bit table holds such values (or row keys) for a look-up in Python workers. It has 16 bits a key, up to ``MAX_BITS`` (16 MB). With
+``MAX_KEYS`` keys it lets two of five other rows through; callers use none for more keys than that, but join, which shuffles
+more and has no bound.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ MOST_RANGES = 1 << 18
 REPEATS = 256
 MAX_BITS = 1 << 27
 MIN_BITS = 1 << 16
-MAX_KEYS = MAX_BITS // 16
+MAX_KEYS = MAX_BITS // 2
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 

@@ -176,12 +176,12 @@ def scan(docs: DataFrame, n: int, spread: Spread) -> DataFrame:
     return stash_map(docs, run, "doc long, n long, f1 long, f2 long, range int, packed binary", "jaccard-scan")
 
 
-def prefixes(docs: DataFrame, n: int, t: Fraction, spread: Spread, shared: DataFrame) -> DataFrame:
+def prefixes(docs: DataFrame, n: int, t: Fraction, spread: Spread, shared: DataFrame, sizes: DataFrame) -> DataFrame:
     """(doc, token): the tokens of each document's prefix that may be in another document too, stashed. shared: (value, n) of
-    tokens seen more than once. They are looked up in bit tables by frequency; where they are too many, tokens are joined to them."""
+    tokens seen more than once; sizes: (doc, n). Tokens are looked up in bit tables by frequency; where they are too many, tokens are joined to them."""
     spark = docs.sparkSession
     if shared.count() > frequency.MAX_KEYS:
-        return stash(_joined_prefixes(docs, n, t, spread, shared), "jaccard-prefixes")
+        return stash(_joined_prefixes(docs, n, t, spread, shared, sizes), "jaccard-prefixes")
     sent = Shared(spark, [bit_table(shared.where(F.col("n") >= x), "value", hashed=False) for x in LEVELS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,21 +210,19 @@ def prefixes(docs: DataFrame, n: int, t: Fraction, spread: Spread, shared: DataF
     return out
 
 
-def _joined_prefixes(docs: DataFrame, n: int, t: Fraction, spread: Spread, shared: DataFrame) -> DataFrame:
+def _joined_prefixes(docs: DataFrame, n: int, t: Fraction, spread: Spread, shared: DataFrame, sizes: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for keys, texts in slices(batches):
             sets = [shingles(x, n, words) if k is not None else np.zeros(0, np.uint64) for k, x in zip(keys, texts)]
-            size = np.array([len(s) for s in sets], np.int64)
-            room = size - np.array([needed(int(k), t) for k in size], np.int64) + 1
-            who = np.repeat([k or 0 for k in keys], size).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)), pa.array(np.repeat(size, size)), pa.array(np.repeat(room, size))], ["doc", "token", "n", "room"])
+            who = np.repeat([k or 0 for k in keys], [len(s) for s in sets]).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64))], ["doc", "token"])
 
-    tokens = docs.mapInArrow(run, "doc long, token long, n long, room long").join(shared.withColumnRenamed("n", "seen"), F.shiftrightunsigned("token", 64 - spread.bits) == F.col("value"))
+    tokens = docs.mapInArrow(run, "doc long, token long").join(shared.withColumnRenamed("n", "seen"), F.shiftrightunsigned("token", 64 - spread.bits) == F.col("value"))
     level = sum((F.when(F.col("seen") >= x, 1).otherwise(0) for x in LEVELS), F.lit(0))
+    per = tokens.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct(level.alias("level"), "token"))).alias("all")).join(sizes, "doc")
     # a set's unshared tokens take their places in the prefix first
-    per = tokens.groupBy("doc").agg(F.first("n").alias("n"), F.first("room").alias("room"), F.array_sort(F.collect_list(F.struct(level.alias("level"), "token"))).alias("all"))
-    left = F.col("room") - (F.col("n") - F.size("all"))
+    left = F.expr(f"size(all) - ({t.numerator} * n + {t.denominator - 1}) div {t.denominator} + 1")
     return per.where(left > 0).select("doc", F.explode(F.slice("all", F.lit(1), left.cast("int"))).alias("x")).select("doc", F.col("x.token").alias("token"))
 
 
@@ -268,7 +266,7 @@ def join(df: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5), id_col
     # tokens in more than one document, by frequency
     shared = stash(repeated(scanned.where("range is not null")), "jaccard-tokens")
     drop(scanned)
-    found = prefixes(docs, n, t, spread, shared)
+    found = prefixes(docs, n, t, spread, shared, member.where("doc is not null").select("doc", "n").distinct())
     drop(shared)
     own = found.join(member.where("doc = rep").select("doc").distinct(), "doc", "left_semi").distinct()
     own = stash(own, "jaccard-own")
