@@ -32,7 +32,7 @@ def _pieces(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     header of a file, a row a file at most.
 
     Spark's line separator takes a file apart at lines that begin with >, among many tasks; lines in which white space
-    stands before the > are found within these pieces."""
+    stands before the > are found within these pieces. A file of which no line begins with > is one piece, and one task's."""
     text = spark.read.option("lineSep", "\n>").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), "value", F.monotonically_increasing_id().alias("k"))
     start = text.groupBy("path").agg(F.min(F.struct("block", "k")).alias("first"))  # a row a file
     text = text.join(F.broadcast(start), "path")
