@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from helixframe import sinks
@@ -56,6 +58,47 @@ def test_headers_after_white_space_in_many_splits(spark, tmp_path):
     assert [(r[0], r[1], r[3]) for r in own] == [(i, f"r{i}", "LEAD" * (i == 0) + "ACGT" * (i % 7)) for i in range(3000)]
 
 
+def reference_records(text):
+    """(header, sequence) by lines, as the reference reads them."""
+    out = []
+    for line in text.replace("\r\n", "\n").replace("\r", "\n").split("\n"):
+        line = line.strip()
+        if line.startswith(">"):
+            out.append([line[1:], ""])
+        elif out:
+            out[-1][1] += line
+    return [(i, *r) for i, r in enumerate(out)]
+
+
+def test_indented_headers_are_read_by_many_tasks(spark, tmp_path):
+    """A file of which no line begins with > was one row of one task."""
+    (tmp_path / "big.fasta").write_text("lead\n" + "".join(f" \t>r{i}\n{'ACGT' * 20}\n" for i in range(2000)))
+    before = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = fasta.read_fasta(spark, f"file://{tmp_path}/big.fasta")
+        assert rows(got) == [(i, f"r{i}", "ACGT" * 20) for i in range(2000)]
+        assert got.select(F.spark_partition_id()).distinct().count() > 1
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+
+
+def test_odd_marks_over_splits_of_any_size(spark, tmp_path):
+    rng = random.Random(3)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for _ in range(3):
+            text = "".join(rng.choice([">", ">", " ", "\n", "\n", "\r\n", "\t>", "\n>", "A", "CG", "\n >", "x"]) for _ in range(rng.choice([3, 40, 150])))
+            (tmp_path / "odd.fasta").write_bytes(text.encode())
+            for size in ("7", "31"):
+                spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+                assert rows(fasta.read_fasta(spark, f"file://{tmp_path}/odd.fasta")) == reference_records(text), (text, size)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_second_dialect(spark, tmp_path):
     (tmp_path / "r.fasta").write_text("AA\n>seq1 description here\nacgt\ntgca\n> b  c\nUUuu\n>\nA\n")
     got = rows(fasta.read_records(spark, f"file://{tmp_path}/r.fasta", convert_u_to_t=True))
