@@ -38,6 +38,22 @@ def test_merge_against_the_plain_rule():
             assert N.merge(x, y, 5, 0.8) == slow_merge(x, y, 5, 0.8)
 
 
+def test_long_sequences_are_not_tried_an_overlap_at_a_time(monkeypatch):
+    rng = random.Random(2)
+    whole = "".join(rng.choice("ACGT") for _ in range(40_000))
+    a, b = whole[:30_000], whole[25_000:]
+    calls = []
+    real = N.resolved
+    monkeypatch.setattr(N, "resolved", lambda *x: calls.append(1) or real(*x))
+    monkeypatch.setattr(N, "overlap_identity", lambda *x: calls.append(1) or 0.0)
+    assert N.merge(a, b, 80, 0.97) == whole and N.merge(b, a, 80, 0.97) == whole and len(calls) == 2
+    # copies of what was tried are not tried again
+    tried = []
+    real_merge = N.merge
+    monkeypatch.setattr(N, "merge", lambda *x: tried.append(x[1]) or real_merge(*x))
+    assert N.fold([a, "C" * 300, b] + ["C" * 300] * 50, "kmer", 80, 0.97, 0.05) == (whole, "ok", "") and len(tried) == 2
+
+
 def test_merge_cases():
     assert N.merge("AAACCC", "CCCGGG", 3, 1.0) == "AAACCCGGG"
     assert N.merge("CCCGGG", "AAACCC", 3, 1.0) == "AAACCCGGG"  # the other way round
