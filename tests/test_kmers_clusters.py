@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
+from helixframe.functions import windows as W
 from helixframe.operators import cluster as C
 from helixframe.operators import graph
 from helixframe.operators import kmers as K
@@ -92,6 +93,40 @@ def test_edges_against_all_pairs(spark, cap):
     assert (pairs.count(), was_hit) == (n, hit)
 
 
+def test_uncapped_pairs_are_not_all_joined(spark, monkeypatch):
+    """Frequent k-mers made the join quadratic; now it takes rare ones, sets once, and pairs that a bound leaves possible."""
+    rng = random.Random(9)
+    letters = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    common = letters(40)
+    seqs = [common + letters(120) for _ in range(60)] + [letters(200)] * 20 + ["NNNN", "", "ACG"]
+    seqs += [s[: rng.randint(100, 160)] for s in seqs[:20]]
+    made = []
+    real = C._close
+    monkeypatch.setattr(C, "_close", lambda *a: made.append(real(*a)) or made[-1])
+    monkeypatch.setattr(C, "BLOCK", 400)  # components are cut into several blocks
+    monkeypatch.setattr(C, "drop", lambda *a: None)
+    for t in (0.35, 0.0, 1.0):
+        want, _, _ = brute(seqs, 9, t)
+        links, _, _ = C.edges(records(spark, seqs), 9, t, None)
+        assert {(r["i"], r["j"]): r["jaccard"] for r in links.collect()} == pytest.approx(want)
+    assert made[0].count() < 100  # of the 60 * 59 / 2 pairs that share k-mers
+
+
+def test_numbers_of_kmers():
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(a) for _ in range(rng.randint(0, 50))) for a in ["ACGT", "ACGTN", "ACGNX", "ACGTÉ\U0001f600"] * 8]
+    comp = str.maketrans("ACGT", "TGCA")
+    for k in (1, 3, 9, 31, 33):
+        for ignore_n in (True, False):
+            for canonical in (True, False):
+                found = [(i, t[p : p + k]) for i, t in enumerate(texts) for p in range(len(t) - k + 1)]
+                want = [(i, min(w, w[::-1].translate(comp)) if canonical else w) for i, w in found if not (ignore_n and "N" in w)]
+                letters, start, record, code = W.codes(texts, k, ignore_n, canonical)
+                spelled = [x.decode() if isinstance(x, bytes) else x for x in W.spelled(letters, start, code, k, canonical)]
+                assert list(zip(record.tolist(), spelled)) == want
+                assert len(set(code.tolist())) == len({w for _, w in want}) == len(set(zip(code.tolist(), spelled)))
+
+
 def test_clusters(spark):
     seqs = random_seqs(3, 40)
     links, _, _ = C.edges(records(spark, seqs), 5, 0.5)
