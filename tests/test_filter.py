@@ -80,3 +80,10 @@ def test_counts(spark):
 
 def test_empty_input(spark):
     assert Q.annotate(records(spark, []), dedupe=True, max_per_organism=1).count() == 0
+
+
+def test_sequences_are_cleaned_once(spark):
+    """A condition on what is measured was moved before the cleaning, which it then repeated for each use."""
+    rows = spark.createDataFrame([(0, "ac-gtn r", "x")], "idx long, sequence string, organism string")
+    plan = Q.quality(Q.measured(rows, "DNA")).where("reason is null")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[^ACGTN]") == 1 and plan.count("upper(") == 1
