@@ -2,13 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .. import config
 from ..functions import sequences as S
+from ..functions import windows
 from ..scratch import stash
 
+#: Letters, about, whose k-mers a task adds up before they become rows.
+MANY = 1 << 22
+#: Up to so many wanted k-mers are looked for where records are counted; more are joined.
+WANTED = 10_000
+
 
 def sequences_of(fasta: DataFrame) -> DataFrame:
     """(idx, record_id, sequence) of a FASTA table: the header's first token, and the sequence stripped and upper-cased."""
@@ -22,36 +34,83 @@ def explode_kmers(records: DataFrame, k: int, ignore_n: bool = True, canonical:
     return records.select("idx", F.posexplode(S.kmers(F.col("sequence"), k, ignore_n, fold)).alias("pos", "kmer"))
 
 
-def _counts(records: DataFrame, k: int, ignore_n: bool = True, canonical: bool = False, alphabet: str = "AUTO") -> DataFrame:
-    """records with ``c``, the (kmer, count, first_pos) of their distinct k-mers, and how many k-mers there are in all. Counted
-    within the row: a record's k-mers need none of another's, so nothing is shuffled."""
+def _folds(k: int, canonical: bool, alphabet: str) -> bool:
     config.check_k(k)
-    fold = config.canonical_applies(canonical, config.check_alphabet(alphabet))
-    # a step each: what several lambdas read has to be a column of its own
-    placed = records.withColumn("__placed", S.counted(S.kmers(F.coalesce("sequence", F.lit("")), k, ignore_n, fold)))
-    starts = placed.withColumn("__starts", S.run_starts(F.col("__placed")))
-    return starts.select(*records.columns, S.run_counts(F.col("__placed"), F.col("__starts")).alias("c"), F.size("__placed").cast("long").alias("total"))
+    return config.canonical_applies(canonical, config.check_alphabet(alphabet))
+
+
+def _texts(found: np.ndarray | list) -> pa.Array:
+    return pa.array(found, pa.binary() if isinstance(found, np.ndarray) else pa.string()).cast(pa.string())
+
+
+def _places(record: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where each record's k-mers begin, and each k-mer's place in its record."""
+    begin = np.searchsorted(record, np.arange(n + 1))
+    return begin, np.arange(len(record)) - begin[record]
+
 
+def _rows(records: DataFrame, k: int, *columns: str, wanted: list[str] | None = None, ignore_n: bool = True, canonical: bool = False, alphabet: str = "AUTO") -> DataFrame:
+    """columns, total and (kmer, count, first_pos) of each record's distinct k-mers, or of the wanted ones; total is the number of all
+    its k-mers. Counted within the record: it needs none of another's, so nothing is shuffled."""
+    fold = _folds(k, canonical, alphabet)
+    kept = records.select(*columns, "sequence")
+    names = [*columns, "total", "kmer", "count", "first_pos"]
 
-def _rows(records: DataFrame, k: int, *columns: str, **how) -> DataFrame:
-    """columns and (kmer, count, first_pos) of each record's distinct k-mers, and a row without a k-mer for each record.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        want = None if wanted is None else np.sort(windows.codes([w for w in wanted if len(w) == k], k, ignore_n=False)[3])
+        for cells, texts in windows.chunks(batches, len(columns) + 1):
+            letters, start, record, code = windows.codes(texts, k, ignore_n, fold)
+            begin, pos = _places(record, len(texts))
+            total = np.diff(begin)
+            if want is not None:
+                here = np.isin(code, want)
+                start, record, code, pos = start[here], record[here], code[here], pos[here]
+                begin, _ = _places(record, len(texts))
+            each = [np.unique(code[x:y], return_index=True, return_counts=True) for x, y in zip(begin[:-1], begin[1:])]
+            who = np.repeat(np.arange(len(texts)), [len(e[0]) for e in each])
+            at = np.concatenate([e[1] + x for e, x in zip(each, begin)])
+            n = np.concatenate([e[2] for e in each])
+            out = [*[c.take(pa.array(who)) for c in cells], pa.array(total[who], pa.int64()), _texts(windows.spelled(letters, start[at], code[at], k, fold)), pa.array(n, pa.int64()), pa.array(pos[at], pa.int32())]
+            yield pa.RecordBatch.from_arrays(out, names)
 
-    That row also keeps the optimizer from asking before whether there are any, which would count again for the answer."""
-    none = F.array(F.struct(F.lit(None).cast("string").alias("kmer"), F.lit(0).cast("long").alias("count"), F.lit(0).alias("first_pos")))
-    return _counts(records, k, **how).select(*columns, F.explode(F.concat("c", none)).alias("c")).select(*columns, "c.*")
+    schema = StructType([*kept.schema.fields[:-1], *StructType.fromDDL("total long, kmer string, count long, first_pos int").fields])
+    return kept.mapInArrow(run, schema)
 
 
 def per_record(records: DataFrame, k: int, **how) -> DataFrame:
     """(idx, kmer, count, first_pos)"""
-    return _rows(records, k, "idx", **how).where("kmer is not null")
+    return _rows(records, k, "idx", **how).drop("total")
 
 
-def global_counts(records: DataFrame, k: int, **how) -> DataFrame:
+def global_counts(records: DataFrame, k: int, ignore_n: bool = True, canonical: bool = False, alphabet: str = "AUTO") -> DataFrame:
     """(kmer, count, n_records, first): first is where the k-mer first appears. A row without a k-mer stands for all records: its
-    n_records is their number, those without k-mers included. K-mers become rows once and are added up before the one shuffle."""
-    rows = _rows(records, k, "idx", **how)
+    n_records is their number, those without k-mers included. K-mers of many records are added up before they become rows."""
+    fold = _folds(k, canonical, alphabet)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (idx,), texts in windows.chunks(batches, 2, MANY):
+            by = pc.sort_indices(idx).to_numpy()  # of records with a k-mer the lowest comes first
+            idx, texts = idx.take(pa.array(by)), [texts[i] for i in by]
+            letters, start, record, code = windows.codes(texts, k, ignore_n, fold)
+            _, pos = _places(record, len(texts))
+            order = np.argsort(code, kind="stable")
+            code, record = code[order], record[order]
+            new = np.ones(len(code), bool)
+            new[1:] = code[1:] != code[:-1]
+            other = new.copy()
+            other[1:] |= record[1:] != record[:-1]
+            at = np.flatnonzero(new)
+            n = np.diff(np.append(at, len(code)))
+            holders = np.add.reduceat(other, at, dtype=np.int64) if len(at) else n
+            first = order[at]
+            none = pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([0], pa.int64()), pa.array([len(texts)], pa.int64()), idx.slice(0, 1), pa.array([0], pa.int32())], names)
+            yield none
+            yield pa.RecordBatch.from_arrays([_texts(windows.spelled(letters, start[first], code[at], k, fold)), pa.array(n, pa.int64()), pa.array(holders, pa.int64()), idx.take(pa.array(record[at])), pa.array(pos[first], pa.int32())], names)
+
+    names = ["kmer", "count", "n_records", "i", "p"]
+    rows = records.select(F.col("idx").cast("long").alias("idx"), "sequence").mapInArrow(run, "kmer string, count long, n_records long, i long, p int")
     # numbers alone, which Spark adds up in place; a struct to be the least of would have all rows sorted
-    added = rows.groupBy("kmer").agg(F.sum("count").alias("count"), F.count("*").alias("n_records"), F.min("idx").alias("i"), F.min_by("first_pos", "idx").alias("p"))
+    added = rows.groupBy("kmer").agg(F.sum("count").alias("count"), F.sum("n_records").alias("n_records"), F.min("i").alias("i"), F.min_by("p", "i").alias("p"))
     return added.select("kmer", "count", "n_records", F.struct(F.col("i").alias("idx"), F.col("p").alias("first_pos")).alias("first"))
 
 
@@ -74,8 +133,11 @@ def motifs(records: DataFrame, k: int = config.Motifs.k, top: int = config.Motif
 
 def motifs_by_record(records: DataFrame, wanted: DataFrame, k: int = config.Motifs.k, **how) -> DataFrame:
     """(idx, record_id, kmer, count, freq_in_record, first_pos) of the wanted k-mers; shares are of all the record's k-mers."""
-    rows = _rows(records, k, "idx", "record_id", "total", **how)
-    kept = rows.join(wanted.select("kmer"), "kmer", "left_semi")
+    some = [r["kmer"] for r in wanted.select("kmer").limit(WANTED + 1).collect()]
+    if len(some) <= WANTED:
+        kept = _rows(records, k, "idx", "record_id", wanted=some, **how)
+    else:
+        kept = _rows(records, k, "idx", "record_id", **how).join(wanted.select("kmer"), "kmer", "left_semi")
     return kept.select("idx", "record_id", "kmer", "count", S.tf(F.col("count"), F.col("total")).alias("freq_in_record"), "first_pos")
 
 

@@ -68,6 +68,21 @@ def test_by_record_shares_are_of_all_its_kmers(spark):
     assert got == {("r1", "GG"): 1.0, ("r0", "AA"): 2 / 3}
 
 
+def test_wanted_kmers_are_looked_for_or_joined(spark, monkeypatch):
+    """Records' k-mers are counted in batches as numbers; each one was a row of a sort within its record."""
+    seqs = random_seqs(6, 40) + ["", "NN", "ACGTÉACGTÉ"]
+    rows = records(spark, seqs)
+    want = {(i, w, n, windows(s, 3).index(w)) for i, s in enumerate(seqs) for w, n in Counter(windows(s, 3)).items()}
+    assert {tuple(r) for r in K.per_record(rows, 3).collect()} == want
+    top = K.motifs(rows, 3, top=7)
+    kept = {r["kmer"] for r in top.collect()}
+    for most in (7, 6):
+        monkeypatch.setattr(K, "WANTED", most)
+        got = K.motifs_by_record(rows, top, 3)
+        assert ("Join" in got._jdf.queryExecution().optimizedPlan().toString()) == (most == 6)
+        assert {(r["idx"], r["kmer"], r["count"], r["first_pos"]) for r in got.collect()} == {x for x in want if x[1] in kept}
+
+
 def test_canonical_is_off_for_rna(spark):
     rows = records(spark, ["TTT"])
     assert K.motifs(rows, 3, canonical=True).first()["kmer"] == "AAA"
