@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..scratch import drop, file_system, free_shuffles, new_folder, small_batches, stash, stash_map
+from ..scratch import drop, file_system, free_shuffles, new_folder, small_batches, stash, stash_map, stash_slim
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
@@ -25,7 +25,7 @@ def keyed(df: DataFrame, nulls: bool) -> tuple[DataFrame, DataFrame]:
     from pyspark.sql import functions as F
 
     several = df.groupBy("doc_id").agg(F.count("*").alias("n")).where("doc_id is null or n > 1" if nulls else "doc_id is not null and n > 1")
-    several = stash(several.select(F.col("doc_id").alias("id")), "keys-ids")
+    several = stash_slim(several.select(F.col("doc_id").alias("id")), "keys-ids")
     if several.isEmpty():
         return df.withColumn("key", F.col("doc_id")), several.select(F.col("id").alias("key"), F.col("id").alias("doc_id"))
     least, most = df.agg(F.min("doc_id"), F.max("doc_id")).first()
@@ -33,7 +33,7 @@ def keyed(df: DataFrame, nulls: bool) -> tuple[DataFrame, DataFrame]:
     texts = df.select("doc_id", *[c.alias(x) for x, c in marks.items()])
     texts = texts.join(several, texts["doc_id"].eqNullSafe(several["id"]), "left_semi").distinct()
     number = F.monotonically_increasing_id()
-    new = stash(texts.select(F.col("doc_id").alias("id"), F.col("__m1").alias("m1"), F.col("__m2").alias("m2"), (number + ((most or 0) + 1) if (most or 0) < 1 << 62 else (least - 1) - number).alias("new")), "keys-new")
+    new = stash_slim(texts.select(F.col("doc_id").alias("id"), F.col("__m1").alias("m1"), F.col("__m2").alias("m2"), (number + ((most or 0) + 1) if (most or 0) < 1 << 62 else (least - 1) - number).alias("new")), "keys-new")
     drop(several)
     marked = df.withColumns(marks)
     met = marked.join(new, marked["doc_id"].eqNullSafe(new["id"]) & (F.col("__m1") == F.col("m1")) & (F.col("__m2") == F.col("m2")), "left")
@@ -53,10 +53,10 @@ def in_order(df: DataFrame) -> tuple[DataFrame, bool]:
     if bad.isEmpty():
         return df.withColumn("key", F.col("doc_id")), True
     marks = {"__m1": F.xxhash64("text"), "__m2": F.xxhash64(F.lit(1), "text")}
-    slim = stash(df.select("doc_id", *[c.alias(x) for x, c in marks.items()]).distinct(), "keys-marks")
+    slim = stash_slim(df.select("doc_id", *[c.alias(x) for x, c in marks.items()]).distinct(), "keys-marks")
     by = (F.col("doc_id").asc_nulls_last(), "__m1", "__m2")
     numbered = slim.repartitionByRange(cores(spark), *by).sortWithinPartitions(*by)
-    numbered = stash(numbered.select(F.col("doc_id").alias("id"), F.col("__m1").alias("m1"), F.col("__m2").alias("m2"), F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("nth")), "keys-numbered")
+    numbered = stash_slim(numbered.select(F.col("doc_id").alias("id"), F.col("__m1").alias("m1"), F.col("__m2").alias("m2"), F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("nth")), "keys-numbered")
     drop(slim)
     before, rows = 0, []
     for r in numbered.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect():  # a row a partition
@@ -123,4 +123,4 @@ def read_files(spark: SparkSession, folder: str, uris: list[str]) -> DataFrame:
     return found.join(F.broadcast(names), F.substring_index("path", "/", -1) == F.col("name"), "left_semi")
 
 
-__all__ = ["FileSink", "Shared", "cores", "drop", "free_shuffles", "in_order", "keyed", "new_folder", "read_files", "small_batches", "stash", "stash_map", "table"]
+__all__ = ["FileSink", "Shared", "cores", "drop", "free_shuffles", "in_order", "keyed", "new_folder", "read_files", "small_batches", "stash", "stash_map", "stash_slim", "table"]

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import Forest, components
 from . import frequency
-from .common import Shared, cores, drop, free_shuffles, keyed, stash, stash_map, table
+from .common import Shared, cores, drop, free_shuffles, keyed, stash, stash_map, stash_slim, table
 from .frequency import Packer, Spread, bit_table, mix, repeated
 
 #: A-Z to a-z; words are then what bytes.split() gives, cut at 0x20 and 0x09 to 0x0D.
@@ -181,7 +181,7 @@ def prefixes(docs: DataFrame, n: int, t: Fraction, spread: Spread, shared: DataF
     tokens seen more than once; sizes: (doc, n). Tokens are looked up in bit tables by frequency; where they are too many, tokens are joined to them."""
     spark = docs.sparkSession
     if shared.count() > frequency.MAX_KEYS:
-        return stash(_joined_prefixes(docs, n, t, spread, shared, sizes), "jaccard-prefixes")
+        return stash_slim(_joined_prefixes(docs, n, t, spread, shared, sizes), "jaccard-prefixes")
     sent = Shared(spark, [bit_table(shared.where(F.col("n") >= x), "value", hashed=False) for x in LEVELS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,7 +243,7 @@ def sets_of(docs: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc", "n", "tokens"])
 
     found = docs.mapInArrow(run, "doc long, n long, tokens binary")
-    out = stash(found.join(wanted, "doc", "left_semi").dropDuplicates(["doc"]), "jaccard-sets")
+    out = stash_slim(found.join(wanted, "doc", "left_semi").dropDuplicates(["doc"]), "jaccard-sets")
     sent.drop()
     return out
 
@@ -260,8 +260,8 @@ def join(df: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5), id_col
     rows = ids(scanned.where("range is null").select("doc", "n", "f1", "f2"), "doc")
 
     # classes of equal sets
-    classes = stash(rows.where("n > 0 and doc is not null").groupBy("f1", "f2", "n").agg(F.min_by("doc", "doc_id").alias("rep"), F.min("doc_id").alias("least"), F.count("*").alias("copies")).where("copies > 1").drop("copies"), "jaccard-classes")
-    member = stash(rows.join(classes, ["f1", "f2", "n"], "left").select("doc", "doc_id", "n", *[F.when(F.col("doc").isNotNull(), F.coalesce(a, b)).alias(a) for a, b in (("rep", "doc"), ("least", "doc_id"))]), "jaccard-members")
+    classes = stash_slim(rows.where("n > 0 and doc is not null").groupBy("f1", "f2", "n").agg(F.min_by("doc", "doc_id").alias("rep"), F.min("doc_id").alias("least"), F.count("*").alias("copies")).where("copies > 1").drop("copies"), "jaccard-classes")
+    member = stash_slim(rows.join(classes, ["f1", "f2", "n"], "left").select("doc", "doc_id", "n", *[F.when(F.col("doc").isNotNull(), F.coalesce(a, b)).alias(a) for a, b in (("rep", "doc"), ("least", "doc_id"))]), "jaccard-members")
 
     # tokens in more than one document, by frequency
     shared = stash(repeated(scanned.where("range is not null")), "jaccard-tokens")
@@ -269,13 +269,13 @@ def join(df: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5), id_col
     found = prefixes(docs, n, t, spread, shared, member.where("doc is not null").select("doc", "n").distinct())
     drop(shared)
     own = found.join(member.where("doc = rep").select("doc").distinct(), "doc", "left_semi").distinct()
-    own = stash(own, "jaccard-own")
+    own = stash_slim(own, "jaccard-own")
     drop(found, classes)
-    often = stash(own.groupBy("token").agg(F.count("*").alias("holders")).where("holders > 1"), "jaccard-often")
-    at = stash(own.join(often, "token"), "jaccard-open")
+    often = stash_slim(own.groupBy("token").agg(F.count("*").alias("holders")).where("holders > 1"), "jaccard-often")
+    at = stash_slim(own.join(often, "token"), "jaccard-open")
     drop(own, often)
     free_shuffles(spark)
-    wanted = stash(at.select("doc").distinct(), "jaccard-wanted")
+    wanted = stash_slim(at.select("doc").distinct(), "jaccard-wanted")
     sets = sets_of(docs, n, wanted)
     drop(wanted)
 
@@ -283,42 +283,42 @@ def join(df: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5), id_col
     share = lambda size: F.greatest(F.lit(GROUPS[0]), F.least(F.lit(GROUPS[1]), 4 * F.sqrt(size)))
     lot = lambda size: F.pmod(F.xxhash64("doc"), F.ceil(size / share(size)))
     by_token = at.groupBy("doc").agg(F.min(F.struct("token", "holders")).alias("k0"), F.max(F.struct("token", "holders")).alias("k1"))
-    by_token = stash(by_token, "jaccard-keys")
+    by_token = stash_slim(by_token, "jaccard-keys")
     dealt = by_token.select("doc", F.posexplode(F.array("k0", "k1")).alias("turn", "k")).select("doc", "turn", F.col("k.token").alias("key"), lot(F.col("k.holders")).alias("lot"))
     first = stash(dealt.join(sets.select("doc", "tokens"), "doc").groupBy("turn", "key", "lot").applyInArrow(self_links(t), "a long, b long"), "jaccard-links")
-    roots = components(first, "jaccard-roots")
+    roots = components(first, "jaccard-roots", stash_slim)
 
     # 2. groups of components, and of single documents by token; the matrix; the candidates
-    size = stash(roots.groupBy("root").agg(F.count("*").alias("size")), "jaccard-sizes")
+    size = stash_slim(roots.groupBy("root").agg(F.count("*").alias("size")), "jaccard-sizes")
     labelled = sets.select("doc", "n").join(roots.join(size, "root"), F.col("doc") == F.col("node"), "left").join(by_token.select("doc", "k0"), "doc")
     info = labelled.select(
         "doc", "n", F.coalesce("root", "doc").alias("label"),
         F.when(F.col("root").isNotNull(), F.struct(F.lit(1).alias("whole"), F.col("root").alias("key"), lot(F.col("size")).alias("lot"))).otherwise(F.struct(F.lit(0).alias("whole"), F.col("k0.token").alias("key"), lot(F.col("k0.holders")).alias("lot"))).alias("grp"),
     )
-    info = stash(info, "jaccard-groups")
+    info = stash_slim(info, "jaccard-groups")
     held = at.select("token", "doc", "holders").join(info, "doc")
     # the pairs inside the largest component at a token need no look
     major = held.groupBy("token", "label").agg(F.count("*").alias("c")).groupBy("token").agg(F.max(F.struct("c", "label"))["label"].alias("major"), F.count("*").alias("labels")).where("labels > 1").select("token", "major")
-    major = stash(major, "jaccard-major")
-    held = stash(held.join(major, "token"), "jaccard-held")
+    major = stash_slim(major, "jaccard-major")
+    held = stash_slim(held.join(major, "token"), "jaccard-held")
     cell = F.struct("grp", "least", "most", "of_major")
     cells = held.groupBy("token", "grp").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("label") == F.col("major")).alias("of_major"), F.first("holders").alias("holders"))
     # a row of the matrix lists a token's groups, of which there are about the root of its holders where these are alike; a token of
     # many has several rows. A query document takes the rows of its tokens and makes the groups in them distinct before
     # any becomes a row of its own
     matrix = cells.groupBy("token", F.pmod(F.xxhash64("grp"), F.ceil(F.col("holders") / ROW)).alias("nth")).agg(F.collect_list(cell).alias("row"))
-    matrix = stash(matrix.drop("nth"), "jaccard-matrix")
+    matrix = stash_slim(matrix.drop("nth"), "jaccard-matrix")
     query = held.where("label != major").select("token", "doc", "n", "label", F.col("grp").alias("own"))
     # overlap >= t * max(sizes), so sizes of partners are within t of each other
     num, den = t.numerator, t.denominator
     meets = f"n * {den} >= c.least * {num} and c.most * {den} >= n * {num} and (c.of_major or own <= c.grp) and not (c.grp.whole = 1 and c.grp.key = label)"
     met = query.join(matrix, "token").select("doc", F.expr(f"transform(filter(row, c -> {meets}), c -> c.grp)").alias("met")).where(F.size("met") > 0)
-    cand = stash(met.groupBy("doc").agg(F.array_distinct(F.flatten(F.collect_list("met"))).alias("met")).select("doc", F.explode("met").alias("grp")), "jaccard-candidates")
+    cand = stash_slim(met.groupBy("doc").agg(F.array_distinct(F.flatten(F.collect_list("met"))).alias("met")).select("doc", F.explode("met").alias("grp")), "jaccard-candidates")
     drop(major, held, matrix, at, by_token, size)
     free_shuffles(spark)
 
     # 3. open the groups
-    lots = stash(cand.groupBy("grp").agg(F.ceil(F.count("*") / QUERIES).alias("lots")), "jaccard-lots")
+    lots = stash_slim(cand.groupBy("grp").agg(F.ceil(F.count("*") / QUERIES).alias("lots")), "jaccard-lots")
     asked = cand.join(lots, "grp").select("doc", "grp", F.pmod(F.xxhash64("doc"), F.col("lots")).alias("part")).join(sets.select("doc", "tokens"), "doc")
     members = info.select("doc", "grp").join(lots, "grp").join(sets.select("doc", "tokens"), "doc").select(*[F.col(c).alias(c) for c in ("doc", "tokens", "grp")], F.explode(F.sequence(F.lit(0).cast("long"), F.col("lots") - 1)).alias("part"))
     second = asked.groupBy("grp", "part").cogroup(members.groupBy("grp", "part")).applyInArrow(cross_links(t), "a long, b long")
@@ -328,7 +328,7 @@ def join(df: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5), id_col
     links = stash(linked.union(through).where("a != b"), "jaccard-all-links")
     drop(first, roots, cand, lots, info, sets)
     free_shuffles(spark)
-    final = components(links, "jaccard-components")
+    final = components(links, "jaccard-components", stash_slim)
     drop(links)
     out = member.join(final, F.col("least") == F.col("node"), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "least").alias("component_id"))

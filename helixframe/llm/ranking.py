@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cores, drop, stash, stash_map
+from .common import cores, drop, stash_map, stash_slim
 
 #: About how many rows a sorted partition has.
 ROWS = 500_000
@@ -101,8 +101,8 @@ def rerank(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
         if more and not (c[0]["kind"] == 3 and c[0]["flag"]):
             firsts.append((c[0]["at"], c[0]["size"]))
     kind = f"at {kind_of}, size long"
-    settled = stash(done.where("kind = 0").select("at", "size").union(spark.createDataFrame(later, kind)), f"{name}-settled")
-    left = stash(done.where("kind = 1").select("at").union(spark.createDataFrame(firsts, kind).select("at")), f"{name}-left")
+    settled = stash_slim(done.where("kind = 0").select("at", "size").union(spark.createDataFrame(later, kind)), f"{name}-settled")
+    left = stash_slim(done.where("kind = 1").select("at").union(spark.createDataFrame(firsts, kind).select("at")), f"{name}-left")
     drop(done)
     return settled, left
 
@@ -135,6 +135,6 @@ def ranked(rows: DataFrame, name: str) -> DataFrame:
     # ranks that go on from an earlier partition, one a partition at most
     names = F.broadcast(spark.createDataFrame(again, "rank long, whole long"))
     found = done.where("kind = 0").join(names, "rank", "left").select("at", "side", F.coalesce("whole", "rank").alias("rank"))
-    out = stash(found.union(spark.createDataFrame(more, f"at {kind_of}, side long, rank long")), name)
+    out = stash_slim(found.union(spark.createDataFrame(more, f"at {kind_of}, side long, rank long")), name)
     drop(done)
     return out

@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import frequency
-from .common import Shared, cores, drop, free_shuffles, in_order, stash, stash_map, table
+from .common import Shared, cores, drop, free_shuffles, in_order, stash, stash_map, stash_slim, table
 from .frequency import Packer, Spread, bit_table, mix, repeated
 from .ranking import ranked, rerank
 
@@ -353,7 +353,7 @@ def covered(docs: DataFrame, length: int = 100) -> DataFrame:
     drop(rows)
     rank = lambda side: F.max(F.when(F.col("side") == side, F.col("rank")))
     pairs = halves.groupBy("at").agg(rank(0).alias("major"), rank(1).alias("minor")).where("major is not null and minor is not null")
-    pairs = stash(pairs.select("at", F.lit(1).cast("long").alias("size"), "major", "minor"), "suffix-pairs")
+    pairs = stash_slim(pairs.select("at", F.lit(1).cast("long").alias("size"), "major", "minor"), "suffix-pairs")
     drop(halves)
     three, left = rerank(pairs, "suffix-windows")
     drop(pairs, left)
@@ -371,7 +371,7 @@ def dedup(df: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: st
     docs, unique = in_order(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *carried))
     docs = docs.withColumnRenamed("key", "doc")
     texts = docs.select("doc", "text")
-    by_doc = stash(covered(texts if unique else stash(texts.dropDuplicates(["doc"]), "suffix-texts"), length).groupBy("doc").agg(F.collect_list(F.struct("start", (F.col("start") + F.col("size") + length - 1).alias("end"))).alias("runs")), "suffix-by-doc")
+    by_doc = stash_slim(covered(texts if unique else stash_slim(texts.dropDuplicates(["doc"]), "suffix-texts"), length).groupBy("doc").agg(F.collect_list(F.struct("start", (F.col("start") + F.col("size") + length - 1).alias("end"))).alias("runs")), "suffix-by-doc")
     met = docs.join(by_doc, "doc", "left").select("doc_id", "text", "runs", *[f"carried{i}" for i in range(len(extra))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

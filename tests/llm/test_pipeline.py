@@ -100,3 +100,39 @@ def test_repeated_passages_gives_a_row_for_a_row(spark, words):
     rows = [(1, " ".join(words(50)), "en"), (1, " ".join(words(50)), "de"), (1, " ".join(words(50)), "fr"), (2, "short", "en")]
     got = P.repeated_passages(spark, frame(spark, rows), "").collect()
     assert sorted((r["doc_id"], r["text"], r["lang"]) for r in got) == sorted(rows)
+
+
+def test_scratch_tables_are_written_by_python_workers(spark, words, tmp_path, monkeypatch):
+    """A file that an executor's JVM writes starts processes that count as that JVM once more. Only results of grouped Python functions,
+    whose tasks have a worker already, are written that way."""
+    from pyspark.sql import DataFrameWriter
+
+    from helixframe import scratch
+
+    rows, _ = corpus(words)
+    made = [(i, t, lang, "s", len(t or "")) for i, t, lang in rows] + [(None, rows[3][1], "en", "s", 1)]
+    docs = spark.createDataFrame(made, "doc_id long, text string, lang string, source string, n_chars long")
+    writers, names = [], []
+    parquet = DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path, *a, **b: writers.append(path) or parquet(self, path, *a, **b))
+    folder = scratch.new_folder
+    monkeypatch.setattr(scratch, "new_folder", lambda s, name: names.append(name) or folder(s, name))
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    for stage, most in ((P.near_duplicates, 3), (P.repeated_passages, 1)):
+        writers.clear(), names.clear()
+        stage(spark, docs, f"file://{tmp_path}").count()
+        assert len(writers) <= most and len(names) > 8
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+
+
+def test_slim_scratch_tables_hold_what_they_are_given(spark):
+    from helixframe import scratch
+
+    kinds = "a long, b struct<x: int, y: struct<z: boolean>>, c array<struct<s: string, t: binary>>, d string, e double"
+    given = [(i, (i, (i % 2 == 0,)) if i % 3 else None, [(str(i), b"\0\xff")] * (i % 4) if i % 5 else None, "\u00e9" * i, i / 3) for i in range(50)] + [(None,) * 5]
+    df = spark.createDataFrame(given, kinds).repartition(3)
+    some, none = scratch.stash_slim(df, "slim"), scratch.stash_slim(df.where("a < 0"), "slim")
+    assert some.dtypes == none.dtypes == df.dtypes and none.count() == 0
+    by = lambda r: str(r)
+    assert sorted(some.collect(), key=by) == sorted(df.collect(), key=by)
+    scratch.drop(some)
