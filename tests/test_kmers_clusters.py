@@ -198,3 +198,45 @@ def test_labels_do_not_depend_on_row_order(spark):
         df = spark.createDataFrame(links, "i long, j long, jaccard double")
         seen.add(tuple(sorted((r["idx"], r["component"]) for r in C.labels(rows, df).collect())))
     assert len(seen) == 1
+
+
+def test_pair_search_moves_no_row_for_a_kmer(spark, monkeypatch):
+    """Rows (record, k-mer) were shuffled, more than the disk holds; now packed numbers of blocks are, and blocks are joined from files."""
+    rng = random.Random(12)
+    letters = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    seqs = []
+    for _ in range(25):
+        s = letters(rng.randint(30, 300))
+        seqs += [s, s[: rng.randint(20, len(s))], s[: len(s) // 2] + letters(len(s) // 2), s[5:] + "N" + letters(9)]
+    seqs += ["ACGTXACGTACGÉACGTACGT" * 2, "ACGTXACGTACGÉACGTACG" * 2, "AC" * 30, "AC" * 50]
+    monkeypatch.setattr(C, "BLOCK", 700)
+    monkeypatch.setattr(C, "MATCHES", 50)
+    sent = []
+    real = C.stash
+    monkeypatch.setattr(C, "stash", lambda df, name: sent.append((name, df.count())) or real(df, name))
+    for k, t in ((7, 0.35), (7, 0.6), (33, 0.2)):
+        want, _, _ = brute(seqs, k, t)
+        links, classes = C.similar(records(spark, seqs), k, t)
+        got = C.expanded(links, classes, t).collect()
+        assert {(r["i"], r["j"]): r["jaccard"] for r in got} == pytest.approx(want) and len(got) == len(want)
+    assert max(n for _, n in sent) <= len(want) + 2 * len(seqs) + 2000
+
+
+def test_packed_numbers():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for x in (rng.integers(0, 1 << 40, 100), rng.integers(-(1 << 62), 1 << 62, 100), np.zeros(3, np.int64), np.array([], np.int64), np.arange(300)):
+        assert C._unpacked(C._packed(x, False), len(x), False).tolist() == x.tolist()
+        assert C._unpacked(C._packed(np.sort(x)), len(x)).tolist() == np.sort(x).tolist()
+    code = np.arange(-5, 1 << 12)
+    assert len(set(W.mixed(code, 6).tolist())) == len(code) and (W.mixed(code, 6) < 1 << 12).all()
+
+
+def test_ties_weigh_as_all_pairs(spark):
+    seqs = random_seqs(7, 30) + random_seqs(7, 30)[:20] + random_seqs(7, 30)[:9]
+    rows = records(spark, seqs)
+    links, classes = C.similar(rows, 5, 0.35)
+    cols = ["component", "size", "max_pairwise_sim", "mean_pairwise_sim"]
+    a, b = ({r[0]: tuple(r[1:]) for r in C.clusters(rows, x).select(cols).collect()} for x in (C.ties(links, classes, 0.35), C.expanded(links, classes, 0.35)))
+    assert set(a) == set(b) and all(a[x] == pytest.approx(b[x]) for x in a)
