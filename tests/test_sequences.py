@@ -105,3 +105,19 @@ def test_keys_and_names(spark):
 @given(st.floats(0, 100), st.integers(0, 5))
 def test_fixed_is_what_python_prints(v, d):
     assert float(f"{v:.{d}f}") == round(v, d)
+
+
+def test_bytes_are_encoded_as_patterns_would(spark, tmp_path):
+    """Documents become bases by a table of bytes, and plain sequences pass without patterns; both were patterns in the JVM."""
+    from pyspark.sql import functions as F
+
+    from helixframe.functions import sequences as S
+    from helixframe.plans import encoding as E
+
+    texts = [None, "", "AbZz 12\n", "éÀÖ×Øö÷øÿß", "".join(map(chr, range(1, 0x250))), "\U0001f600aŸİK", "ACGTN\n", "acgu-RY", "ACGTUN"]
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    want = docs.select("doc_id", F.translate(F.regexp_replace(F.regexp_replace("text", E.KEPT, ""), "[^A-Za-z]", "*"), E.LETTERS, E.BASES))
+    assert sorted(map(tuple, E.fasta(spark, str(tmp_path)).select("idx", "sequence").collect())) == sorted(map(tuple, want.collect()))
+    pattern = F.regexp_replace(F.regexp_replace(F.upper("text"), r"\P{L}", ""), f"[{S.AMBIGUOUS}]", "N")
+    assert docs.select(S.clean(F.col("text")).eqNullSafe(pattern).alias("same")).where("not same").count() == 0
